@@ -219,10 +219,11 @@ def evaluate(
     return out.select(*keys, *METRIC_COLUMNS, *(["coverage_pct"] if total is not None else []))
 
 
-def coverage(df: DataFrame, keys: list[str], total_col: str | None = None) -> DataFrame:
-    """n evaluated and % of a total (a column of the input, e.g. rows before filtering)."""
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return g
+def coverage(df: DataFrame, keys: list[str], label: str, pred: str) -> DataFrame:
+    """Rows per key, rows usable for evaluation (label and prediction present), and their share in %."""
+    ok = F.col(label).isNotNull() & F.col(pred).isNotNull()
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("n"))
+    return g.withColumn("coverage_pct", stats.ratio(F.col("n") * 100.0, F.col("total")))
 
 
 def per_class_report(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -193,3 +193,46 @@ EVAL_OUT = (
     "n, tp, fp, fn, tn, accuracy, precision, recall, specificity, npv, f1, mcc, accuracy_lo, accuracy_hi, "
     "precision_lo, precision_hi, recall_lo, recall_hi, specificity_lo, specificity_hi, npv_lo, npv_hi, pr_auc, brier, ece"
 )
+
+
+def fairness_sql(src: str, keys: list[str], attrs: list[str], refs: list[tuple[str, str]]) -> str:
+    """CTE chain -> relation ``fairness`` with group rows and 'all' rows of ``src`` (keys, pred, gold, attrs)."""
+    k = ", ".join(keys)
+    unp = " UNION ALL ".join(
+        f"SELECT {k}, {q(a)} AS attribute, CAST({a} AS VARCHAR) AS grp, pred, gold FROM {src}" for a in attrs
+    )
+    rv = ", ".join(f"({q(a)}, {q(g)})" for a, g in refs)
+    part = f"PARTITION BY {k}, attribute"
+    cnt = lambda c: f"CAST(SUM(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""unp AS ({unp}),
+gc AS (SELECT {k}, attribute, grp, CAST(COUNT(*) AS BIGINT) AS n, {cnt('gold = 1 AND pred = 1')} AS tp,
+       {cnt('gold = 0 AND pred = 1')} AS fp, {cnt('gold = 1 AND pred = 0')} AS fn, {cnt('gold = 0 AND pred = 0')} AS tn
+       FROM unp WHERE grp IS NOT NULL AND pred IS NOT NULL AND gold IS NOT NULL GROUP BY {k}, attribute, grp),
+gr0 AS (SELECT *, {_ratio('tp + fp', 'n')} AS rate, {_ratio('tp', 'tp + fn')} AS tpr FROM gc),
+refs(attribute, ref_group) AS (VALUES {rv}),
+gr AS (SELECT gr0.*, rf.ref_group FROM gr0 LEFT JOIN refs rf ON gr0.attribute = rf.attribute),
+g3 AS (SELECT gr.*, COUNT(*) OVER ({part}) AS ngroups,
+       COALESCE(MAX(CASE WHEN grp = ref_group AND rate > 0 THEN grp END) OVER ({part}),
+                MIN(CASE WHEN rate > 0 THEN grp END) OVER ({part})) AS dp_ref0,
+       COALESCE(MAX(CASE WHEN grp = ref_group THEN grp END) OVER ({part}), MIN(grp) OVER ({part})) AS eo_ref,
+       MAX(CASE WHEN grp = ref_group THEN grp END) OVER ({part}) AS di_ref
+       FROM gr),
+g4 AS (SELECT *, MAX(CASE WHEN grp = dp_ref0 THEN rate END) OVER ({part}) AS dp_rate,
+       MAX(CASE WHEN grp = eo_ref THEN tpr END) OVER ({part}) AS eo_tpr,
+       MAX(CASE WHEN grp = di_ref THEN rate END) OVER ({part}) AS di_rate FROM g3),
+grp_rows AS (SELECT {k}, attribute, 'group' AS level, grp, n, tp, fp, fn, tn, rate, tpr,
+       CASE WHEN ngroups >= 2 THEN dp_ref0 END AS dp_ref,
+       CASE WHEN ngroups >= 2 AND dp_ref0 IS NOT NULL AND grp <> dp_ref0 THEN rate - dp_rate END AS demographic_parity,
+       eo_ref, CASE WHEN grp <> eo_ref THEN abs(tpr - eo_tpr) END AS equal_opportunity,
+       di_ref, CASE WHEN di_ref IS NOT NULL AND grp <> di_ref AND di_rate > 0 THEN rate / di_rate END AS disparate_impact
+       FROM g4),
+all_rows AS (SELECT {k}, attribute, 'all' AS level, 'all' AS grp, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(tp) AS BIGINT) AS tp,
+       CAST(SUM(fp) AS BIGINT) AS fp, CAST(SUM(fn) AS BIGINT) AS fn, CAST(SUM(tn) AS BIGINT) AS tn,
+       {_ratio('SUM(tp) + SUM(fp)', 'SUM(n)')} AS rate, {_ratio('SUM(tp)', 'SUM(tp) + SUM(fn)')} AS tpr,
+       CAST(NULL AS VARCHAR) AS dp_ref, CAST(NULL AS DOUBLE) AS demographic_parity, CAST(NULL AS VARCHAR) AS eo_ref,
+       CAST(NULL AS DOUBLE) AS equal_opportunity, CAST(NULL AS VARCHAR) AS di_ref, CAST(NULL AS DOUBLE) AS disparate_impact
+       FROM gc GROUP BY {k}, attribute),
+both_rows AS (SELECT * FROM grp_rows UNION ALL SELECT * FROM all_rows),
+fairness AS (SELECT {k}, attribute, level, grp, n, tp, fp, fn, tn, {r6('rate')} AS rate, {r6('tpr')} AS tpr, dp_ref,
+       {r6('demographic_parity')} AS demographic_parity, eo_ref, {r6('equal_opportunity')} AS equal_opportunity, di_ref,
+       {r6('disparate_impact')} AS disparate_impact, {', '.join(metric_selects('zero'))} FROM both_rows)"""

@@ -340,6 +340,344 @@ def q_evaluate(spark, sf):
     return r6(M.evaluate(s, DOC_KEYS, FX.LABEL, "pred", "score"))
 
 
+# --------------------------------------------------------------------------- #
+# Fairness                                                                    #
+# --------------------------------------------------------------------------- #
+FKEYS = ["dataset", "pred_type"]
+_FAIR_SRC = f"{W}, {O.flagged_cte()}, {O.levels_cte(demo=DEMO)}, {O.fairness_sql('patients', FKEYS, DEMO, FX.REFERENCE)}"
+
+
+def _patients(spark, sf) -> DataFrame:
+    return C.regex_cohort(reports(spark, sf), FX.vocab_df(spark), FX.LABEL, DEMO)["patients"]
+
+
+def _fair(spark, sf) -> DataFrame:
+    from cohortspark.operators import fairness as FA
+
+    return FA.fairness_report(_patients(spark, sf), FKEYS, DEMO, "pred", "gold", FX.reference_df(spark))
+
+
+FAIR_OUT = (
+    "dataset, pred_type, attribute, level, grp, n, tp, fp, fn, tn, rate, tpr, dp_ref, demographic_parity, eo_ref, "
+    "equal_opportunity, di_ref, disparate_impact, accuracy, precision, recall, specificity, npv, f1, mcc, accuracy_lo, "
+    "accuracy_hi, precision_lo, precision_hi, recall_lo, recall_hi, specificity_lo, specificity_hi, npv_lo, npv_hi"
+)
+
+
+@register("fairness_report", f"{_FAIR_SRC} SELECT {FAIR_OUT} FROM fairness")
+def q_fairness_report(spark, sf):
+    return r6(_fair(spark, sf).select(*[c.strip() for c in FAIR_OUT.split(",")]))
+
+
+@register("group_rates", f"{_FAIR_SRC} SELECT dataset, pred_type, attribute, grp, n, rate FROM fairness WHERE level = 'group'")
+def q_group_rates(spark, sf):
+    from cohortspark.operators import fairness as FA
+
+    g = FA.group_rates(FA.group_counts(_patients(spark, sf), FKEYS, DEMO, "pred", "gold"))
+    return r6(g.select(*FKEYS, "attribute", "grp", "n", "rate"))
+
+
+@register("group_tpr", f"{_FAIR_SRC} SELECT dataset, pred_type, attribute, grp, tp, fn, tpr FROM fairness WHERE level = 'group'")
+def q_group_tpr(spark, sf):
+    from cohortspark.operators import fairness as FA
+
+    g = FA.group_rates(FA.group_counts(_patients(spark, sf), FKEYS, DEMO, "pred", "gold"))
+    return r6(g.select(*FKEYS, "attribute", "grp", "tp", "fn", "tpr"))
+
+
+@register(
+    "demographic_parity",
+    f"{_FAIR_SRC} SELECT dataset, pred_type, attribute, grp, dp_ref, demographic_parity FROM fairness WHERE level = 'group'",
+)
+def q_demographic_parity(spark, sf):
+    from cohortspark.operators import fairness as FA
+
+    return r6(FA.demographic_parity(_patients(spark, sf), FKEYS, DEMO, "pred", "gold", FX.reference_df(spark)))
+
+
+@register(
+    "equal_opportunity",
+    f"{_FAIR_SRC} SELECT dataset, pred_type, attribute, grp, eo_ref, equal_opportunity FROM fairness WHERE level = 'group'",
+)
+def q_equal_opportunity(spark, sf):
+    from cohortspark.operators import fairness as FA
+
+    return r6(FA.equal_opportunity(_patients(spark, sf), FKEYS, DEMO, "pred", "gold", FX.reference_df(spark)))
+
+
+@register(
+    "disparate_impact",
+    f"{_FAIR_SRC} SELECT dataset, pred_type, attribute, grp, di_ref, disparate_impact FROM fairness WHERE level = 'group'",
+)
+def q_disparate_impact(spark, sf):
+    from cohortspark.operators import fairness as FA
+
+    return r6(FA.disparate_impact(_patients(spark, sf), FKEYS, DEMO, "pred", "gold", FX.reference_df(spark)))
+
+
+@register(
+    "join_reference_group",
+    f"{_FAIR_SRC} SELECT DISTINCT dataset, pred_type, f.attribute, grp, r.ref_group FROM fairness f "
+    "LEFT JOIN refs r ON f.attribute = r.attribute WHERE level = 'group'",
+)
+def q_join_reference_group(spark, sf):
+    from cohortspark.operators import fairness as FA
+    from cohortspark.operators.joins import bounded_broadcast
+
+    g = FA.group_counts(_patients(spark, sf), FKEYS, DEMO, "pred", "gold")
+    return g.join(bounded_broadcast(FX.reference_df(spark)), on="attribute", how="left").select(
+        *FKEYS, "attribute", "grp", "ref_group"
+    )
+
+
+@register(
+    "fairness_long",
+    f"{_FAIR_SRC}, fl AS ("
+    "SELECT dataset, pred_type, attribute, grp, 'Demographic_Parity' AS comparison, dp_ref AS reference, demographic_parity AS value FROM fairness WHERE level = 'group' "
+    "UNION ALL SELECT dataset, pred_type, attribute, grp, 'Equal_Opportunity', eo_ref, equal_opportunity FROM fairness WHERE level = 'group' "
+    "UNION ALL SELECT dataset, pred_type, attribute, grp, 'Disparate_Impact', di_ref, disparate_impact FROM fairness WHERE level = 'group') "
+    "SELECT *, grp || ' vs ' || reference AS label FROM fl WHERE reference IS NOT NULL AND grp <> reference",
+)
+def q_fairness_long(spark, sf):
+    from cohortspark.operators import fairness as FA
+
+    return r6(FA.fairness_long(_fair(spark, sf), FKEYS))
+
+
+@register(
+    "natural_sort_groups",
+    f"{_FAIR_SRC} SELECT attribute, grp, f1, row_number() OVER (PARTITION BY attribute ORDER BY "
+    "TRY_CAST(grp AS DOUBLE) ASC NULLS LAST, grp) AS position FROM fairness WHERE level = 'group' AND dataset = 'train'",
+)
+def q_natural_sort_groups(spark, sf):
+    from pyspark.sql import Window
+
+    from cohortspark.operators import fairness as FA
+
+    f = _fair(spark, sf).filter((F.col("level") == "group") & (F.col("dataset") == "train"))
+    w = Window.partitionBy("attribute").orderBy(*FA.natural_order("grp"))
+    return r6(f.select("attribute", "grp", "f1", F.row_number().over(w).alias("position")))
+
+
+@register(
+    "distinct_groups",
+    f"{W} SELECT CAST(COUNT(DISTINCT gender) AS BIGINT) AS n_gender, CAST(COUNT(DISTINCT ethnicity) AS BIGINT) AS n_ethnicity, "
+    "CAST(COUNT(DISTINCT age_group) AS BIGINT) AS n_age_group, CAST(COUNT(DISTINCT study_id) AS BIGINT) AS n_study_id FROM prepared",
+)
+def q_distinct_groups(spark, sf):
+    from cohortspark.operators import fairness as FA
+
+    return FA.distinct_groups(reports(spark, sf, False), ["gender", "ethnicity", "age_group", "study_id"])
+
+
+@register(
+    "sample_size_check",
+    f"{_FAIR_SRC}, pg AS (SELECT attribute, grp, CAST(SUM(tp + fn) AS DOUBLE) / SUM(n) AS prevalence, CAST(SUM(n) AS BIGINT) AS n "
+    "FROM fairness WHERE level = 'group' GROUP BY attribute, grp) "
+    "SELECT attribute, grp, n, round(prevalence, 6) AS prevalence, "
+    "round(CASE WHEN prevalence > 0 AND prevalence < 1 THEN 4 / (0.9 * (-ln(1 - 0.05))) / (prevalence * (1 - prevalence)) END, 6) AS needed_n "
+    "FROM pg",
+)
+def q_sample_size_check(spark, sf):
+    from cohortspark.operators import study as ST
+
+    return r6(ST.sample_size_check(_patients(spark, sf), DEMO, "gold"))
+
+
+# --------------------------------------------------------------------------- #
+# Splits                                                                      #
+# --------------------------------------------------------------------------- #
+_DIG_SQL = "md5(COALESCE(text, 'nan')) AS doc_digest"
+
+
+def _digested(spark, sf) -> DataFrame:
+    return TV.report_view(spark, sf).withColumn("doc_digest", P.doc_digest("text"))
+
+
+@register(
+    "exclude_leaked_docs",
+    f"{W}, dg AS (SELECT doc_id, split_leaky, {_DIG_SQL} FROM reports) SELECT v.doc_id, v.doc_digest FROM dg v "
+    "WHERE v.split_leaky = 'validation' AND NOT EXISTS (SELECT 1 FROM dg t WHERE t.split_leaky = 'train' AND t.doc_digest = v.doc_digest)",
+)
+def q_exclude_leaked_docs(spark, sf):
+    from cohortspark.operators import splits as SP
+
+    d = _digested(spark, sf).select("doc_id", "split_leaky", "doc_digest")
+    out = SP.exclude_leaked_docs(d.filter(F.col("split_leaky") == "train"), d.filter(F.col("split_leaky") == "validation"))
+    return out.select("doc_id", "doc_digest")
+
+
+@register(
+    "split_overlap",
+    f"{W}, dg AS (SELECT split, {_DIG_SQL} FROM reports) SELECT doc_digest FROM dg WHERE split = 'train' "
+    "INTERSECT SELECT doc_digest FROM dg WHERE split = 'validation'",
+)
+def q_split_overlap(spark, sf):
+    from cohortspark.operators import splits as SP
+
+    d = _digested(spark, sf)
+    return SP.split_overlap(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "validation"), "doc_digest")
+
+
+@register(
+    "split_diagnostics",
+    f"{W}, dg AS (SELECT study_id, split_leaky, {_DIG_SQL} FROM reports), "
+    "si AS (SELECT study_id FROM dg WHERE split_leaky = 'train' INTERSECT SELECT study_id FROM dg WHERE split_leaky = 'validation'), "
+    "sd AS (SELECT doc_digest FROM dg WHERE split_leaky = 'train' INTERSECT SELECT doc_digest FROM dg WHERE split_leaky = 'validation') "
+    "SELECT 'shared_ids' AS \"check\", CAST(COUNT(*) AS BIGINT) AS n, MIN(CAST(study_id AS VARCHAR)) AS example FROM si "
+    "UNION ALL SELECT 'shared_digests', CAST(COUNT(*) AS BIGINT), MIN(doc_digest) FROM sd "
+    "UNION ALL SELECT 'label_as_text', CAST(0 AS BIGINT), CAST(NULL AS VARCHAR)",
+)
+def q_split_diagnostics(spark, sf):
+    from cohortspark.operators import splits as SP
+
+    d = _digested(spark, sf)
+    tr, va = d.filter(F.col("split_leaky") == "train"), d.filter(F.col("split_leaky") == "validation")
+    return SP.split_diagnostics(tr, va, "study_id", "doc_digest", ["gold", "gold_alt"], ["text"])
+
+
+@register(
+    "union_splits",
+    f"{W} SELECT doc_id, split AS dataset, gold, NULL::INTEGER AS gold_alt FROM reports WHERE split = 'train' "
+    "UNION ALL SELECT doc_id, split, NULL::INTEGER, gold_alt FROM reports WHERE split = 'validation'",
+)
+def q_union_splits(spark, sf):
+    from cohortspark.operators import splits as SP
+
+    v = TV.report_view(spark, sf, False)
+    tr = v.filter(F.col("split") == "train").select("doc_id", "gold")
+    va = v.filter(F.col("split") == "validation").select("doc_id", "gold_alt")
+    return SP.union_splits(tr, va, names=["train", "validation"]).select("doc_id", "dataset", "gold", "gold_alt")
+
+
+@register(
+    "missing_columns",
+    "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels",
+)
+def q_missing_columns(spark, sf):
+    from cohortspark.operators import splits as SP
+
+    return SP.missing_keys(TV.table(spark, sf, "documents"), TV.table(spark, sf, "labels"), "doc_id")
+
+
+# --------------------------------------------------------------------------- #
+# Roll-ups                                                                    #
+# --------------------------------------------------------------------------- #
+@register(
+    "patient_flag_per_report",
+    f"{W}, {O.flagged_cte()} SELECT doc_id, report_col, pred, MAX(pred) OVER (PARTITION BY study_id, report_col) AS patient_flag FROM flagged",
+)
+def q_patient_flag_per_report(spark, sf):
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark)).select("doc_id", "study_id", "report_col", "pred")
+    return R.patient_flag_per_report(f, "pred").select("doc_id", "report_col", "pred", "patient_flag")
+
+
+@register(
+    "patient_final_flag",
+    f"{W}, {O.flagged_cte()} SELECT doc_id, COALESCE(MAX(CASE WHEN GREATEST(pred_a, pred_b) >= 1 THEN 1 ELSE 0 END) "
+    "OVER (PARTITION BY study_id), 0) AS final_prediction FROM flagged",
+)
+def q_patient_final_flag(spark, sf):
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark)).select("doc_id", "study_id", "pred_a", "pred_b")
+    return R.patient_final_flag(f, ["pred_a", "pred_b"]).select("doc_id", "final_prediction")
+
+
+@register(
+    "final_flag",
+    f"{W}, {O.flagged_cte()}, fw AS (SELECT study_id, visit_id, "
+    + ", ".join(f"MAX(CASE WHEN report_col = {O.q(s)} THEN pred END) AS {s}" for s in TV.REPORT_SLOTS)
+    + " FROM flagged GROUP BY study_id, visit_id) SELECT study_id, visit_id, COALESCE(CAST(GREATEST("
+    + ", ".join(TV.REPORT_SLOTS) + ") >= 1 AS INTEGER), 0) AS final_prediction FROM fw",
+)
+def q_final_flag(spark, sf):
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark))
+    wide = f.groupBy("study_id", "visit_id").pivot("report_col", TV.REPORT_SLOTS).agg(F.max("pred"))
+    return wide.select("study_id", "visit_id", R.final_flag(*TV.REPORT_SLOTS).alias("final_prediction"))
+
+
+@register(
+    "attach_patient_score",
+    f"{W}, {SCORED_SQL}, pt AS (SELECT DISTINCT study_id FROM reports WHERE split = 'validation'), "
+    "sc AS (SELECT study_id, MAX(score) AS s FROM scored WHERE doc_id % 3 <> 0 GROUP BY study_id) "
+    "SELECT pt.study_id, round(COALESCE(sc.s, 0.0), 6) AS score FROM pt LEFT JOIN sc ON pt.study_id = sc.study_id",
+)
+def q_attach_patient_score(spark, sf):
+    s = _scored(spark, sf)
+    pts = s.filter(F.col("split") == "validation").select("study_id").distinct()
+    rows = s.filter(F.col("doc_id") % 3 != 0)
+    return r6(R.attach_patient_score(pts, rows, "score"))
+
+
+@register(
+    "hard_prob",
+    f"{W}, {SCORED_SQL}, {O.flagged_cte('scored')} SELECT doc_id, round(COALESCE(CASE WHEN doc_id % 3 <> 0 THEN score END, "
+    "CAST(pred AS DOUBLE)), 6) AS prob FROM flagged",
+)
+def q_hard_prob(spark, sf):
+    f = C.regex_flag_docs(_scored(spark, sf), FX.vocab_df(spark))
+    sc = F.when(F.col("doc_id") % 3 != 0, F.col("score"))
+    return r6(f.select("doc_id", P.hard_prob("pred", sc).alias("prob")))
+
+
+@register(
+    "patient_text",
+    f"{W} SELECT study_id, string_agg(COALESCE(text, ''), ' ' ORDER BY ord) AS patient_text FROM reports GROUP BY study_id",
+)
+def q_patient_text(spark, sf):
+    return R.patient_text(TV.report_view(spark, sf))
+
+
+@register(
+    "patient_text_labels",
+    f"{W} SELECT study_id, string_agg(COALESCE(text, ''), ' ' ORDER BY ord) AS patient_text, "
+    "(list(gold_alt ORDER BY ord))[1] AS gold_alt FROM reports GROUP BY study_id",
+)
+def q_patient_text_labels(spark, sf):
+    return R.patient_text_labels(TV.report_view(spark, sf), "gold_alt")
+
+
+@register(
+    "first_per_key",
+    "SELECT o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, arg_min(o_orderkey, o_orderkey) AS o_orderkey, "
+    "arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, round(arg_min(o_totalprice, o_orderkey), 6) AS o_totalprice "
+    "FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE)",
+)
+def q_first_per_key(spark, sf):
+    o = TV.table(spark, sf, "orders").select(
+        "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderkey", "o_orderstatus", "o_totalprice"
+    )
+    return r6(R.first_per_key(o.withColumn("ord", F.col("o_orderkey")), ["o_custkey", "o_orderdate"]).drop("ord"))
+
+
+@register(
+    "coverage",
+    f"{W}, {O.flagged_cte()} SELECT split, report_col, CAST(COUNT(*) AS BIGINT) AS total, "
+    "CAST(COUNT(*) FILTER (WHERE gold_alt IS NOT NULL AND pred IS NOT NULL) AS BIGINT) AS n, "
+    "round(COUNT(*) FILTER (WHERE gold_alt IS NOT NULL AND pred IS NOT NULL) * 100.0 / COUNT(*), 6) AS coverage_pct "
+    "FROM flagged GROUP BY split, report_col",
+)
+def q_coverage(spark, sf):
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark))
+    return r6(M.coverage(f, DOC_KEYS, FX.LABEL, "pred"))
+
+
+@register(
+    "per_class_report",
+    f"{W}, {O.flagged_cte()}, {O.evaluate_sql('(SELECT split, gold_alt AS gold, pred, prob FROM flagged)', ['split'])}, "
+    "pc AS (SELECT split, '0' AS class, CASE WHEN tn+fn>0 THEN tn*1.0/(tn+fn) ELSE 0 END AS p, CASE WHEN tn+fp>0 THEN tn*1.0/(tn+fp) ELSE 0 END AS r, CAST(tn+fp AS DOUBLE) AS support FROM evaluation "
+    "UNION ALL SELECT split, '1', CASE WHEN tp+fp>0 THEN tp*1.0/(tp+fp) ELSE 0 END, CASE WHEN tp+fn>0 THEN tp*1.0/(tp+fn) ELSE 0 END, CAST(tp+fn AS DOUBLE) FROM evaluation), "
+    "pf AS (SELECT *, CASE WHEN p + r > 0 THEN 2*p*r/(p+r) ELSE 0 END AS f FROM pc), "
+    "tot AS (SELECT split, SUM(support) AS n FROM pf GROUP BY split) "
+    "SELECT split, class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support FROM pf "
+    "UNION ALL SELECT e.split, 'accuracy', NULL, NULL, round((tp+tn)*1.0/n, 6), CAST(n AS DOUBLE) FROM evaluation e "
+    "UNION ALL SELECT pf.split, 'macro avg', round(AVG(p), 6), round(AVG(r), 6), round(AVG(f), 6), MAX(tot.n) FROM pf JOIN tot USING (split) GROUP BY pf.split "
+    "UNION ALL SELECT pf.split, 'weighted avg', round(SUM(p*support)/MAX(tot.n), 6), round(SUM(r*support)/MAX(tot.n), 6), round(SUM(f*support)/MAX(tot.n), 6), MAX(tot.n) FROM pf JOIN tot USING (split) GROUP BY pf.split",
+)
+def q_per_class_report(spark, sf):
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark))
+    return r6(M.per_class_report(M.confusion(f, ["split"], FX.LABEL, "pred"), ["split"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
