@@ -17,6 +17,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark.functions import text as tx
 from cohortspark.operators.joins import bounded_broadcast
@@ -25,7 +26,7 @@ from cohortspark.operators.joins import bounded_broadcast
 MAX_REGEX_PATTERNS = 5000
 
 # Token rule for phrase matching: word runs, and every other non-space character alone.
-PHRASE_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+PHRASE_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 # Scope ends: sentence ends and the termination cues.
 SCOPE_SPLIT = r"[.;!?]"
 
@@ -96,7 +97,7 @@ CONCEPT_ID_PATTERN = r"\(C\d{4,}\)"
 # --------------------------------------------------------------------------- #
 # Text normalisation (op 63): NFKC has no Spark built-in -> one Arrow UDF      #
 # --------------------------------------------------------------------------- #
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -134,6 +135,23 @@ def _lengths(ptab: DataFrame) -> list[int]:
     return sorted(r[0] for r in ptab.select("n_words").distinct().collect())
 
 
+def _grams_of_length(k: int) -> Column:
+    """Array of (start, n_words, key) structs for the k-grams of the token array ``_t``.
+
+    Lambdas take one argument only (a second one would be bound to the index),
+    so ``k`` is captured by this closure.  ``sequence(1, m)`` counts down when
+    m < 1, hence the clamp and the filter dropping incomplete grams.
+    """
+    def make(i):
+        return F.struct((i - 1).alias("start"), F.lit(k).alias("n_words"), F.array_join(F.slice("_t", i, k), " ").alias("key"))
+
+    def complete(x):
+        return x["start"] + k <= F.size("_t")
+
+    g = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - k + 1, F.lit(1))), make)
+    return F.filter(g, complete)
+
+
 def text_ngrams(df: DataFrame, id_cols: list[str], text_col: str, lengths: list[int], scoped: bool) -> DataFrame:
     """(ids, seg, start, n_words, key) for every n-gram of the given lengths.
 
@@ -146,14 +164,7 @@ def text_ngrams(df: DataFrame, id_cols: list[str], text_col: str, lengths: list[
     s = s.select(*id_cols, "seg", F.regexp_extract_all(F.lower(F.col("_seg")), F.lit(PHRASE_TOKEN), 0).alias("_t"))
     grams = []
     for k in lengths:
-        # sequence(1, m) counts down when m < 1, so clamp and drop the incomplete gram.
-        g = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("_t") - k + 1, F.lit(1))),
-            lambda i, k=k: F.struct(
-                (i - 1).alias("start"), F.lit(k).alias("n_words"), F.array_join(F.slice("_t", i, k), " ").alias("key")
-            ),
-        )
-        grams.append(F.filter(g, lambda x, k=k: x["start"] + k <= F.size("_t")))
+        grams.append(_grams_of_length(k))
     allg = F.flatten(F.array(*grams)) if len(grams) > 1 else grams[0]
     s = s.filter(F.size("_t") > 0)
     return s.select(*id_cols, "seg", F.explode(allg).alias("_g")).select(

@@ -75,6 +75,31 @@ def regex_cohort(
     return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}
 
 
+def phrase_flag_docs(
+    reports: DataFrame, phrases: DataFrame, cues: DataFrame | None, categories: list[str], scope: str = "match",
+) -> DataFrame:
+    """Non-negated phrase matches -> per-document category flags; ``pred`` = any category (ops 65-67)."""
+    base = reports.select("doc_id", "text")
+    if cues is None:
+        m = MT.phrase_match(base, ["doc_id"], "text", phrases, "phrase", scoped=True).withColumn("negated", F.lit(False))
+    else:
+        m = MT.negated_match(base, ["doc_id"], "text", phrases, cues, "phrase", scope)
+    flags = MT.phrase_flags(reports, ["doc_id"], m, categories)
+    return flags.withColumn("pred", F.col("pred_any")).withColumn("prob", P.hard_prob("pred"))
+
+
+def phrase_cohort(
+    reports: DataFrame, phrases: DataFrame, cues: DataFrame | None, categories: list[str], label: str = "gold_alt",
+    demographics: list[str] = (), pred_type: str = "Phrase",
+) -> dict[str, DataFrame]:
+    """Phrase family (op 94): negation-aware phrase flags rolled up and evaluated at three levels."""
+    demographics = list(demographics)
+    flagged = phrase_flag_docs(reports, phrases, cues, categories)
+    docs = _doc_level(flagged, label, pred_type, demographics)
+    visit, pat = roll_up_levels(docs, pred_type, demographics)
+    return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}
+
+
 def scored_cohort(
     scored: DataFrame, label: str = "gold_alt", demographics: list[str] = (), pred_type: str = "Scored",
     threshold: float = 0.5,

@@ -236,3 +236,60 @@ both_rows AS (SELECT * FROM grp_rows UNION ALL SELECT * FROM all_rows),
 fairness AS (SELECT {k}, attribute, level, grp, n, tp, fp, fn, tn, {r6('rate')} AS rate, {r6('tpr')} AS tpr, dp_ref,
        {r6('demographic_parity')} AS demographic_parity, eo_ref, {r6('equal_opportunity')} AS equal_opportunity, di_ref,
        {r6('disparate_impact')} AS disparate_impact, {', '.join(metric_selects('zero'))} FROM both_rows)"""
+
+
+PHRASE_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
+SCOPE_SPLIT = r"[.;!?]"
+
+
+def ngram_sql(src: str, ids: list[str], text: str, lengths: list[int], scoped: bool) -> str:
+    """Subquery of (ids, seg, start, n_words, key) for every token n-gram of the given lengths."""
+    i = ", ".join(ids)
+    segs = f"string_split_regex(COALESCE({text}, ''), {q(SCOPE_SPLIT)})" if scoped else f"[COALESCE({text}, '')]"
+    s1 = f"SELECT {i}, unnest({segs}) AS seg_text, unnest(range(0, len({segs}))) AS seg FROM {src}"
+    s2 = f"SELECT {i}, seg, regexp_extract_all(lower(seg_text), {q(PHRASE_TOKEN)}) AS t FROM ({s1})"
+    parts = [
+        f"SELECT {i}, seg, st AS start, {k} AS n_words, array_to_string(t[st + 1:st + {k}], ' ') AS key "
+        f"FROM (SELECT {i}, seg, t, unnest(range(0, len(t) - {k} + 1)) AS st FROM ({s2}))"
+        for k in lengths
+    ]
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+def phrase_values(rows: list[tuple[str, str]], cols: tuple[str, str]) -> str:
+    vals = ", ".join(f"({q(a)}, {q(b)})" for a, b in rows)
+    return (
+        f"(SELECT {cols[0]}, phrase, array_to_string(regexp_extract_all(lower(phrase), {q(PHRASE_TOKEN)}), ' ') AS key, "
+        f"len(regexp_extract_all(lower(phrase), {q(PHRASE_TOKEN)})) AS n_words FROM (VALUES {vals}) v({cols[0]}, phrase))"
+    )
+
+
+def _lens(rows) -> list[int]:
+    import regex
+
+    return sorted({len(regex.findall(PHRASE_TOKEN, p.lower())) for _, p in rows})
+
+
+def phrase_match_sql(src: str, ids: list[str], text: str, rows, col: str, scoped: bool) -> str:
+    g = ngram_sql(src, ids, text, _lens(rows), scoped)
+    gi = ", ".join(f"g.{x}" for x in ids)
+    return (
+        f"(SELECT {gi}, g.seg, g.start, g.start + g.n_words AS \"end\", g.n_words, g.key, p.{col}, p.phrase "
+        f"FROM {g} g JOIN {phrase_values(rows, (col, 'phrase'))} p ON g.key = p.key AND g.n_words = p.n_words)"
+    )
+
+
+def negation_sql(src: str, ids: list[str], text: str, targets, cues) -> str:
+    """CTE chain -> relation ``negm`` (target matches with ``negated``)."""
+    i = ", ".join(ids)
+    on = " AND ".join(f"c.{x} = m.{x}" for x in ids)
+    on2 = " AND ".join(f"t.{x} = s.{x}" for x in ids)
+    return f"""tm AS {phrase_match_sql(src, ids, text, targets, 'category', True)},
+cm AS {phrase_match_sql(src, ids, text, cues, 'kind', True)},
+covered AS (SELECT DISTINCT {i}, seg, unnest(range(start, "end" + 1)) AS pos FROM cm WHERE kind = 'pseudo'),
+live AS (SELECT * FROM cm m WHERE kind IN ('preceding', 'following') AND NOT EXISTS
+         (SELECT 1 FROM covered c WHERE {on} AND c.seg = m.seg AND c.pos = m.start)),
+sc AS (SELECT {i}, seg, MIN(CASE WHEN kind = 'preceding' THEN start END) AS fp,
+       MAX(CASE WHEN kind = 'following' THEN "end" END) AS lf FROM live GROUP BY {i}, seg),
+negm AS (SELECT t.*, (COALESCE(s.fp < t.start, false) OR COALESCE(s.lf > t."end", false)) AS negated
+         FROM tm t LEFT JOIN sc s ON {on2} AND t.seg = s.seg)"""

@@ -678,6 +678,70 @@ def q_per_class_report(spark, sf):
     return r6(M.per_class_report(M.confusion(f, ["split"], FX.LABEL, "pred"), ["split"]))
 
 
+# --------------------------------------------------------------------------- #
+# Phrases and negation                                                        #
+# --------------------------------------------------------------------------- #
+PCATS = sorted({c for c, _ in FX.PHRASES})
+_NEG_SQL = f"{W}, {O.negation_sql('reports', ['doc_id'], 'text', FX.PHRASES, FX.CUES)}"
+_PF_SQL = (
+    "pf AS (SELECT doc_id, "
+    + ", ".join(f"MAX(CASE WHEN category = {O.q(c)} THEN 1 ELSE 0 END) AS pred_{c.lower()}" for c in PCATS)
+    + ", MAX(CASE WHEN category IN (" + ", ".join(O.q(c) for c in PCATS) + ") THEN 1 ELSE 0 END) AS pred_any "
+    "FROM negm WHERE NOT negated GROUP BY doc_id)"
+)
+
+
+def _docs_text(spark, sf) -> DataFrame:
+    return TV.report_view(spark, sf).select("doc_id", "text")
+
+
+@register(
+    "phrase_match",
+    f"{W} SELECT doc_id, seg, start, \"end\", category, phrase FROM "
+    f"{O.phrase_match_sql('reports', ['doc_id'], 'text', FX.PHRASES, 'category', False)}",
+)
+def q_phrase_match(spark, sf):
+    from cohortspark.operators import match as MT
+
+    m = MT.phrase_match(_docs_text(spark, sf), ["doc_id"], "text", FX.phrases_df(spark), "phrase", scoped=False)
+    return m.select("doc_id", "seg", "start", "end", "category", "phrase")
+
+
+@register("negated_match", f"{_NEG_SQL} SELECT doc_id, seg, start, \"end\", category, phrase, negated FROM negm")
+def q_negated_match(spark, sf):
+    from cohortspark.operators import match as MT
+
+    m = MT.negated_match(_docs_text(spark, sf), ["doc_id"], "text", FX.phrases_df(spark), FX.cues_df(spark), "phrase")
+    return m.select("doc_id", "seg", "start", "end", "category", "phrase", "negated")
+
+
+@register(
+    "phrase_flags",
+    f"{_NEG_SQL}, {_PF_SQL} SELECT r.doc_id, "
+    + ", ".join(f"COALESCE(pf.pred_{c.lower()}, 0) AS pred_{c.lower()}" for c in PCATS)
+    + ", COALESCE(pf.pred_any, 0) AS pred_any FROM reports r LEFT JOIN pf ON r.doc_id = pf.doc_id",
+)
+def q_phrase_flags(spark, sf):
+    f = C.phrase_flag_docs(_docs_text(spark, sf), FX.phrases_df(spark), FX.cues_df(spark), PCATS)
+    return f.select("doc_id", *[f"pred_{c.lower()}" for c in PCATS], "pred_any")
+
+
+_PHRASE_FLAGGED = (
+    "flagged AS (SELECT p.*, COALESCE(pf.pred_any, 0) AS pred, CAST(COALESCE(pf.pred_any, 0) AS DOUBLE) AS prob "
+    "FROM prepared p LEFT JOIN pf ON p.doc_id = pf.doc_id)"
+)
+
+
+@register(
+    "phrase_cohort",
+    f"{_NEG_SQL}, {_PF_SQL}, {_PHRASE_FLAGGED}, {O.levels_cte(pred_type='Phrase')}, "
+    f"{O.evaluate_sql('alllevels', C.LEVEL_COLS)} SELECT {', '.join(C.LEVEL_COLS)}, {O.EVAL_OUT} FROM evaluation",
+)
+def q_phrase_cohort(spark, sf):
+    run = C.phrase_cohort(reports(spark, sf), FX.phrases_df(spark), FX.cues_df(spark), PCATS, FX.LABEL)
+    return r6(run["evaluation"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
