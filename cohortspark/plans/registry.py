@@ -742,6 +742,127 @@ def q_phrase_cohort(spark, sf):
     return r6(run["evaluation"])
 
 
+# --------------------------------------------------------------------------- #
+# Model answers                                                               #
+# --------------------------------------------------------------------------- #
+LIKELY_KEY, LIKELY_MIN = "k", 50.0
+_DAMAGED = (
+    "CASE WHEN event_id % 5 = 0 AND event_type = 'error' THEN '42' WHEN event_id % 5 = 0 THEN props "
+    "WHEN event_id % 5 = 1 THEN regexp_replace(props, '\\}$', ',}') "
+    "WHEN event_id % 5 = 2 THEN 'Answer: ' || props || ' (end)' "
+    "WHEN event_id % 5 = 3 THEN regexp_replace(props, '\\}$', ' // checked' || chr(10) || '}') "
+    "ELSE substring(props, 1, length(props) - 1) END"
+)
+_ANS_SQL = (
+    f"ans AS (SELECT event_id AS ord, user_id AS study_id, CAST(ts AS DATE) AS procedure_date, {_DAMAGED} AS js FROM events), "
+    "rep AS (SELECT *, json_valid(js) AND NOT regexp_matches(js, ',\\s*[}\\]]') AS direct_ok, "
+    "regexp_replace(regexp_replace(regexp_replace(regexp_extract(js, '(?s)(\\{.*\\})', 1), '//[^\\n\\r]*', '', 'g'), "
+    "',\\s*\\}', '}', 'g'), ',\\s*\\]', ']', 'g') AS fixed FROM ans), "
+    "st AS (SELECT *, CASE WHEN direct_ok AND ltrim(js) LIKE '{%' THEN 'valid' WHEN direct_ok THEN 'none' "
+    "WHEN fixed <> '' AND json_valid(fixed) AND ltrim(fixed) LIKE '{%' THEN 'repaired' ELSE 'none' END AS status FROM rep), "
+    f"parsed AS (SELECT *, CASE status WHEN 'valid' THEN TRY_CAST(json_extract_string(js, '$.{LIKELY_KEY}') AS DOUBLE) "
+    f"WHEN 'repaired' THEN TRY_CAST(json_extract_string(fixed, '$.{LIKELY_KEY}') AS DOUBLE) END AS likelihood FROM st), "
+    f"resp AS (SELECT *, COALESCE(CAST(likelihood >= {LIKELY_MIN} AS INTEGER), 0) AS pred FROM parsed)"
+)
+
+
+def _responses(spark, sf) -> DataFrame:
+    from cohortspark.operators import responses as RS
+
+    a = RS.repair_json(TV.answers(spark, sf), "json_response", "full_response")
+    return RS.parse_response(a, {"likelihood": LIKELY_KEY}, LIKELY_MIN)
+
+
+@register("repair_json", f"WITH {_ANS_SQL} SELECT ord AS event_id, status FROM resp")
+def q_repair_json(spark, sf):
+    return _responses(spark, sf).select(F.col("ord").alias("event_id"), "status")
+
+
+@register("parse_response", f"WITH {_ANS_SQL} SELECT ord AS event_id, likelihood, pred FROM resp")
+def q_parse_response(spark, sf):
+    return _responses(spark, sf).select(F.col("ord").alias("event_id"), "likelihood", "pred")
+
+
+@register(
+    "llm_response_summary",
+    f"WITH {_ANS_SQL}, sm AS (SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(COUNT(DISTINCT study_id) AS BIGINT) AS patients, "
+    "CAST(COUNT(*) FILTER (WHERE status = 'valid') AS BIGINT) AS valid, CAST(COUNT(*) FILTER (WHERE status = 'repaired') AS BIGINT) AS repaired, "
+    "CAST(COUNT(*) FILTER (WHERE status = 'none') AS BIGINT) AS no_response, CAST(COUNT(*) FILTER (WHERE status <> 'none') AS BIGINT) AS successful, "
+    "CAST(SUM(pred) AS BIGINT) AS predicted FROM resp) "
+    "SELECT *, round(valid * 100.0 / total, 1) AS valid_pct, round(repaired * 100.0 / total, 1) AS repaired_pct, "
+    "round(no_response * 100.0 / total, 1) AS no_response_pct, round(successful * 100.0 / total, 1) AS successful_pct, "
+    "round(predicted * 100.0 / total, 1) AS predicted_pct FROM sm",
+)
+def q_llm_response_summary(spark, sf):
+    from cohortspark.operators import responses as RS
+
+    return RS.response_summary(_responses(spark, sf))
+
+
+_HUMAN_SQL = (
+    "hum AS (SELECT o_custkey % 150 AS study_id, CAST(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS DATE) AS endoscopy_date, "
+    "CAST(o_orderstatus = 'F' AS INTEGER) AS gold, o_orderkey AS ord FROM orders), "
+    "hum1 AS (SELECT study_id, endoscopy_date, arg_min(gold, ord) AS gold, MIN(ord) AS ord_human FROM hum GROUP BY ALL), "
+    "llm1 AS (SELECT study_id, procedure_date, arg_min(status, ord) AS status, arg_min(likelihood, ord) AS likelihood0, "
+    "(list(likelihood ORDER BY ord))[1] AS likelihood, arg_min(pred, ord) AS pred0, MIN(ord) AS ord_llm FROM resp GROUP BY ALL), "
+    "merged AS (SELECT h.study_id, h.endoscopy_date, l.procedure_date, h.gold, l.status, l.likelihood, "
+    "CASE WHEN l.status <> 'none' THEN l.pred0 END AS pred, h.ord_human, l.ord_llm "
+    "FROM hum1 h JOIN llm1 l ON h.study_id = l.study_id AND h.endoscopy_date = l.procedure_date)"
+)
+
+
+def _merged(spark, sf) -> DataFrame:
+    from cohortspark.operators import responses as RS
+
+    llm = _responses(spark, sf).select("study_id", "procedure_date", "status", "likelihood", "pred", "ord", "json_response")
+    return RS.merge_with_human(
+        llm, TV.human_labels(spark, sf), ["study_id", "procedure_date"], ["study_id", "endoscopy_date"], drop=["json_response"]
+    )
+
+
+@register(
+    "merge_llm_human",
+    f"WITH {_ANS_SQL}, {_HUMAN_SQL} SELECT study_id, endoscopy_date, procedure_date, gold, status, likelihood, pred, "
+    "ord_human, ord_llm FROM merged",
+)
+def q_merge_llm_human(spark, sf):
+    return _merged(spark, sf).select(
+        "study_id", "endoscopy_date", "procedure_date", "gold", "status", "likelihood", "pred", "ord_human", "ord_llm"
+    )
+
+
+@register(
+    "llm_cohort",
+    f"WITH {_ANS_SQL}, {_HUMAN_SQL}, src AS (SELECT 'all' AS dataset, 'patient' AS level, 'final' AS report_col, "
+    "'LLM' AS pred_type, gold, pred, CAST(pred AS DOUBLE) AS prob FROM merged), "
+    f"{O.evaluate_sql('src', C.LEVEL_COLS)} SELECT {', '.join(C.LEVEL_COLS)}, {O.EVAL_OUT} FROM evaluation",
+)
+def q_llm_cohort(spark, sf):
+    m = _merged(spark, sf).select(
+        F.lit("all").alias("dataset"), F.lit("patient").alias("level"), F.lit("final").alias("report_col"),
+        F.lit("LLM").alias("pred_type"), "gold", "pred", F.col("pred").cast("double").alias("prob"),
+    )
+    return r6(M.evaluate(m, C.LEVEL_COLS, "gold", "pred", "prob"))
+
+
+@register(
+    "llm_fairness",
+    f"WITH {_ANS_SQL}, {_HUMAN_SQL}, cust AS (SELECT c.c_custkey AS study_id, c.c_mktsegment AS segment, r.r_name AS region "
+    "FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey), "
+    "mp AS (SELECT 'all' AS dataset, 'LLM' AS pred_type, m.pred, m.gold, c.segment, c.region FROM merged m LEFT JOIN cust c ON m.study_id = c.study_id), "
+    f"{O.fairness_sql('mp', FKEYS, ['segment', 'region'], [('segment', 'BUILDING'), ('region', 'EUROPE')])} "
+    f"SELECT {FAIR_OUT} FROM fairness",
+)
+def q_llm_fairness(spark, sf):
+    from cohortspark.operators import fairness as FA
+
+    m = _merged(spark, sf).join(TV.patient_demographics(spark, sf), on="study_id", how="left")
+    m = m.select(F.lit("all").alias("dataset"), F.lit("LLM").alias("pred_type"), "pred", "gold", "segment", "region")
+    ref = spark.createDataFrame([("segment", "BUILDING"), ("region", "EUROPE")], "attribute string, ref_group string")
+    rep = FA.fairness_report(m, FKEYS, ["segment", "region"], "pred", "gold", ref)
+    return r6(rep.select(*[c.strip() for c in FAIR_OUT.split(",")]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -90,3 +90,55 @@ def concept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("STR"),
         F.col("p_partkey").alias("ord"),
     )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers built from ``events``: (study_id, procedure_date, json_response, full_response, ord).
+
+    ``props`` holds ``{"k": n}``; by ``event_id % 5`` it is kept, given a trailing
+    comma, wrapped in prose, given a ``//`` comment, or truncated.  Error events
+    of the first kind answer with a bare number (valid JSON, not an object).
+    """
+    ev = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 5
+    p = F.col("props")
+    damaged = (
+        F.when((k == 0) & (F.col("event_type") == "error"), F.lit("42"))
+        .when(k == 0, p)
+        .when(k == 1, F.regexp_replace(p, r"\}$", ",}"))
+        .when(k == 2, F.concat(F.lit("Answer: "), p, F.lit(" (end)")))
+        .when(k == 3, F.regexp_replace(p, r"\}$", " // checked\n}"))
+        .otherwise(F.expr("substring(props, 1, length(props) - 1)"))
+    )
+    return ev.select(
+        F.col("user_id").alias("study_id"),
+        F.to_date("ts").alias("procedure_date"),
+        damaged.alias("json_response"),
+        damaged.alias("full_response"),
+        F.col("event_id").alias("ord"),
+    )
+
+
+def human_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Human-validated rows built from ``orders`` in the key space of ``answers``:
+    study_id = o_custkey % 150, endoscopy_date = 2024-01-01 + (o_orderkey % 30) days,
+    gold = (o_orderstatus = 'F'), ord = o_orderkey; (study_id, date) repeats."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        (F.col("o_custkey") % 150).alias("study_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("endoscopy_date"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("gold"),
+        F.col("o_orderkey").alias("ord"),
+    )
+
+
+def patient_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demographics of a study id by joins customer -> nation -> region: (study_id, segment, region)."""
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    return (
+        c.join(n, c.c_nationkey == n.n_nationkey, "left")
+        .join(r, n.n_regionkey == r.r_regionkey, "left")
+        .select(F.col("c_custkey").alias("study_id"), F.col("c_mktsegment").alias("segment"), F.col("r_name").alias("region"))
+    )
