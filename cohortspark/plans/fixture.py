@@ -40,3 +40,17 @@ def cues_df(spark: SparkSession) -> DataFrame:
 
 def reference_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REFERENCE, "attribute string, ref_group string")
+
+# Term standardisation table for the documents: (alias, preferred, ord); overlapping on purpose.
+STANDARD_TERMS = [
+    ("mit license", "MIT License", 1),
+    ("license", "licence", 2),
+    ("apache license", "Apache License", 3),
+    ("thre", "three", 4),
+    ("eron", "Eron", 5),
+    ("the thre", "THE-THREE", 6),
+]
+
+
+def standard_terms_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(STANDARD_TERMS, "alias string, preferred string, ord long")

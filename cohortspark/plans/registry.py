@@ -863,6 +863,91 @@ def q_llm_fairness(spark, sf):
     return r6(rep.select(*[c.strip() for c in FAIR_OUT.split(",")]))
 
 
+# --------------------------------------------------------------------------- #
+# Concepts                                                                    #
+# --------------------------------------------------------------------------- #
+_CR_SQL = (
+    "cr AS (SELECT printf('C%07d', p_partkey % 500) AS CUI, CASE WHEN p_size > 45 THEN 'FRE' ELSE 'ENG' END AS LAT, "
+    "CASE WHEN p_partkey % 3 = 0 THEN 'S' ELSE 'P' END AS TS, CASE WHEN p_partkey % 2 = 0 THEN 'Y' ELSE 'N' END AS ISPREF, "
+    "CASE WHEN p_type IN ('ECONOMY', 'STANDARD', 'PROMO') THEN 'PT' ELSE 'SY' END AS TTY, p_name AS STR, p_partkey AS ord FROM part)"
+)
+
+
+@register("load_concepts", f"WITH {_CR_SQL} SELECT CUI, LAT, TS, ISPREF, TTY, STR, ord FROM cr")
+def q_load_concepts(spark, sf):
+    return TV.concept_rows(spark, sf)
+
+
+_TERMS_VALUES = ", ".join(f"({O.q(t)})" for t in FX.CONCEPT_TERMS)
+
+
+@register(
+    "term_to_concepts",
+    f"WITH {_CR_SQL}, terms(term) AS (VALUES {_TERMS_VALUES}) SELECT t.term, "
+    "COALESCE(string_agg(DISTINCT c.CUI, '|' ORDER BY c.CUI), '') AS cuis FROM terms t "
+    "LEFT JOIN cr c ON lower(trim(c.STR)) = lower(trim(t.term)) GROUP BY t.term",
+)
+def q_term_to_concepts(spark, sf):
+    from cohortspark.operators import concepts as CO
+
+    terms = spark.createDataFrame([(t,) for t in FX.CONCEPT_TERMS], "term string")
+    out = CO.term_to_concepts(TV.concept_rows(spark, sf), terms)
+    return out.select("term", F.array_join("cuis", "|").alias("cuis"))
+
+
+_CPAT = FX.CONCEPT_PATTERNS_A + FX.CONCEPT_PATTERNS_B
+_CRX = "(?i)(?:" + "|".join(f"(?:{p})" for p in _CPAT) + ")"
+
+
+@register(
+    "relevant_concepts",
+    f"WITH {_CR_SQL}, kept AS (SELECT * FROM cr WHERE LAT = 'ENG' AND TTY IN ('PT', 'SY')), "
+    f"ids AS (SELECT DISTINCT CUI FROM kept WHERE regexp_matches(STR, {O.q(_CRX)})) "
+    "SELECT CUI, TTY, STR, ord FROM kept WHERE CUI IN (SELECT CUI FROM ids)",
+)
+def q_relevant_concepts(spark, sf):
+    from cohortspark.operators import concepts as CO
+
+    rows, _ = CO.relevant_concepts(TV.concept_rows(spark, sf), _CPAT)
+    return rows.select("CUI", "TTY", "STR", "ord")
+
+
+@register(
+    "relevant_concepts_counts",
+    f"WITH {_CR_SQL} SELECT CAST(COUNT(*) AS BIGINT) AS rows_in, CAST(COUNT(*) FILTER (WHERE LAT <> 'ENG') AS BIGINT) AS dropped_language, "
+    "CAST(COUNT(*) FILTER (WHERE LAT = 'ENG' AND TTY NOT IN ('PT', 'SY')) AS BIGINT) AS dropped_kind FROM cr",
+)
+def q_relevant_concepts_counts(spark, sf):
+    from cohortspark.operators import concepts as CO
+
+    _, counts = CO.relevant_concepts(TV.concept_rows(spark, sf), _CPAT)
+    return counts
+
+
+@register(
+    "preferred_terms",
+    f"WITH {_CR_SQL}, cp AS (SELECT CUI, arg_min(STR, ord) AS preferred FROM cr WHERE (TS = 'P' OR ISPREF = 'Y') "
+    "AND TTY IN ('PT', 'PN', 'BN', 'IN') GROUP BY CUI), "
+    "al AS (SELECT lower(STR) AS alias, arg_max(CUI, ord) AS CUI, MIN(ord) AS ord FROM cr GROUP BY lower(STR)) "
+    "SELECT al.alias, COALESCE(cp.preferred, al.alias) AS preferred, al.CUI, al.ord FROM al LEFT JOIN cp ON al.CUI = cp.CUI",
+)
+def q_preferred_terms(spark, sf):
+    from cohortspark.operators import concepts as CO
+
+    _, term_pref = CO.preferred_terms(TV.concept_rows(spark, sf))
+    return term_pref
+
+
+@register("standardise_terms")
+def q_standardise_terms(spark, sf):
+    from cohortspark.operators import concepts as CO
+
+    docs = TV.report_view(spark, sf).select("doc_id", "text")
+    return CO.standardise_terms(docs, "doc_id", "text", FX.standard_terms_df(spark), out="standardised").select(
+        "doc_id", "standardised"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

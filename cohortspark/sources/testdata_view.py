@@ -78,14 +78,14 @@ def concept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``p_partkey % 500`` is the concept, ``p_name`` its string, ``p_type`` picks the
     term kind (PT for ECONOMY/STANDARD/PROMO, SY otherwise), ``p_size`` > 45 marks
-    a non-English row.
+    a non-English row, ``p_partkey`` % 3 / % 2 vary term status and preferred flag.
     """
     part = table(spark, sf_dir, "part")
     return part.select(
         F.format_string("C%07d", F.col("p_partkey") % 500).alias("CUI"),
         F.when(F.col("p_size") > 45, F.lit("FRE")).otherwise(F.lit("ENG")).alias("LAT"),
-        F.lit("P").alias("TS"),
-        F.lit("Y").alias("ISPREF"),
+        F.when(F.col("p_partkey") % 3 == 0, F.lit("S")).otherwise(F.lit("P")).alias("TS"),
+        F.when(F.col("p_partkey") % 2 == 0, F.lit("Y")).otherwise(F.lit("N")).alias("ISPREF"),
         F.when(F.col("p_type").isin("ECONOMY", "STANDARD", "PROMO"), F.lit("PT")).otherwise(F.lit("SY")).alias("TTY"),
         F.col("p_name").alias("STR"),
         F.col("p_partkey").alias("ord"),
