@@ -948,6 +948,202 @@ def q_standardise_terms(spark, sf):
     )
 
 
+# --------------------------------------------------------------------------- #
+# Features and explanations                                                   #
+# --------------------------------------------------------------------------- #
+_TOK2 = "regexp_extract_all(lower(COALESCE(text, '')), '[\\p{L}\\p{N}_]{2,}')"
+_TOKANY = "regexp_extract_all(lower(COALESCE(text, '')), '[\\p{L}\\p{N}_]+')"
+_TF_SQL = f"tf AS (SELECT doc_id, term, CAST(COUNT(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest({_TOK2}) AS term FROM reports) GROUP BY ALL)"
+
+
+def _tf(spark, sf, ngram_max=1, max_df=1.0) -> DataFrame:
+    from cohortspark.operators import features as FE
+
+    return FE.bow_features(TV.report_view(spark, sf).select("doc_id", "text"), "doc_id", "text", ngram_max, max_df)
+
+
+@register("bow_features", f"{W}, {_TF_SQL} SELECT doc_id, term, tf FROM tf")
+def q_bow_features(spark, sf):
+    return _tf(spark, sf)
+
+
+@register(
+    "bow_features_bigram",
+    f"{W}, tk AS (SELECT doc_id, {_TOK2} AS t FROM reports), "
+    "gr AS (SELECT doc_id, unnest(t) AS term FROM tk UNION ALL "
+    "SELECT doc_id, array_to_string(t[i:i + 1], ' ') FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM tk)), "
+    "tf0 AS (SELECT doc_id, term, CAST(COUNT(*) AS BIGINT) AS tf FROM gr GROUP BY ALL), "
+    "dfq AS (SELECT term, COUNT(*) AS dfc FROM tf0 GROUP BY term) "
+    "SELECT doc_id, term, tf FROM tf0 WHERE term IN (SELECT term FROM dfq WHERE dfc <= 0.75 * (SELECT COUNT(*) FROM reports))",
+)
+def q_bow_features_bigram(spark, sf):
+    return _tf(spark, sf, 2, 0.75)
+
+
+@register(
+    "tfidf_features",
+    f"{W}, {_TF_SQL}, nd AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM reports WHERE text IS NOT NULL), "
+    "dfq AS (SELECT term, COUNT(*) AS dfc FROM tf GROUP BY term), "
+    "w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * (ln((1 + nd.n) / (1 + dfq.dfc)) + 1) AS w FROM tf JOIN dfq ON tf.term = dfq.term, nd), "
+    "nr AS (SELECT doc_id, sqrt(SUM(w * w)) AS norm FROM w GROUP BY doc_id) "
+    "SELECT w.doc_id, w.term, w.tf, round(w.w / nr.norm, 6) AS weight FROM w JOIN nr ON w.doc_id = nr.doc_id",
+)
+def q_tfidf_features(spark, sf):
+    from cohortspark.operators import features as FE
+
+    v = TV.report_view(spark, sf)
+    n = v.filter(F.col("text").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    return r6(FE.tfidf_features(_tf(spark, sf), "doc_id", n))
+
+
+@register(
+    "stratified_folds",
+    f"{W} SELECT doc_id, gold_alt, CAST((row_number() OVER (PARTITION BY gold_alt ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold "
+    "FROM reports WHERE gold_alt IS NOT NULL",
+)
+def q_stratified_folds(spark, sf):
+    from cohortspark.operators import features as FE
+
+    v = TV.report_view(spark, sf, False).filter(F.col("gold_alt").isNotNull()).select("doc_id", "gold_alt")
+    return FE.stratified_folds(v, "doc_id", "gold_alt", 5).select("doc_id", "gold_alt", "fold")
+
+
+_WV_SQL = (
+    "wv AS (SELECT w.word, e.embedding AS vector FROM (SELECT DISTINCT unnest(" + _TOKANY + ") AS word FROM benchmark) w "
+    "JOIN embeddings e ON e.vec_id = (ascii(w.word) * 7 + length(w.word) * 13) % 500)"
+)
+
+
+@register(
+    "mean_word_vectors",
+    f"{W}, {_WV_SQL}, tk AS (SELECT doc_id, {_TOKANY} AS t FROM reports), "
+    "kn AS (SELECT k.doc_id, wv.vector FROM (SELECT doc_id, unnest(t) AS word FROM tk) k JOIN wv ON k.word = wv.word), "
+    "sm AS (SELECT doc_id, d - 1 AS dim, SUM(CAST(vector[d] AS DOUBLE)) AS s FROM (SELECT doc_id, vector, unnest(range(1, 65)) AS d FROM kn) GROUP BY ALL), "
+    "gd AS (SELECT doc_id, len(t) AS ntok, unnest(range(0, 64)) AS dim FROM tk) "
+    "SELECT gd.doc_id, gd.dim, round(CASE WHEN ntok > 0 THEN COALESCE(sm.s, 0.0) / ntok ELSE 0.0 END, 6) AS value "
+    "FROM gd LEFT JOIN sm ON gd.doc_id = sm.doc_id AND gd.dim = sm.dim",
+)
+def q_mean_word_vectors(spark, sf):
+    from cohortspark.operators import features as FE
+
+    docs = TV.report_view(spark, sf).select("doc_id", "text")
+    out = FE.mean_word_vectors(docs, "doc_id", "text", TV.word_vectors(spark, sf), 64)
+    return r6(out.select("doc_id", F.col("dim").cast("long").alias("dim"), "value"))
+
+
+_EMB_SQL = (
+    "el AS (SELECT vec_id, d - 1 AS dim, CAST(embedding[d] AS DOUBLE) AS value, CAST(label < 5 AS INTEGER) AS y "
+    "FROM (SELECT vec_id, embedding, label, unnest(range(1, 65)) AS d FROM embeddings)), "
+    "co AS (SELECT dim, corr(value, y) AS coefficient FROM el GROUP BY dim)"
+)
+
+
+def _emb_long(spark, sf) -> DataFrame:
+    e = TV.table(spark, sf, "embeddings")
+    return e.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), F.posexplode("embedding").alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("long").alias("dim"), F.col("value").cast("double").alias("value"), "y"
+    )
+
+
+@register(
+    "dimension_exemplars",
+    f"WITH {_EMB_SQL}, tp AS (SELECT dim, coefficient FROM co ORDER BY abs(coefficient) DESC, dim LIMIT 3), "
+    "rk AS (SELECT el.dim, tp.coefficient, el.vec_id, el.value, row_number() OVER (PARTITION BY el.dim ORDER BY el.value DESC, el.vec_id) AS hi, "
+    "row_number() OVER (PARTITION BY el.dim ORDER BY el.value ASC, el.vec_id) AS lo FROM el JOIN tp ON el.dim = tp.dim) "
+    "SELECT dim, round(coefficient, 6) AS coefficient, vec_id, round(value, 6) AS value, CASE WHEN hi <= 5 THEN 'top' ELSE 'bottom' END AS side, "
+    "CASE WHEN hi <= 5 THEN hi ELSE lo END AS rank FROM rk WHERE hi <= 5 OR lo <= 5",
+)
+def q_dimension_exemplars(spark, sf):
+    from cohortspark.operators import explain as EX
+
+    el = _emb_long(spark, sf)
+    coefs = el.groupBy("dim").agg(F.corr("value", F.col("y").cast("double")).alias("coefficient"))
+    out = EX.dimension_exemplars(el.drop("y"), coefs, "vec_id", 3, 5)
+    return r6(out.withColumn("rank", F.col("rank").cast("long")))
+
+
+_LOGODDS_SQL = (
+    "lab AS (SELECT doc_id, gold_alt AS y FROM reports WHERE gold_alt IS NOT NULL), "
+    "cls AS (SELECT SUM(y) AS npos, COUNT(*) - SUM(y) AS nneg FROM lab), "
+    "tl AS (SELECT tf.term, SUM(l.y) AS p, COUNT(*) - SUM(l.y) AS q FROM tf JOIN lab l ON tf.doc_id = l.doc_id GROUP BY tf.term), "
+    "coefs AS (SELECT term AS feature, ln((p + 1.0) / (npos + 2.0)) - ln((q + 1.0) / (nneg + 2.0)) AS coefficient FROM tl, cls)"
+)
+
+
+def _log_odds(spark, sf, tf: DataFrame) -> DataFrame:
+    from cohortspark.operators import classify as CL
+
+    lab = TV.report_view(spark, sf, False).filter(F.col("gold_alt").isNotNull()).select("doc_id", F.col("gold_alt").alias("y"))
+    return CL.log_count_ratio(tf, lab, "doc_id")
+
+
+@register(
+    "feature_importance",
+    f"{W}, {_TF_SQL}, {_LOGODDS_SQL}, "
+    "hd AS (SELECT feature, coefficient, 'positive' AS side, row_number() OVER (ORDER BY coefficient DESC, feature) AS rank FROM coefs), "
+    "tl2 AS (SELECT feature, coefficient, 'negative' AS side, row_number() OVER (ORDER BY coefficient ASC, feature) AS rank FROM coefs) "
+    "SELECT feature, round(coefficient, 6) AS coefficient, side, CAST(rank AS INTEGER) AS rank FROM hd WHERE rank <= 10 "
+    "UNION ALL SELECT feature, round(coefficient, 6), side, CAST(rank AS INTEGER) FROM tl2 WHERE rank <= 10",
+)
+def q_feature_importance(spark, sf):
+    from cohortspark.operators import explain as EX
+
+    coefs = _log_odds(spark, sf, _tf(spark, sf))
+    return r6(EX.feature_importance(coefs, 10))
+
+
+@register(
+    "linear_attribution",
+    f"{W}, {_TF_SQL}, {_LOGODDS_SQL}, nd AS (SELECT CAST(COUNT(DISTINCT doc_id) AS DOUBLE) AS n FROM tf), "
+    "st AS (SELECT term, SUM(tf) / MAX(nd.n) AS mean, COUNT(*) AS dfc FROM tf, nd GROUP BY term), "
+    "ph AS (SELECT tf.term, SUM(abs(c.coefficient * (tf.tf - st.mean))) AS a FROM tf JOIN st ON tf.term = st.term "
+    "JOIN coefs c ON c.feature = tf.term GROUP BY tf.term) "
+    "SELECT st.term, round((COALESCE(ph.a, 0) + (nd.n - st.dfc) * abs(c.coefficient * st.mean)) / nd.n, 6) AS mean_abs_phi "
+    "FROM st JOIN coefs c ON c.feature = st.term LEFT JOIN ph ON ph.term = st.term, nd",
+)
+def q_linear_attribution(spark, sf):
+    from cohortspark.operators import explain as EX
+
+    tf = _tf(spark, sf)
+    _, rank = EX.linear_attribution(tf, _log_odds(spark, sf, tf), "doc_id")
+    return r6(rank)
+
+
+_PIECES_SQL = (
+    "tks AS (SELECT doc_id AS doc, unnest(" + _TOKANY.replace("COALESCE(text, '')", "COALESCE(text, '')") + ") AS tok, "
+    "unnest(range(0, len(" + _TOKANY + "))) AS tpos FROM documents), "
+    "pcs AS (SELECT doc, tpos, tok, unnest(range(0, CAST(ceil(length(tok) / 4.0) AS BIGINT))) AS j FROM tks), "
+    "ts AS (SELECT doc, tpos * 1000 + j AS pos, CASE WHEN j = 0 THEN substring(tok, j * 4 + 1, 4) ELSE '##' || substring(tok, j * 4 + 1, 4) END AS token, "
+    "(ascii(substring(tok, j * 4 + 1, 4)) % 11 - 5) / 4.0 AS score FROM pcs), "
+    "mw AS (SELECT doc, SUM(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS word_id, "
+    "pos, CASE WHEN starts_with(token, '##') THEN substring(token, 3) ELSE token END AS piece, score FROM ts), "
+    "words AS (SELECT doc, word_id, string_agg(piece, '' ORDER BY pos) AS word, SUM(score) AS score, MIN(pos) AS start_pos FROM mw GROUP BY doc, word_id)"
+)
+
+
+def _words(spark, sf) -> DataFrame:
+    from cohortspark.operators import explain as EX
+
+    return EX.merge_subwords(TV.token_scores(spark, sf), "doc", "pos")
+
+
+@register("merge_subwords", f"WITH {_PIECES_SQL} SELECT doc, word_id, word, round(score, 6) AS score, start_pos FROM words")
+def q_merge_subwords(spark, sf):
+    return r6(_words(spark, sf).select("doc", F.col("word_id").cast("long").alias("word_id"), "word", "score", "start_pos"))
+
+
+@register(
+    "top_tokens",
+    f"WITH {_PIECES_SQL}, fw AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY abs(score) DESC, start_pos) AS r FROM words "
+    "WHERE length(word) >= 4 AND word NOT IN ('[CLS]', '[SEP]', '[PAD]', '<s>', '</s>', '<pad>')) "
+    "SELECT doc, string_agg(printf('%s(%+.2f)', word, score), ' | ' ORDER BY r) AS top_tokens FROM fw WHERE r <= 5 GROUP BY doc",
+)
+def q_top_tokens(spark, sf):
+    from cohortspark.operators import explain as EX
+
+    return EX.top_tokens(_words(spark, sf), "doc", 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

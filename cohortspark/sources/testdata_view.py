@@ -142,3 +142,36 @@ def patient_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(r, n.n_regionkey == r.r_regionkey, "left")
         .select(F.col("c_custkey").alias("study_id"), F.col("c_mktsegment").alias("segment"), F.col("r_name").alias("region"))
     )
+
+
+VEC_BUCKETS = 500
+
+
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vectors: distinct lower-cased tokens of ``benchmark`` texts, each paired with the
+    ``embeddings`` row ``vec_id = (ascii(word) * 7 + length(word) * 13) % 500``."""
+    from cohortspark.functions import text as tx
+
+    b = table(spark, sf_dir, "benchmark")
+    words = b.select(F.explode(tx.tokens("text", tx.TOKEN_ANY)).alias("word")).distinct()
+    words = words.withColumn("vec_id", ((F.ascii("word") * 7 + F.length("word") * 13) % VEC_BUCKETS).cast("long"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return words.join(e, on="vec_id", how="inner").select("word", "vector")
+
+
+def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, pos, token, score): document tokens cut into pieces of 4 characters, pieces after
+    the first marked ``##``; pos = token position * 1000 + piece index; score from the piece text."""
+    from cohortspark.functions import text as tx
+
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.tokens("text", tx.TOKEN_ANY).alias("_t"))
+    t = d.select(F.col("doc_id").alias("doc"), F.posexplode("_t").alias("tpos", "tok"))
+    n = F.expr("cast(ceil(length(tok) / 4.0) as int)")
+    t = t.select("doc", "tpos", "tok", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("j", "_j"))
+    piece = F.expr("substring(tok, j * 4 + 1, 4)")
+    return t.select(
+        "doc",
+        (F.col("tpos") * 1000 + F.col("j")).alias("pos"),
+        F.when(F.col("j") == 0, piece).otherwise(F.concat(F.lit("##"), piece)).alias("token"),
+        ((F.ascii(piece) % 11 - 5) / 4.0).alias("score"),
+    )
