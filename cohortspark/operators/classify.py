@@ -24,3 +24,153 @@ def log_count_ratio(tf: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     tl = tl.withColumn("_k", F.lit(1)).join(F.broadcast(cls), on="_k")
     coef = F.log((F.col("p") + 1.0) / (F.col("npos") + 2.0)) - F.log((F.col("q") + 1.0) / (F.col("nneg") + 2.0))
     return tl.select(F.col("term").alias("feature"), coef.alias("coefficient"))
+
+
+def _lr(c: float, n: float, penalty: str, weight_col: str | None = None):
+    from pyspark.ml.classification import LogisticRegression
+
+    kw = dict(
+        featuresCol="features", labelCol="label", regParam=1.0 / (c * max(n, 1.0)),
+        elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False, maxIter=100,
+    )
+    if weight_col:
+        kw["weightCol"] = weight_col
+    return LogisticRegression(**kw)
+
+
+def text_pipeline(text_col: str, ngram_max: int = 1, max_df: float = 1.0, tfidf: bool = False, vocab_size: int = 1 << 18):
+    """Feature stages: tokens of >= 2 word characters (lower-cased), uni(+bi)-grams, counts (+IDF, L2)."""
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+
+    from cohortspark.functions import text as tx
+
+    stages = [
+        SQLTransformer(statement=f"SELECT *, coalesce({text_col}, '') AS _text FROM __THIS__"),
+        RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=tx.TOKEN_2PLUS, gaps=False, toLowercase=True, minTokenLength=1),
+    ]
+    terms = "_tok"
+    if ngram_max >= 2:
+        stages += [
+            NGram(n=2, inputCol="_tok", outputCol="_bi"),
+            SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
+        ]
+        terms = "_terms"
+    stages.append(CountVectorizer(inputCol=terms, outputCol="_tf" if tfidf else "features", maxDF=max_df, vocabSize=vocab_size))
+    if tfidf:
+        # Spark's idf is ln((n+1)/(df+1)); the +1 smoothing of the original weighting is not available here.
+        stages += [IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features", p=2.0)]
+    return stages
+
+
+# op 71
+def train_text_classifier(
+    train: DataFrame, text_col: str, label_col: str, ngram_max: int = 1, max_df: float = 1.0, tfidf: bool = False,
+    c: float = 1.0, penalty: str = "l2",
+):
+    """Vectoriser + logistic regression on rows with text and label; None when no rows remain."""
+    from pyspark.ml import Pipeline
+
+    d = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).withColumn("label", F.col(label_col).cast("double"))
+    n = d.count()
+    if n == 0:
+        return None
+    stages = text_pipeline(text_col, ngram_max, max_df, tfidf) + [_lr(c, n, penalty)]
+    return Pipeline(stages=stages).fit(d)
+
+
+# op 76
+def predict_text(model, df: DataFrame, out_prob: str = "prob", out_pred: str = "pred", threshold: float = 0.5) -> DataFrame:
+    """P(1) and label from a fitted pipeline; no model -> zeros.  Null text is scored as ''."""
+    from pyspark.ml.functions import vector_to_array
+
+    if model is None:
+        return df.withColumns({out_prob: F.lit(0.0), out_pred: F.lit(0)})
+    cols = df.columns
+    p = model.transform(df).withColumn(out_prob, vector_to_array("probability")[1])
+    return p.select(*cols, out_prob).withColumn(out_pred, (F.col(out_prob) >= threshold).cast("int"))
+
+
+# op 74
+def grid_search(
+    train: DataFrame, text_col: str, label_col: str, fold_col: str = "fold", max_dfs=(0.75, 1.0), ngrams=(1, 2),
+    penalties=("l1", "l2"), cs=(0.01, 0.1, 1.0, 10.0), tfidf: bool = False, parallelism: int = 4,
+) -> DataFrame:
+    """k-fold search by ROC-AUC; feature settings are an outer loop (one feature table each),
+    penalty x C run inside ``CrossValidator`` on the given fold column.  Returns the grid table."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    d = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).withColumn("label", F.col(label_col).cast("double"))
+    n = d.count()
+    rows = []
+    for mdf in max_dfs:
+        for ng in ngrams:
+            feats = Pipeline(stages=text_pipeline(text_col, ng, mdf, tfidf)).fit(d).transform(d).select("features", "label", fold_col)
+            feats = feats.withColumn(fold_col, F.col(fold_col).cast("int"))
+            lr = _lr(1.0, n, "l2")
+            grid = ParamGridBuilder()
+            grid = grid.addGrid(lr.elasticNetParam, [1.0 if p == "l1" else 0.0 for p in penalties])
+            grid = grid.addGrid(lr.regParam, [1.0 / (c * n) for c in cs]).build()
+            cv = CrossValidator(
+                estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
+                foldCol=fold_col, parallelism=parallelism,
+            )
+            m = cv.fit(feats)
+            for pm, auc in zip(grid, m.avgMetrics):
+                en = pm[lr.elasticNetParam]
+                rp = pm[lr.regParam]
+                rows.append((float(mdf), int(ng), "l1" if en == 1.0 else "l2", float(1.0 / (rp * n)), float(auc)))
+    return train.sparkSession.createDataFrame(rows, "max_df double, ngram_max int, penalty string, c double, roc_auc double")
+
+
+# op 81
+def embedding_classifier(train: DataFrame, vec_col: str, label_col: str, c: float = 1.0, penalty: str = "l2"):
+    """Logistic regression on a supplied dense vector column (array<float> or vector)."""
+    from pyspark.ml.functions import array_to_vector
+
+    d = train.filter(F.col(vec_col).isNotNull() & F.col(label_col).isNotNull())
+    d = d.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"), F.col(label_col).cast("double").alias("label"))
+    n = d.count()
+    return _lr(c, n, penalty).fit(d) if n else None
+
+
+def predict_embedding(model, df: DataFrame, vec_col: str, out_prob: str = "prob", out_pred: str = "pred") -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    if model is None:
+        return df.withColumns({out_prob: F.lit(0.0), out_pred: F.lit(0)})
+    cols = df.columns
+    x = df.withColumn("features", array_to_vector(F.col(vec_col).cast("array<double>")))
+    p = model.transform(x).withColumn(out_prob, vector_to_array("probability")[1])
+    return p.select(*cols, out_prob).withColumn(out_pred, (F.col(out_prob) >= 0.5).cast("int"))
+
+
+# op 79
+def patient_meta_model(train: DataFrame, val: DataFrame, feature_cols: list[str], label_col: str) -> DataFrame:
+    """Scale without centring + class-balanced logistic regression on patient features
+    (null -> 0), threshold 0.5; returns ``val`` with ``meta_prob`` and ``meta_pred``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    def prep(df):
+        return df.fillna(0.0, subset=feature_cols).withColumn("label", F.col(label_col).cast("double"))
+
+    tr = prep(train)
+    counts = tr.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
+    tot = tr.agg(F.count(F.lit(1)).alias("_n"))
+    w = counts.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), on="_k").select(
+        "label", (F.col("_n") / (2.0 * F.col("_nc"))).alias("_w")
+    )
+    tr = tr.join(F.broadcast(w), on="label", how="left")
+    n = tot.collect()[0][0] or 1
+    pipe = Pipeline(stages=[
+        VectorAssembler(inputCols=feature_cols, outputCol="_x"),
+        StandardScaler(inputCol="_x", outputCol="features", withMean=False, withStd=True),
+        _lr(1.0, n, "l2", weight_col="_w"),
+    ])
+    m = pipe.fit(tr)
+    cols = val.columns
+    p = m.transform(prep(val)).withColumn("meta_prob", vector_to_array("probability")[1])
+    return p.select(*cols, "meta_prob").withColumn("meta_pred", (F.col("meta_prob") >= 0.5).cast("int"))

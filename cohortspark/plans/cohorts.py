@@ -10,6 +10,7 @@ shuffles on the data (visit roll-up, patient roll-up) plus tiny metric tables.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,16 @@ LEVEL_COLS = ["dataset", "level", "report_col", "pred_type"]
 
 
 def _doc_level(flagged: DataFrame, label: str, pred_type: str, demographics: list[str]) -> DataFrame:
+    """Narrow document-level table (no text).  It feeds three consumers (document
+    metrics, visit and patient roll-ups), so it is persisted: the expensive text
+    work (regex, phrase joins, model scoring) then runs once per document.  The
+    table holds ids, flags and scores only, a small fraction of the input bytes;
+    a lost executor recomputes its blocks from the short lineage."""
     return flagged.select(
         F.col("split").alias("dataset"), "study_id", "visit_id", "report_col", "ord",
         F.col(label).alias("gold"), F.col("pred").cast("int").alias("pred"),
         F.col("prob").cast("double").alias("prob"), *demographics,
-    ).withColumns({"level": F.lit("document"), "pred_type": F.lit(pred_type)})
+    ).withColumns({"level": F.lit("document"), "pred_type": F.lit(pred_type)}).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def roll_up_levels(docs: DataFrame, pred_type: str, demographics: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -129,3 +135,63 @@ def compare_variants(runs: dict[str, DataFrame]) -> DataFrame:
         d = df.withColumn("mode", F.lit(mode))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def _per_column(reports: DataFrame, report_cols: list[str], fit, predict) -> DataFrame:
+    """Fit one model per report column on training rows and score every row of that column.
+
+    The loop runs over the report columns of the schema (a handful), not over data.
+    """
+    parts = []
+    for rc in report_cols:
+        part = reports.filter(F.col("report_col") == rc)
+        model = fit(part.filter(F.col("split") == "train"))
+        parts.append(predict(model, part))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def text_cohort(
+    reports: DataFrame, report_cols: list[str], label: str = "gold_alt", tfidf: bool = False, ngram_max: int = 1,
+    max_df: float = 1.0, c: float = 1.0, penalty: str = "l2", demographics: list[str] = (), pred_type: str = "BOW",
+) -> dict[str, DataFrame]:
+    """Bag-of-words / TF-IDF family (ops 95, 96): document models per report column, then the roll-up."""
+    from cohortspark.operators import classify as CL
+
+    def fit(train):
+        return CL.train_text_classifier(train, "text", label, ngram_max, max_df, tfidf, c, penalty)
+
+    def predict(model, df):
+        return CL.predict_text(model, df)
+
+    scored = _per_column(reports, report_cols, fit, predict)
+    docs = _doc_level(scored, label, pred_type, list(demographics))
+    visit, pat = roll_up_levels(docs, pred_type, list(demographics))
+    return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}
+
+
+def embedding_cohort(
+    reports: DataFrame, vectors: DataFrame, report_cols: list[str], label: str = "gold_alt", dim: int = 64,
+    c: float = 1.0, penalty: str = "l2", demographics: list[str] = (), pred_type: str = "Embedding",
+) -> dict[str, DataFrame]:
+    """Embedding family (op 97): mean word vectors (op 80) -> classifier per report column (op 81) -> roll-up."""
+    from cohortspark.operators import classify as CL
+    from cohortspark.operators import features as FE
+
+    long = FE.mean_word_vectors(reports.select("doc_id", "text"), "doc_id", "text", vectors, dim)
+    arr = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_v"))
+    arr = arr.select("doc_id", F.transform("_v", lambda x: x["value"]).alias("embedding"))
+    rep = reports.join(arr, on="doc_id", how="left")
+
+    def fit(train):
+        return CL.embedding_classifier(train, "embedding", label, c, penalty)
+
+    def predict(model, df):
+        return CL.predict_embedding(model, df, "embedding")
+
+    scored = _per_column(rep, report_cols, fit, predict)
+    docs = _doc_level(scored, label, pred_type, list(demographics))
+    visit, pat = roll_up_levels(docs, pred_type, list(demographics))
+    return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}

@@ -1144,6 +1144,102 @@ def q_top_tokens(spark, sf):
     return EX.top_tokens(_words(spark, sf), "doc", 5)
 
 
+# --------------------------------------------------------------------------- #
+# Learned cohorts and model operators (rows-only checks)                      #
+# --------------------------------------------------------------------------- #
+@register("bow_cohort")
+def q_bow_cohort(spark, sf):
+    return r6(C.text_cohort(reports(spark, sf), TV.REPORT_SLOTS, FX.LABEL, pred_type="BOW")["evaluation"])
+
+
+@register("tfidf_cohort")
+def q_tfidf_cohort(spark, sf):
+    run = C.text_cohort(reports(spark, sf), TV.REPORT_SLOTS, FX.LABEL, tfidf=True, ngram_max=2, max_df=0.75, pred_type="TFIDF")
+    return r6(run["evaluation"])
+
+
+@register("embedding_cohort")
+def q_embedding_cohort(spark, sf):
+    run = C.embedding_cohort(reports(spark, sf), TV.word_vectors(spark, sf), TV.REPORT_SLOTS, FX.LABEL)
+    return r6(run["evaluation"])
+
+
+@register("train_text_classifier")
+def q_train_text_classifier(spark, sf):
+    from cohortspark.operators import classify as CL
+
+    rep = reports(spark, sf)
+    model = CL.train_text_classifier(rep.filter(F.col("split") == "train"), "text", FX.LABEL)
+    return CL.predict_text(model, rep.filter(F.col("split") == "validation")).select("doc_id", "prob", "pred")
+
+
+@register("predict_text")
+def q_predict_text(spark, sf):
+    from cohortspark.operators import classify as CL
+
+    rep = reports(spark, sf)
+    model = CL.train_text_classifier(rep.filter(F.col("split") == "train"), "text", FX.LABEL, ngram_max=2, tfidf=True)
+    return CL.predict_text(model, rep).select("doc_id", "split", "prob", "pred")
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    from cohortspark import defaults
+    from cohortspark.operators import classify as CL
+    from cohortspark.operators import features as FE
+
+    lab = reports(spark, sf).filter((F.col("split") == "train") & F.col(FX.LABEL).isNotNull())
+    folds = FE.stratified_folds(lab, "doc_id", FX.LABEL, defaults.CV_FOLDS)
+    return CL.grid_search(folds, "text", FX.LABEL, "fold", defaults.GRID_MAX_DF, defaults.GRID_NGRAMS, defaults.GRID_PENALTY, defaults.GRID_C)
+
+
+@register("embedding_classifier")
+def q_embedding_classifier(spark, sf):
+    from cohortspark.operators import classify as CL
+
+    e = TV.table(spark, sf, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
+    e = e.withColumn("split", F.when(F.col("vec_id") % 5 == 0, "validation").otherwise("train"))
+    model = CL.embedding_classifier(e.filter(F.col("split") == "train"), "embedding", "y")
+    p = CL.predict_embedding(model, e, "embedding")
+    return r6(M.evaluate(p, ["split"], "y", "pred", "prob"))
+
+
+@register("patient_meta_model")
+def q_patient_meta_model(spark, sf):
+    from cohortspark.operators import classify as CL
+
+    run = C.text_cohort(reports(spark, sf), TV.REPORT_SLOTS, FX.LABEL, pred_type="BOW")
+    docs = run["docs"]
+    feats = docs.groupBy("dataset", "study_id").pivot("report_col", TV.REPORT_SLOTS).agg(F.max("prob"))
+    gold = docs.groupBy("dataset", "study_id").agg(F.coalesce(F.max("gold"), F.lit(0)).alias("gold"))
+    pts = feats.join(gold, on=["dataset", "study_id"])
+    out = CL.patient_meta_model(pts.filter(F.col("dataset") == "train"), pts.filter(F.col("dataset") == "validation"), TV.REPORT_SLOTS, "gold")
+    return r6(out.select("study_id", "gold", "meta_prob", "meta_pred"))
+
+
+@register(
+    "scored_cohort",
+    f"{W}, {SCORED_SQL}, flagged AS (SELECT *, CAST(score >= 0.4 AS INTEGER) AS pred, score AS prob FROM scored), "
+    f"{O.levels_cte(pred_type='Scored')}, {O.evaluate_sql('alllevels', C.LEVEL_COLS)} "
+    f"SELECT {', '.join(C.LEVEL_COLS)}, {O.EVAL_OUT} FROM evaluation",
+)
+def q_scored_cohort(spark, sf):
+    s = _scored(spark, sf).withColumn("pred", (F.col("score") >= 0.4).cast("int"))
+    return r6(C.scored_cohort(s, FX.LABEL, pred_type="Scored")["evaluation"])
+
+
+@register("compare_variants")
+def q_compare_variants(spark, sf):
+    from cohortspark.operators import concepts as CO
+
+    rep = reports(spark, sf)
+    std = CO.standardise_terms(rep, "doc_id", "text", FX.standard_terms_df(spark)).persist()
+    # the standardised text spells the category words differently, so the same vocabulary finds less
+    raw = C.regex_cohort(rep, FX.vocab_df(spark), FX.LABEL)["evaluation"]
+    stdz = C.regex_cohort(std, FX.vocab_df(spark), FX.LABEL)["evaluation"]
+    return r6(C.compare_variants({"raw": raw, "standardised": stdz}))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
