@@ -1240,6 +1240,214 @@ def q_compare_variants(spark, sf):
     return r6(C.compare_variants({"raw": raw, "standardised": stdz}))
 
 
+# --------------------------------------------------------------------------- #
+# Sinks, formats, remaining projections                                       #
+# --------------------------------------------------------------------------- #
+_COHORT_EVAL_SQL = f"{W}, {O.flagged_cte()}, {O.levels_cte()}, {O.evaluate_sql('alllevels', C.LEVEL_COLS)}"
+
+
+@register(
+    "calibration_summary",
+    f"{_COHORT_EVAL_SQL} SELECT report_col, pred_type, level, brier AS Brier_Score FROM evaluation WHERE dataset = 'validation'",
+)
+def q_calibration_summary(spark, sf):
+    from cohortspark.sources import sinks as SK
+
+    return SK.calibration_summary(q_regex_cohort(spark, sf))
+
+
+@register("write_eval", f"{_COHORT_EVAL_SQL} SELECT {', '.join(C.LEVEL_COLS)}, n, tp, fp, fn, tn FROM evaluation")
+def q_write_eval(spark, sf):
+    from cohortspark.session import scratch_path
+    from cohortspark.sources import sinks as SK
+
+    path = scratch_path(spark, "eval_regex_cohort")
+    SK.write_eval(q_regex_cohort(spark, sf), path)
+    return spark.read.parquet(path).select(*C.LEVEL_COLS, "n", "tp", "fp", "fn", "tn")
+
+
+@register("write_fairness", f"{_FAIR_SRC} SELECT dataset, level, attribute, grp, n, tp FROM fairness")
+def q_write_fairness(spark, sf):
+    from cohortspark.session import scratch_path
+    from cohortspark.sources import sinks as SK
+
+    path = scratch_path(spark, "fairness_regex_cohort")
+    SK.write_fairness(q_fairness_report(spark, sf), path, fmt="csv")
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).select(
+        "dataset", "level", "attribute", "grp", F.col("n").cast("long").alias("n"), F.col("tp").cast("long").alias("tp")
+    )
+
+
+def _pct_sql(e, lo, hi):
+    return (f"CASE WHEN {e} IS NULL THEN 'N/A' WHEN {lo} IS NULL OR {hi} IS NULL THEN printf('%.2f%% (CI: N/A)', {e} * 100) "
+            f"ELSE printf('%.2f%% (CI: %.2f%% - %.2f%%)', {e} * 100, {lo} * 100, {hi} * 100) END")
+
+
+@register(
+    "format_metrics",
+    f"{W}, {O.flagged_cte()}, {O.evaluate_sql('(SELECT split, report_col, gold_alt AS gold, pred, prob FROM flagged)', DOC_KEYS)}, "
+    "fm AS (SELECT split, report_col, "
+    + ", ".join(f"{_pct_sql(m, m + '_lo', m + '_hi')} AS {m}_text" for m in ["accuracy", "precision", "recall", "specificity", "npv"])
+    + ", CASE WHEN mcc IS NULL THEN 'N/A' ELSE printf('%.4f', mcc) END AS mcc_text FROM evaluation) "
+    "SELECT *, TRY_CAST(regexp_extract(accuracy_text, '^\\s*(-?[0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) AS accuracy_pct FROM fm",
+)
+def q_format_metrics(spark, sf):
+    from cohortspark.functions import fmt as FM
+
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark))
+    e = M.evaluate(f, DOC_KEYS, FX.LABEL, "pred", "prob")
+    cols = [FM.pct_ci(m, f"{m}_lo", f"{m}_hi").alias(f"{m}_text") for m in ["accuracy", "precision", "recall", "specificity", "npv"]]
+    out = e.select(*DOC_KEYS, *cols, FM.num("mcc").alias("mcc_text"))
+    return out.withColumn("accuracy_pct", FM.leading_number("accuracy_text"))
+
+
+@register(
+    "combine_categories",
+    f"{W}, {O.flagged_cte()} SELECT doc_id, pred_a, pred_b, GREATEST(pred_a, pred_b) AS combined FROM flagged",
+)
+def q_combine_categories(spark, sf):
+    from cohortspark.operators import match as MT
+
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark))
+    return f.select("doc_id", "pred_a", "pred_b", MT.combine_categories("pred_a", "pred_b").alias("combined"))
+
+
+@register(
+    "pattern_with_concept",
+    f"{W} SELECT doc_id, "
+    + O.regex_flag_sql("text", [p + r"(?:\s*\(C\d{4,}\))?" for c, p in FX.VOCAB if c == "A"]) + " AS pred_a, "
+    "CAST(COALESCE(regexp_matches(text, '\\(C\\d{4,}\\)'), false) AS INTEGER) AS pred_cui FROM reports",
+)
+def q_pattern_with_concept(spark, sf):
+    from cohortspark.operators import match as MT
+
+    v = TV.report_view(spark, sf).select("doc_id", "text")
+    voc = MT.pattern_with_concept(FX.vocab_df(spark).filter(F.col("category") == "A"))
+    out = MT.regex_flags(v, voc, "text", whole_word=True)
+    return out.select("doc_id", "pred_a", MT.regex_flag("text", [MT.CONCEPT_ID_PATTERN]).alias("pred_cui"))
+
+
+@register("normalise_text")
+def q_normalise_text(spark, sf):
+    from cohortspark.operators import match as MT
+
+    v = TV.report_view(spark, sf).select("doc_id", "text")
+    return v.select("doc_id", MT.normalise_text("text").alias("text"))
+
+
+@register("read_batches", "SELECT event_id, 'events.parquet' AS batch_file FROM events")
+def q_read_batches(spark, sf):
+    from cohortspark.sources import readers as RD
+
+    return RD.read_batches(spark, f"{sf}/events.parquet", fmt="parquet").select("event_id", "batch_file")
+
+
+@register(
+    "drop_columns",
+    f"{W} SELECT doc_id, study_id, visit_id, report_col, ord, gold, gold_alt, gender, ethnicity_raw, age, imd, split FROM reports",
+)
+def q_drop_columns(spark, sf):
+    return P.drop_columns(TV.report_view(spark, sf), ["text", "split_leaky", "not_there"])
+
+
+@register("alias_columns", f"{W}, {_WIDE_SQL} SELECT study_id, visit_id, pathology AS pathology_report, endoscopy AS endoscopy_report FROM wide")
+def q_alias_columns(spark, sf):
+    w = _wide(spark, sf)
+    w = w.toDF(*[f"{c}_report_v2" if c in TV.REPORT_SLOTS else c for c in w.columns])
+    out = P.alias_columns(w, ["pathology_report", "endoscopy_report"])
+    return out.select("study_id", "visit_id", "pathology_report", "endoscopy_report")
+
+
+@register("default_demographics", f"{W} SELECT doc_id, gender, CAST(NULL AS VARCHAR) AS cohort FROM reports")
+def q_default_demographics(spark, sf):
+    v = TV.report_view(spark, sf, False).select("doc_id", "gender")
+    return P.default_demographics(v, ["gender", "cohort"])
+
+
+# --------------------------------------------------------------------------- #
+# Document-to-patient study                                                   #
+# --------------------------------------------------------------------------- #
+def _flag_patterns(spark, sf) -> DataFrame:
+    """Visit rows: regex flag per report slot (features) and the patient label (target)."""
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark))
+    wide = f.groupBy("study_id", "visit_id").pivot("report_col", TV.REPORT_SLOTS).agg(F.max("pred"))
+    gold = f.groupBy("study_id").agg(F.coalesce(F.max(FX.LABEL), F.lit(0)).alias("patient"))
+    return wide.join(gold, on="study_id")
+
+
+_FP_SQL = (
+    f"{W}, {O.flagged_cte()}, fw AS (SELECT study_id, visit_id, "
+    + ", ".join(f"MAX(CASE WHEN report_col = {O.q(s)} THEN pred END) AS {s}" for s in TV.REPORT_SLOTS)
+    + " FROM flagged GROUP BY study_id, visit_id), pg AS (SELECT study_id, COALESCE(MAX(gold_alt), 0) AS patient FROM flagged GROUP BY study_id), "
+    "fp AS (SELECT fw.*, pg.patient FROM fw JOIN pg ON fw.study_id = pg.study_id)"
+)
+_CORR_COLS = [*TV.REPORT_SLOTS, "patient"]
+
+
+@register(
+    "label_correlation",
+    _FP_SQL + " " + " UNION ALL ".join(
+        f"SELECT {O.q(a)} AS a, {O.q(b)} AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM fp"
+        for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i:]
+    ),
+)
+def q_label_correlation(spark, sf):
+    from cohortspark.operators import study as ST
+
+    return r6(ST.label_correlation(_flag_patterns(spark, sf), _CORR_COLS))
+
+
+@register("vif")
+def q_vif(spark, sf):
+    from cohortspark.operators import study as ST
+
+    return r6(ST.vif(_flag_patterns(spark, sf), TV.REPORT_SLOTS))
+
+
+@register("odds_ratios")
+def q_odds_ratios(spark, sf):
+    from cohortspark.operators import study as ST
+
+    return r6(ST.odds_ratios(_flag_patterns(spark, sf), TV.REPORT_SLOTS, "patient"))
+
+
+@register("label_tree")
+def q_label_tree(spark, sf):
+    from cohortspark.operators import study as ST
+
+    return r6(ST.label_tree(_flag_patterns(spark, sf), TV.REPORT_SLOTS, "patient"))
+
+
+@register("doc_to_patient_study")
+def q_doc_to_patient_study(spark, sf):
+    """Union of splits -> complete rows -> correlations, VIF, odds ratios, tree, per-class report (op 100)."""
+    from cohortspark.operators import study as ST
+
+    fp = P.drop_incomplete(_flag_patterns(spark, sf), [*TV.REPORT_SLOTS, "patient"])
+    parts = [
+        ST.label_correlation(fp, _CORR_COLS).select(F.lit("correlation").alias("section"), F.concat_ws("~", "a", "b").alias("name"), F.col("corr").alias("value")),
+        ST.vif(fp, TV.REPORT_SLOTS).select(F.lit("vif").alias("section"), F.col("feature").alias("name"), F.col("vif").alias("value")),
+        ST.odds_ratios(fp, TV.REPORT_SLOTS, "patient").select(F.concat(F.lit("odds_"), "penalty").alias("section"), F.col("feature").alias("name"), F.col("odds_ratio").alias("value")),
+        ST.label_tree(fp, TV.REPORT_SLOTS, "patient").select(F.concat(F.lit("tree_"), "kind").alias("section"), F.coalesce("feature", F.lit("")).alias("name"), "value"),
+    ]
+    tree_pred = fp.withColumn("pred", R.final_flag(*TV.REPORT_SLOTS))
+    pcr = M.per_class_report(M.confusion(tree_pred.withColumn("k", F.lit("all")), ["k"], "patient", "pred"), ["k"])
+    parts.append(pcr.select(F.lit("per_class_f1").alias("section"), F.col("class").alias("name"), F.col("f1").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return r6(out)
+
+
+@register("bootstrap_ci")
+def q_bootstrap_ci(spark, sf):
+    from cohortspark.operators import bootstrap as BS
+
+    f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark))
+    counts = M.confusion(f, DOC_KEYS, FX.LABEL, "pred")
+    return r6(BS.bootstrap_ci(counts, DOC_KEYS, ("f1", "mcc"), 1000, seed=0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
