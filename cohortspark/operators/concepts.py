@@ -107,7 +107,17 @@ def standardise_terms(
         F.size(F.split(F.trim(F.col("alias")), r"\s+")).alias("_words"),
     )
     t = t.filter(F.col("_key").rlike(WORDCH) & F.reverse(F.col("_key")).rlike(WORDCH)).dropDuplicates(["_key"])
-    lens = sorted(r[0] for r in t.select("_len").distinct().collect())
+    from cohortspark.operators.match import PREFILTER_MAX_KEYS
+
+    rows = t.select("_key", "_len").limit(PREFILTER_MAX_KEYS + 1).collect()
+    lens = sorted({r["_len"] for r in rows})
+    if len(rows) > PREFILTER_MAX_KEYS:
+        lens, keys, firsts = sorted(r[0] for r in t.select("_len").distinct().collect()), None, None
+    else:
+        import regex
+
+        keys = sorted({r["_key"] for r in rows})
+        firsts = sorted({regex.match(PIECE, k).group(0) for k in keys})
     if not lens:
         return df.withColumn(out, F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("?s"), F.lit("'s")))
 
@@ -118,7 +128,12 @@ def standardise_terms(
         def ok(x):
             return (x["start"] + L <= F.size("_pc")) & F.coalesce(F.try_element_at("_pc", x["start"] + 1).rlike(WORDCH), F.lit(False))
 
-        return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_pc") - L + 1, F.lit(1))), make), ok)
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_pc") - L + 1, F.lit(1)))
+        if firsts is not None:
+            # hash-set pre-filter inside the row: grams only where a vocabulary phrase can start
+            starts = F.filter(starts, lambda i: F.coalesce(F.lower(F.try_element_at("_pc", i)).isin(*firsts), F.lit(False)))
+        g = F.filter(F.transform(starts, make), ok)
+        return F.filter(g, lambda x: x["key"].isin(*keys)) if keys is not None else g
 
     allg = F.flatten(F.array(*[grams(L) for L in lens])) if len(lens) > 1 else grams(lens[0])
     cand = base.select(id_col, F.explode(allg).alias("g")).select(id_col, "g.start", "g.len", F.col("g.key").alias("_key"))

@@ -135,25 +135,35 @@ def _lengths(ptab: DataFrame) -> list[int]:
     return sorted(r[0] for r in ptab.select("n_words").distinct().collect())
 
 
-def _grams_of_length(k: int) -> Column:
+# Vocabularies up to this many keys are also applied as an in-row hash-set pre-filter.
+PREFILTER_MAX_KEYS = 100_000
+
+
+def _grams_of_length(k: int, firsts: list[str] | None = None, keys: list[str] | None = None) -> Column:
     """Array of (start, n_words, key) structs for the k-grams of the token array ``_t``.
 
     Lambdas take one argument only (a second one would be bound to the index),
-    so ``k`` is captured by this closure.  ``sequence(1, m)`` counts down when
-    m < 1, hence the clamp and the filter dropping incomplete grams.
+    so ``k`` is captured by this closure.  With a bounded vocabulary, grams are
+    built only at tokens that start some phrase and kept only if their key is a
+    phrase (both hash-set lookups inside the row), so the explode emits matches
+    instead of every n-gram of the text.
     """
     def make(i):
         return F.struct((i - 1).alias("start"), F.lit(k).alias("n_words"), F.array_join(F.slice("_t", i, k), " ").alias("key"))
 
-    def complete(x):
-        return x["start"] + k <= F.size("_t")
-
-    g = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - k + 1, F.lit(1))), make)
-    return F.filter(g, complete)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - k + 1, F.lit(1)))
+    if firsts is not None:
+        starts = F.filter(starts, lambda i: F.coalesce(F.try_element_at("_t", i).isin(*firsts), F.lit(False)))
+    g = F.filter(F.transform(starts, make), lambda x: x["start"] + k <= F.size("_t"))
+    if keys is not None:
+        g = F.filter(g, lambda x: x["key"].isin(*keys))
+    return g
 
 
-def text_ngrams(df: DataFrame, id_cols: list[str], text_col: str, lengths: list[int], scoped: bool) -> DataFrame:
-    """(ids, seg, start, n_words, key) for every n-gram of the given lengths.
+def text_ngrams(
+    df: DataFrame, id_cols: list[str], text_col: str, lengths: list[int], scoped: bool, keys: list[str] | None = None,
+) -> DataFrame:
+    """(ids, seg, start, n_words, key) for the n-grams of the given lengths (only vocabulary keys when given).
 
     Segments come from ``posexplode(split(text))`` and n-grams from
     ``transform(sequence(...), slice)``: all row-local, no window, no shuffle.
@@ -162,9 +172,8 @@ def text_ngrams(df: DataFrame, id_cols: list[str], text_col: str, lengths: list[
     segs = F.split(txt, SCOPE_SPLIT) if scoped else F.array(txt)
     s = df.select(*id_cols, F.posexplode(segs).alias("seg", "_seg"))
     s = s.select(*id_cols, "seg", F.regexp_extract_all(F.lower(F.col("_seg")), F.lit(PHRASE_TOKEN), 0).alias("_t"))
-    grams = []
-    for k in lengths:
-        grams.append(_grams_of_length(k))
+    firsts = sorted({k.split(" ")[0] for k in keys}) if keys is not None else None
+    grams = [_grams_of_length(k, firsts, keys) for k in lengths]
     allg = F.flatten(F.array(*grams)) if len(grams) > 1 else grams[0]
     s = s.filter(F.size("_t") > 0)
     return s.select(*id_cols, "seg", F.explode(allg).alias("_g")).select(
@@ -172,17 +181,26 @@ def text_ngrams(df: DataFrame, id_cols: list[str], text_col: str, lengths: list[
     )
 
 
+def _vocab_keys(ptab: DataFrame) -> tuple[list[int], list[str] | None]:
+    """Phrase lengths, and the keys themselves when the vocabulary is small enough for a pre-filter."""
+    rows = ptab.select("key", "n_words").distinct().limit(PREFILTER_MAX_KEYS + 1).collect()
+    lengths = sorted({r["n_words"] for r in rows})
+    if len(rows) > PREFILTER_MAX_KEYS:
+        return sorted(r[0] for r in ptab.select("n_words").distinct().collect()), None
+    return lengths, sorted({r["key"] for r in rows})
+
+
 def phrase_match(
     df: DataFrame, id_cols: list[str], text_col: str, phrases: DataFrame,
     phrase_col: str = "phrase", scoped: bool = False,
 ) -> DataFrame:
     """Whole-token, case-insensitive matches: (ids, seg, start, end, key, vocabulary columns)."""
     ptab = phrase_table(phrases, phrase_col)
-    lengths = _lengths(ptab)
+    lengths, keys = _vocab_keys(ptab)
     if not lengths:
         schema_cols = [*id_cols, "seg", "start", "end", "key"]
         return df.sparkSession.createDataFrame([], ",".join(f"{c} string" for c in schema_cols))
-    grams = text_ngrams(df, id_cols, text_col, lengths, scoped)
+    grams = text_ngrams(df, id_cols, text_col, lengths, scoped, keys)
     hits = grams.join(bounded_broadcast(ptab), on=["key", "n_words"], how="inner")
     return hits.withColumn("end", F.col("start") + F.col("n_words"))
 

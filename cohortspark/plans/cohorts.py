@@ -142,11 +142,15 @@ def _per_column(reports: DataFrame, report_cols: list[str], fit, predict) -> Dat
 
     The loop runs over the report columns of the schema (a handful), not over data.
     """
-    parts = []
-    for rc in report_cols:
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(rc):
         part = reports.filter(F.col("report_col") == rc)
-        model = fit(part.filter(F.col("split") == "train"))
-        parts.append(predict(model, part))
+        return predict(fit(part.filter(F.col("split") == "train")), part)
+
+    # fits are independent Spark jobs: submit them concurrently so the cluster is shared
+    with ThreadPoolExecutor(max_workers=max(1, len(report_cols))) as pool:
+        parts = list(pool.map(one, report_cols))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
