@@ -257,3 +257,53 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         *[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
           for f in df.schema.fields]
     )
+
+
+# op 45
+def evaluate_model(
+    df: DataFrame, keys: list[str], label: str, pred: str, prob: str | None = None, total_col: str | None = None,
+    bootstrap: bool = False, n_boot: int = 1000, seed: int = 0,
+) -> DataFrame:
+    """One report row per key with the original field names and formatted strings.
+
+    Percentages carry Wilson intervals; F1 and MCC carry bootstrap intervals when
+    ``bootstrap`` is set (else ``CI: N/A``); a null value prints as ``N/A``.
+    ``total_col`` names a per-key denominator for the coverage percentage.
+    """
+    from cohortspark.functions import fmt as FM
+
+    ev = evaluate(df, keys, label, pred, prob)
+    if bootstrap:
+        from cohortspark.operators.bootstrap import bootstrap_ci
+
+        b = bootstrap_ci(ev.select(*keys, "tp", "fp", "fn", "tn"), keys, ("f1", "mcc"), n_boot, seed)
+        piv = b.groupBy(*keys).agg(
+            F.max(F.when(F.col("metric") == "f1", F.col("lo"))).alias("f1_lo"),
+            F.max(F.when(F.col("metric") == "f1", F.col("hi"))).alias("f1_hi"),
+            F.max(F.when(F.col("metric") == "mcc", F.col("lo"))).alias("mcc_lo"),
+            F.max(F.when(F.col("metric") == "mcc", F.col("hi"))).alias("mcc_hi"),
+        )
+        ev = ev.join(piv, on=keys, how="left")
+    else:
+        ev = ev.withColumns({c: F.lit(None).cast("double") for c in ("f1_lo", "f1_hi", "mcc_lo", "mcc_hi")})
+    if total_col is not None:
+        tot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")) if total_col == "rows" else df.groupBy(*keys).agg(F.max(total_col).alias("_total"))
+        ev = ev.join(tot, on=keys, how="left")
+        cov = F.format_string("%.2f%%", F.col("n") * 100.0 / F.col("_total"))
+    else:
+        cov = F.lit("")
+    return ev.select(
+        *keys,
+        FM.pct_ci("accuracy", "accuracy_lo", "accuracy_hi").alias("Accuracy"),
+        FM.pct_ci("precision", "precision_lo", "precision_hi").alias("Precision"),
+        FM.pct_ci("recall", "recall_lo", "recall_hi").alias("Recall"),
+        FM.pct_ci("specificity", "specificity_lo", "specificity_hi").alias("Specificity"),
+        FM.pct_ci("npv", "npv_lo", "npv_hi").alias("NPV"),
+        FM.pct_ci("f1", "f1_lo", "f1_hi").alias("F1_Score"),
+        FM.num_ci("mcc", "mcc_lo", "mcc_hi").alias("MCC"),
+        FM.pct_ci("pr_auc", F.lit(None), F.lit(None)).alias("PR_AUC"),
+        FM.num("brier").alias("Brier_Score"),
+        FM.num("ece").alias("ECE"),
+        F.col("n").alias("Coverage_Count"),
+        cov.alias("Coverage_Pct"),
+    )

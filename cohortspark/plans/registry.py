@@ -1448,6 +1448,29 @@ def q_bootstrap_ci(spark, sf):
     return r6(BS.bootstrap_ci(counts, DOC_KEYS, ("f1", "mcc"), 1000, seed=0))
 
 
+def _pct_na(e, lo=None, hi=None):
+    if lo is None:
+        return f"CASE WHEN {e} IS NULL THEN 'N/A' ELSE printf('%.2f%% (CI: N/A)', {e} * 100) END"
+    return _pct_sql(e, lo, hi)
+
+
+@register(
+    "evaluate_model",
+    f"{W}, {SCORED_SQL}, {O.evaluate_sql('(SELECT split, report_col, gold_alt AS gold, CAST(score >= 0.4 AS INTEGER) AS pred, score AS prob FROM scored)', DOC_KEYS)}, "
+    "tot AS (SELECT split, report_col, COUNT(*) AS total FROM reports GROUP BY ALL) "
+    "SELECT e.split, e.report_col, "
+    + ", ".join(f"{_pct_sql(m, m + '_lo', m + '_hi')} AS {name}" for m, name in
+                [("accuracy", "Accuracy"), ("precision", "Precision"), ("recall", "Recall"), ("specificity", "Specificity"), ("npv", "NPV")])
+    + f", {_pct_na('f1')} AS F1_Score, CASE WHEN mcc IS NULL THEN 'N/A' ELSE printf('%.4f (CI: N/A)', mcc) END AS MCC, "
+    f"{_pct_na('pr_auc')} AS PR_AUC, CASE WHEN brier IS NULL THEN 'N/A' ELSE printf('%.4f', brier) END AS Brier_Score, "
+    "CASE WHEN ece IS NULL THEN 'N/A' ELSE printf('%.4f', ece) END AS ECE, n AS Coverage_Count, "
+    "printf('%.2f%%', n * 100.0 / t.total) AS Coverage_Pct FROM evaluation e JOIN tot t ON e.split = t.split AND e.report_col = t.report_col",
+)
+def q_evaluate_model(spark, sf):
+    s = _scored(spark, sf).withColumn("pred", (F.col("score") >= 0.4).cast("int"))
+    return M.evaluate_model(s, DOC_KEYS, FX.LABEL, "pred", "score", total_col="rows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
