@@ -15,6 +15,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,10 +221,15 @@ def negated_match(
       cue ends after it, in the same segment.
     ``scope='off'`` returns plain matches with ``negated = false``.
     """
-    tm = phrase_match(df, id_cols, text_col, targets, target_col, scoped=True)
     if scope == "off":
-        return tm.withColumn("negated", F.lit(False))
-    cm = phrase_match(df, id_cols, text_col, cues.select("kind", "phrase"), "phrase", scoped=True)
+        return phrase_match(df, id_cols, text_col, targets, target_col, scoped=True).withColumn("negated", F.lit(False))
+    # one n-gram pass for targets and cues: a combined vocabulary tagged by kind
+    others = [c for c in targets.columns if c != target_col]
+    tv = targets.select(*others, F.col(target_col).alias("_phrase"), F.lit("target").alias("kind"))
+    cv = cues.select(*[F.lit(None).cast(targets.schema[c].dataType).alias(c) for c in others], F.col("phrase").alias("_phrase"), "kind")
+    allm = phrase_match(df, id_cols, text_col, tv.unionByName(cv), "_phrase", scoped=True).persist(StorageLevel.MEMORY_AND_DISK)
+    tm = allm.filter(F.col("kind") == "target").drop("kind").withColumnRenamed("_phrase", target_col)
+    cm = allm.filter(F.col("kind") != "target")
     key = [*id_cols, "seg"]
     pseudo = cm.filter(F.col("kind") == "pseudo")
     # Positions covered by a pseudo cue: start .. end inclusive (bounded fan-out: phrase length + 1).

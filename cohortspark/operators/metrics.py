@@ -139,7 +139,8 @@ def average_precision_from_hist(hist: DataFrame, keys: list[str], buckets: int =
         (F.col("_opos") + F.sum("pos").over(ws)).alias("_cpos"),
         (F.col("_om") + F.sum("m").over(ws)).alias("_cm"),
     )
-    term = F.col("pos").cast("double") / F.col("_P") * (F.col("_cpos").cast("double") / F.col("_cm"))
+    # guarded inside the sum: with ANSI arithmetic a single-class key would divide by zero
+    term = F.when(F.col("_P") > 0, F.col("pos").cast("double") / F.col("_P") * (F.col("_cpos").cast("double") / F.col("_cm")))
     return cum.groupBy(*keys).agg(
         F.when((F.first("_P") > 0) & (F.first("_P") < F.first("_N")), F.sum(term)).alias("pr_auc")
     )

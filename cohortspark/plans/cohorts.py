@@ -69,13 +69,29 @@ def regex_flag_docs(reports: DataFrame, vocab: DataFrame, whole_word: bool = Tru
     return flagged.withColumn("prob", P.hard_prob("pred"))
 
 
+def attach(reports: DataFrame, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Join narrow per-document results (flags, scores) to the narrow report rows.
+
+    Text work runs on a (doc_id, text) frame; only its narrow output meets the
+    label / demographic rows, so the text column never crosses this shuffle.
+    """
+    extra = [c for c in scored.columns if c == id_col or c not in reports.columns]
+    return reports.drop("text").join(scored.select(*extra), on=id_col, how="inner")
+
+
 def regex_cohort(
     reports: DataFrame, vocab: DataFrame, label: str = "gold_alt", demographics: list[str] = (),
-    whole_word: bool = True, pred_type: str = "Combined_Regex",
+    whole_word: bool = True, pred_type: str = "Combined_Regex", texts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Regex family (op 93): evaluation rows for document, visit and patient levels, plus patient rows."""
+    """Regex family (op 93): evaluation rows for document, visit and patient levels, plus patient rows.
+
+    ``texts`` (doc_id, text) is the text side; by default the reports' own text.
+    """
     demographics = list(demographics)
-    flagged = regex_flag_docs(reports, vocab, whole_word)
+    if texts is None:
+        flagged = regex_flag_docs(reports, vocab, whole_word)
+    else:
+        flagged = attach(reports, regex_flag_docs(texts, vocab, whole_word).drop("text"))
     docs = _doc_level(flagged, label, pred_type, demographics)
     visit, pat = roll_up_levels(docs, pred_type, demographics)
     return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}
@@ -90,17 +106,20 @@ def phrase_flag_docs(
         m = MT.phrase_match(base, ["doc_id"], "text", phrases, "phrase", scoped=True).withColumn("negated", F.lit(False))
     else:
         m = MT.negated_match(base, ["doc_id"], "text", phrases, cues, "phrase", scope)
-    flags = MT.phrase_flags(reports, ["doc_id"], m, categories)
+    flags = MT.phrase_flags(reports.drop("text"), ["doc_id"], m, categories)
     return flags.withColumn("pred", F.col("pred_any")).withColumn("prob", P.hard_prob("pred"))
 
 
 def phrase_cohort(
     reports: DataFrame, phrases: DataFrame, cues: DataFrame | None, categories: list[str], label: str = "gold_alt",
-    demographics: list[str] = (), pred_type: str = "Phrase",
+    demographics: list[str] = (), pred_type: str = "Phrase", texts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Phrase family (op 94): negation-aware phrase flags rolled up and evaluated at three levels."""
     demographics = list(demographics)
-    flagged = phrase_flag_docs(reports, phrases, cues, categories)
+    if texts is None:
+        flagged = phrase_flag_docs(reports, phrases, cues, categories)
+    else:
+        flagged = attach(reports, phrase_flag_docs(texts, phrases, cues, categories))
     docs = _doc_level(flagged, label, pred_type, demographics)
     visit, pat = roll_up_levels(docs, pred_type, demographics)
     return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}
@@ -140,6 +159,8 @@ def compare_variants(runs: dict[str, DataFrame]) -> DataFrame:
 def _per_column(reports: DataFrame, report_cols: list[str], fit, predict) -> DataFrame:
     """Fit one model per report column on training rows and score every row of that column.
 
+    ``predict`` returns narrow (doc_id, prob, pred) rows.
+
     The loop runs over the report columns of the schema (a handful), not over data.
     """
     from concurrent.futures import ThreadPoolExecutor
@@ -168,9 +189,10 @@ def text_cohort(
         return CL.train_text_classifier(train, "text", label, ngram_max, max_df, tfidf, c, penalty)
 
     def predict(model, df):
-        return CL.predict_text(model, df)
+        return CL.predict_text(model, df.select("doc_id", "text")).drop("text")
 
-    scored = _per_column(reports, report_cols, fit, predict)
+    # models need text and labels together (training rows only); scoring output is narrow
+    scored = attach(reports, _per_column(reports, report_cols, fit, predict))
     docs = _doc_level(scored, label, pred_type, list(demographics))
     visit, pat = roll_up_levels(docs, pred_type, list(demographics))
     return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}
@@ -193,9 +215,9 @@ def embedding_cohort(
         return CL.embedding_classifier(train, "embedding", label, c, penalty)
 
     def predict(model, df):
-        return CL.predict_embedding(model, df, "embedding")
+        return CL.predict_embedding(model, df.select("doc_id", "embedding"), "embedding").drop("embedding")
 
-    scored = _per_column(rep, report_cols, fit, predict)
+    scored = attach(reports, _per_column(rep, report_cols, fit, predict))
     docs = _doc_level(scored, label, pred_type, list(demographics))
     visit, pat = roll_up_levels(docs, pred_type, list(demographics))
     return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}

@@ -244,7 +244,8 @@ def q_patient_gold(spark, sf):
     f"SELECT {', '.join(C.LEVEL_COLS)}, {O.EVAL_OUT} FROM evaluation",
 )
 def q_regex_cohort(spark, sf):
-    return r6(C.regex_cohort(reports(spark, sf), FX.vocab_df(spark), FX.LABEL)["evaluation"])
+    run = C.regex_cohort(reports(spark, sf, False), FX.vocab_df(spark), FX.LABEL, texts=TV.text_view(spark, sf))
+    return r6(run["evaluation"])
 
 
 # --------------------------------------------------------------------------- #
@@ -348,7 +349,7 @@ _FAIR_SRC = f"{W}, {O.flagged_cte()}, {O.levels_cte(demo=DEMO)}, {O.fairness_sql
 
 
 def _patients(spark, sf) -> DataFrame:
-    return C.regex_cohort(reports(spark, sf), FX.vocab_df(spark), FX.LABEL, DEMO)["patients"]
+    return C.regex_cohort(reports(spark, sf, False), FX.vocab_df(spark), FX.LABEL, DEMO, texts=TV.text_view(spark, sf))["patients"]
 
 
 def _fair(spark, sf) -> DataFrame:
@@ -692,7 +693,7 @@ _PF_SQL = (
 
 
 def _docs_text(spark, sf) -> DataFrame:
-    return TV.report_view(spark, sf).select("doc_id", "text")
+    return TV.text_view(spark, sf)
 
 
 @register(
@@ -738,7 +739,9 @@ _PHRASE_FLAGGED = (
     f"{O.evaluate_sql('alllevels', C.LEVEL_COLS)} SELECT {', '.join(C.LEVEL_COLS)}, {O.EVAL_OUT} FROM evaluation",
 )
 def q_phrase_cohort(spark, sf):
-    run = C.phrase_cohort(reports(spark, sf), FX.phrases_df(spark), FX.cues_df(spark), PCATS, FX.LABEL)
+    run = C.phrase_cohort(
+        reports(spark, sf, False), FX.phrases_df(spark), FX.cues_df(spark), PCATS, FX.LABEL, texts=TV.text_view(spark, sf)
+    )
     return r6(run["evaluation"])
 
 

@@ -73,6 +73,17 @@ def report_view(spark: SparkSession, sf_dir: str, with_text: bool = True) -> Dat
     return d.select(*cols)
 
 
+def text_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) straight from ``documents`` with the view's null-text rule.
+
+    Text work (flags, phrases, models) runs on this narrow side; its results are
+    joined to the label/demographic view by ``doc_id`` afterwards, so the text
+    column itself never crosses a shuffle for the label join.
+    """
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("text"))
+
+
 def concept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concept rows built from ``part``: concept id, language, kind, string, file order.
 
