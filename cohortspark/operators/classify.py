@@ -9,6 +9,7 @@ averages, so the penalty maps to ``regParam = 1 / (C * n)``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,8 @@ def predict_text(model, df: DataFrame, out_prob: str = "prob", out_pred: str = "
 # op 74
 def grid_search(
     train: DataFrame, text_col: str, label_col: str, fold_col: str = "fold", max_dfs=(0.75, 1.0), ngrams=(1, 2),
-    penalties=("l1", "l2"), cs=(0.01, 0.1, 1.0, 10.0), tfidf: bool = False, parallelism: int = 4,
+    penalties=("l1", "l2"), cs=(0.01, 0.1, 1.0, 10.0), tfidf: bool = False, parallelism: int = 4, num_folds: int = 5,
+    search_max_iter: int = 20,
 ) -> DataFrame:
     """k-fold search by ROC-AUC; feature settings are an outer loop (one feature table each),
     penalty x C run inside ``CrossValidator`` on the given fold column.  Returns the grid table."""
@@ -101,26 +103,38 @@ def grid_search(
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
+    from concurrent.futures import ThreadPoolExecutor
+
     d = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).withColumn("label", F.col(label_col).cast("double"))
     n = d.count()
-    rows = []
-    for mdf in max_dfs:
-        for ng in ngrams:
-            feats = Pipeline(stages=text_pipeline(text_col, ng, mdf, tfidf)).fit(d).transform(d).select("features", "label", fold_col)
-            feats = feats.withColumn(fold_col, F.col(fold_col).cast("int"))
-            lr = _lr(1.0, n, "l2")
-            grid = ParamGridBuilder()
-            grid = grid.addGrid(lr.elasticNetParam, [1.0 if p == "l1" else 0.0 for p in penalties])
-            grid = grid.addGrid(lr.regParam, [1.0 / (c * n) for c in cs]).build()
-            cv = CrossValidator(
-                estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-                foldCol=fold_col, parallelism=parallelism,
-            )
-            m = cv.fit(feats)
-            for pm, auc in zip(grid, m.avgMetrics):
-                en = pm[lr.elasticNetParam]
-                rp = pm[lr.regParam]
-                rows.append((float(mdf), int(ng), "l1" if en == 1.0 else "l2", float(1.0 / (rp * n)), float(auc)))
+
+    def one(setting):
+        mdf, ng = setting
+        feats = Pipeline(stages=text_pipeline(text_col, ng, mdf, tfidf)).fit(d).transform(d).select("features", "label", fold_col)
+        # one feature table per setting, reused by all 8 x k fits of the setting
+        feats = feats.withColumn(fold_col, F.col(fold_col).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
+        # search fits rank settings; they stop earlier than final fits (each iteration is a Spark job)
+        lr = _lr(1.0, n, "l2").setMaxIter(search_max_iter).setTol(1e-4)
+        grid = ParamGridBuilder()
+        grid = grid.addGrid(lr.elasticNetParam, [1.0 if p == "l1" else 0.0 for p in penalties])
+        grid = grid.addGrid(lr.regParam, [1.0 / (c * n) for c in cs]).build()
+        cv = CrossValidator(
+            estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
+            foldCol=fold_col, numFolds=num_folds, parallelism=1,
+        )
+        m = cv.fit(feats)
+        feats.unpersist()
+        out = []
+        for pm, auc in zip(grid, m.avgMetrics):
+            en = pm[lr.elasticNetParam]
+            rp = pm[lr.regParam]
+            out.append((float(mdf), int(ng), "l1" if en == 1.0 else "l2", float(1.0 / (rp * n)), float(auc)))
+        return out
+
+    # feature settings are independent: their searches run as concurrent Spark jobs
+    settings = [(m, g) for m in max_dfs for g in ngrams]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(settings)))) as pool:
+        rows = [r for part in pool.map(one, settings) for r in part]
     return train.sparkSession.createDataFrame(rows, "max_df double, ngram_max int, penalty string, c double, roc_auc double")
 
 
