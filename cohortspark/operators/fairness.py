@@ -120,6 +120,7 @@ FAIRNESS_COLUMNS = ["rate", "tpr", "dp_ref", "demographic_parity", "eo_ref", "eq
 def fairness_report(
     df: DataFrame, keys: list[str], attrs: list[str], pred: str, gold: str,
     reference: DataFrame | None = None, null_as_group: bool = False, alpha: float = 0.05,
+    f1_interval: bool = False, n_boot: int = 1000, seed: int = 0,
 ) -> DataFrame:
     """Per attribute one 'all' row and one row per observed group.
 
@@ -136,7 +137,15 @@ def fairness_report(
     ).withColumn("level", F.lit("all"))
     cols = [*keys, "attribute", "level", "grp", "n", "tp", "fp", "fn", "tn", *FAIRNESS_COLUMNS]
     both = groups.select(*cols).unionByName(alls.select(*cols))
-    return M.classification_metrics(both, alpha, zero_division="zero")
+    out = M.classification_metrics(both, alpha, zero_division="zero")
+    if f1_interval:
+        # bootstrap F1 interval per row from its counts (replicates by explode, no data re-read)
+        from cohortspark.operators.bootstrap import bootstrap_ci
+
+        k = [*keys, "attribute", "level", "grp"]
+        ci = bootstrap_ci(out.select(*k, "tp", "fp", "fn", "tn"), k, ("f1",), n_boot, seed, alpha)
+        out = out.join(ci.select(*k, F.col("lo").alias("f1_lo"), F.col("hi").alias("f1_hi")), on=k, how="left")
+    return out
 
 
 def fairness_maps(report: DataFrame, keys: list[str]) -> DataFrame:

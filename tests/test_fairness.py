@@ -47,3 +47,10 @@ def test_parity_fallback_and_report(spark):
     assert "Demographic_Parity_grp_Group_C_vs_B" in maps.Demographic_Parity
     long = FA.fairness_long(rep, ["k"]).collect()
     assert any(r.label == "C vs B" for r in long)
+
+
+def test_fairness_f1_interval(spark):
+    rows = [("x", g, p, y) for g in "AB" for p, y in [(1, 1), (1, 0), (0, 1), (0, 0), (1, 1), (1, 1)] * 5]
+    rep = FA.fairness_report(_frame(spark, rows), ["k"], ["grp"], "pred", "gold", None, f1_interval=True, n_boot=200)
+    for r in rep.collect():
+        assert r.f1_lo is not None and r.f1_lo <= r.f1 <= r.f1_hi
