@@ -1447,11 +1447,15 @@ def q_doc_to_patient_study(spark, sf):
 
 @register("bootstrap_ci")
 def q_bootstrap_ci(spark, sf):
+    """F1 and MCC intervals (exact binomial replicates) and PR-AUC intervals (Poisson replicates)."""
     from cohortspark.operators import bootstrap as BS
 
     f = C.regex_flag_docs(reports(spark, sf), FX.vocab_df(spark))
     counts = M.confusion(f, DOC_KEYS, FX.LABEL, "pred")
-    return r6(BS.bootstrap_ci(counts, DOC_KEYS, ("f1", "mcc"), 1000, seed=0))
+    counts_ci = BS.bootstrap_ci(counts, DOC_KEYS, ("f1", "mcc"), 1000, seed=0)
+    s = _scored(spark, sf)
+    ap = BS.bootstrap_pr_auc(s, DOC_KEYS, FX.LABEL, "score", 1000, seed=0).withColumn("metric", F.lit("pr_auc"))
+    return r6(counts_ci.unionByName(ap.select(*DOC_KEYS, "metric", "estimate", "lo", "hi")))
 
 
 def _pct_na(e, lo=None, hi=None):

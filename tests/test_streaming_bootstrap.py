@@ -48,3 +48,35 @@ def test_bootstrap_matches_row_resampling(spark):
     assert out[("b", "f1")].lo is None and out[("b", "mcc")].hi is None  # single class -> no interval
     again = {(r.k, r.metric): r.lo for r in BS.bootstrap_ci(counts.repartition(3), ["k"], ("f1",), n_boot=2000, seed=3).collect()}
     assert again[("a", "f1")] == f1.lo  # deterministic, independent of partitioning
+
+
+def test_bootstrap_pr_auc_interval(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 400)
+    s = np.round(np.clip(y * 0.3 + rng.random(400) * 0.7, 0, 1), 2)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double").withColumn("k", F.lit("x"))
+    r = BS.bootstrap_pr_auc(df, ["k"], "y", "s", n_boot=200, seed=1).collect()[0]
+    assert r.lo < r.estimate < r.hi
+    # stratified row resampling for comparison
+    pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    vals = []
+    for _ in range(300):
+        idx = np.concatenate([rng.choice(pos, len(pos)), rng.choice(neg, len(neg))])
+        yy, ss = y[idx], s[idx]
+        order = np.argsort(-ss, kind="stable")
+        yy, ss = yy[order], ss[order]
+        P = yy.sum()
+        ap, tp, n = 0.0, 0, 0
+        i = 0
+        while i < len(ss):
+            j = i
+            while j < len(ss) and ss[j] == ss[i]:
+                j += 1
+            p = yy[i:j].sum()
+            tp += p
+            n += j - i
+            ap += p / P * tp / n
+            i = j
+        vals.append(ap)
+    lo, hi = np.percentile(vals, [2.5, 97.5])
+    assert abs(r.lo - lo) < 0.06 and abs(r.hi - hi) < 0.06
