@@ -22,7 +22,7 @@ def log_count_ratio(tf: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     tl = tf.join(lab, on=id_col, how="inner").groupBy("term").agg(
         F.sum("y").alias("p"), (F.count(F.lit(1)) - F.sum("y")).alias("q")
     )
-    tl = tl.withColumn("_k", F.lit(1)).join(F.broadcast(cls), on="_k")
+    tl = tl.withColumn("_k", F.lit(1)).join(F.broadcast(cls), on="_k")  # cls: one row
     coef = F.log((F.col("p") + 1.0) / (F.col("npos") + 2.0)) - F.log((F.col("q") + 1.0) / (F.col("nneg") + 2.0))
     return tl.select(F.col("term").alias("feature"), coef.alias("coefficient"))
 
@@ -177,7 +177,7 @@ def patient_meta_model(train: DataFrame, val: DataFrame, feature_cols: list[str]
     w = counts.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), on="_k").select(
         "label", (F.col("_n") / (2.0 * F.col("_nc"))).alias("_w")
     )
-    tr = tr.join(F.broadcast(w), on="label", how="left")
+    tr = tr.join(F.broadcast(w), on="label", how="left")  # w: one row per class
     n = tot.collect()[0][0] or 1
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=feature_cols, outputCol="_x"),

@@ -40,7 +40,7 @@ def linear_attribution(
         n = features.agg(F.countDistinct(id_col).alias("_n"))
     else:
         n = features.sparkSession.createDataFrame([(n_docs,)], "_n long")
-    n = F.broadcast(n.withColumn("_k", F.lit(1)))
+    n = F.broadcast(n.withColumn("_k", F.lit(1)))  # one row
     stats = features.groupBy(feature_col).agg(F.sum(value_col).alias("_sum"), F.count(F.lit(1)).alias("_df"))
     stats = stats.withColumn("_k", F.lit(1)).join(n, on="_k").withColumn("_mean", F.col("_sum") / F.col("_n"))
     c = coefs.select(F.col("feature").alias(feature_col), F.col("coefficient").alias("_w"))
@@ -67,7 +67,7 @@ def dimension_exemplars(
     ``items`` is long (item, dim, value); ``coefs`` is (dim, coefficient).
     """
     top = coefs.orderBy(F.abs(F.col("coefficient")).desc(), F.col(dim_col)).limit(top_dims)
-    sel = items.join(F.broadcast(top.select(dim_col, "coefficient")), on=dim_col, how="inner")
+    sel = items.join(F.broadcast(top.select(dim_col, "coefficient")), on=dim_col, how="inner")  # top_dims rows
     hi = Window.partitionBy(dim_col).orderBy(F.col(value_col).desc(), F.col(item_col))
     lo = Window.partitionBy(dim_col).orderBy(F.col(value_col).asc(), F.col(item_col))
     r = sel.withColumns({"_hi": F.row_number().over(hi), "_lo": F.row_number().over(lo)})

@@ -88,7 +88,7 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, par
     counts = r.groupBy("_pid", label_col).agg(F.count(F.lit(1)).alias("_c"))
     prev = Window.partitionBy(label_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(prev), F.lit(0))).select("_pid", label_col, "_off")
-    out = r.join(F.broadcast(offs), on=["_pid", label_col], how="inner")
+    out = r.join(F.broadcast(offs), on=["_pid", label_col], how="inner")  # partitions x classes rows
     return out.withColumn("fold", ((F.col("_off") + F.col("_rn")) % k).cast("int")).drop("_pid", "_rn", "_off")
 
 
