@@ -68,6 +68,13 @@ def dimension_exemplars(
     """
     top = coefs.orderBy(F.abs(F.col("coefficient")).desc(), F.col(dim_col)).limit(top_dims)
     sel = items.join(F.broadcast(top.select(dim_col, "coefficient")), on=dim_col, how="inner")  # top_dims rows
+    # two-phase top-k: first the k best/worst per (dimension, input partition), so no task
+    # ever ranks all items of a dimension; then rank the <= partitions x 2k survivors.
+    sel = sel.withColumn("_pid", F.spark_partition_id())
+    hi1 = Window.partitionBy(dim_col, "_pid").orderBy(F.col(value_col).desc(), F.col(item_col))
+    lo1 = Window.partitionBy(dim_col, "_pid").orderBy(F.col(value_col).asc(), F.col(item_col))
+    sel = sel.withColumns({"_h1": F.row_number().over(hi1), "_l1": F.row_number().over(lo1)})
+    sel = sel.filter((F.col("_h1") <= k) | (F.col("_l1") <= k)).drop("_pid", "_h1", "_l1")
     hi = Window.partitionBy(dim_col).orderBy(F.col(value_col).desc(), F.col(item_col))
     lo = Window.partitionBy(dim_col).orderBy(F.col(value_col).asc(), F.col(item_col))
     r = sel.withColumns({"_hi": F.row_number().over(hi), "_lo": F.row_number().over(lo)})
