@@ -114,23 +114,26 @@ def wilson_ci(df: DataFrame, k: str, n: str, alpha: float = 0.05, prefix: str =
 def average_precision_from_hist(hist: DataFrame, keys: list[str], buckets: int = AP_BUCKETS) -> DataFrame:
     """AP = sum over distinct scores (descending) of (pos_i / P) * precision at that score.
 
-    Null unless the key has both classes.
+    Null unless the key has both classes.  Scores are bucketed by value
+    (``floor(s * (buckets - 1))`` clamped to the bucket range: monotone in s, so
+    any real score keeps its order; probabilities spread evenly).  Bucket totals
+    give running offsets and the class totals through windows over the small
+    bucket table; running sums inside a bucket use a window per (key, bucket).
     """
     y, cnt = F.col("y"), F.col("cnt")
     per_s = hist.groupBy(*keys, "s").agg(F.sum(y * cnt).alias("pos"), F.sum(cnt).alias("m"))
-    rng = per_s.groupBy(*keys).agg(
-        F.min("s").alias("_lo"), F.max("s").alias("_hi"), F.sum("pos").alias("_P"), F.sum("m").alias("_N")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.floor((F.col("s") - F.col("_lo")) / width * (buckets - 1))).otherwise(F.lit(0)).cast("int")
-    ps = per_s.join(rng, on=keys, how="inner").withColumn("_b", b)
-    # level 1: bucket totals and the running offset from higher buckets (tiny table).
+    b = F.least(F.greatest(F.floor(F.col("s") * (buckets - 1)), F.lit(0)), F.lit(buckets - 1)).cast("int")
+    ps = per_s.withColumn("_b", b)
+    # level 1: bucket totals, running offset from higher buckets, class totals (tiny table).
     bt = ps.groupBy(*keys, "_b").agg(F.sum("pos").alias("_bpos"), F.sum("m").alias("_bm"))
     wb = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wk = Window.partitionBy(*keys)
     bt = bt.select(
         *keys, "_b",
         F.coalesce(F.sum("_bpos").over(wb), F.lit(0)).alias("_opos"),
         F.coalesce(F.sum("_bm").over(wb), F.lit(0)).alias("_om"),
+        F.sum("_bpos").over(wk).alias("_P"),
+        F.sum("_bm").over(wk).alias("_N"),
     )
     # level 2: running sums inside a bucket, by descending score.
     ws = Window.partitionBy(*keys, "_b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)

@@ -95,3 +95,11 @@ def test_per_class_report(spark):
     rows = {r["class"]: r for r in M.per_class_report(c, ["k"]).collect()}
     assert rows["1"].support == 3 and rows["0"].support == 1
     assert abs(rows["1"].recall - 2 / 3) < 1e-12 and rows["0"].precision == 0.5
+
+
+def test_average_precision_unbounded_scores(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 1), rnd.uniform(-6, 6) if rnd.random() < 0.7 else float(rnd.randint(-3, 3))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "y int, s double").withColumn("g", F.lit("a"))
+    got = M.average_precision(df, ["g"], "y", "s").collect()[0].pr_auc
+    assert abs(got - _ap([y for y, _ in rows], [s for _, s in rows])) < 1e-9
