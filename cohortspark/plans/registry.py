@@ -447,8 +447,8 @@ def q_fairness_long(spark, sf):
 
 @register(
     "natural_sort_groups",
-    f"{_FAIR_SRC} SELECT attribute, grp, f1, row_number() OVER (PARTITION BY attribute ORDER BY "
-    "TRY_CAST(grp AS DOUBLE) ASC NULLS LAST, grp) AS position FROM fairness WHERE level = 'group' AND dataset = 'train'",
+    f"{_FAIR_SRC} SELECT attribute, grp, f1, CAST(row_number() OVER (PARTITION BY attribute ORDER BY "
+    "TRY_CAST(grp AS DOUBLE) ASC NULLS LAST, grp) AS INTEGER) AS position FROM fairness WHERE level = 'group' AND dataset = 'train'",
 )
 def q_natural_sort_groups(spark, sf):
     from pyspark.sql import Window
@@ -698,7 +698,7 @@ def _docs_text(spark, sf) -> DataFrame:
 
 @register(
     "phrase_match",
-    f"{W} SELECT doc_id, seg, start, \"end\", category, phrase FROM "
+    f"{W} SELECT doc_id, CAST(seg AS INTEGER) AS seg, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", category, phrase FROM "
     f"{O.phrase_match_sql('reports', ['doc_id'], 'text', FX.PHRASES, 'category', False)}",
 )
 def q_phrase_match(spark, sf):
@@ -708,7 +708,11 @@ def q_phrase_match(spark, sf):
     return m.select("doc_id", "seg", "start", "end", "category", "phrase")
 
 
-@register("negated_match", f"{_NEG_SQL} SELECT doc_id, seg, start, \"end\", category, phrase, negated FROM negm")
+@register(
+    "negated_match",
+    f"{_NEG_SQL} SELECT doc_id, CAST(seg AS INTEGER) AS seg, CAST(start AS INTEGER) AS start, "
+    "CAST(\"end\" AS INTEGER) AS \"end\", category, phrase, negated FROM negm",
+)
 def q_negated_match(spark, sf):
     from cohortspark.operators import match as MT
 
@@ -1130,7 +1134,11 @@ def _words(spark, sf) -> DataFrame:
     return EX.merge_subwords(TV.token_scores(spark, sf), "doc", "pos")
 
 
-@register("merge_subwords", f"WITH {_PIECES_SQL} SELECT doc, word_id, word, round(score, 6) AS score, start_pos FROM words")
+@register(
+    "merge_subwords",
+    f"WITH {_PIECES_SQL} SELECT doc, CAST(word_id AS BIGINT) AS word_id, word, round(score, 6) AS score, "
+    "CAST(start_pos AS INTEGER) AS start_pos FROM words",
+)
 def q_merge_subwords(spark, sf):
     return r6(_words(spark, sf).select("doc", F.col("word_id").cast("long").alias("word_id"), "word", "score", "start_pos"))
 
