@@ -28,6 +28,24 @@ def repaired_text(full: Column) -> Column:
     return F.when(body != "", body)
 
 
+def repair_columns(df, json_col: str, full_col: str | None = None):
+    """Add ``answer`` and ``status`` parsing each text once: parse results are
+    materialised as columns first, then combined (avoids repeated JSON parsing)."""
+    full = json_col if full_col is None else full_col
+    d = df.withColumns({"_direct": F.try_parse_json(F.col(json_col)), "_fixed_txt": repaired_text(F.col(full))})
+    d = d.withColumn("_fixed", F.try_parse_json(F.col("_fixed_txt")))
+    direct_ok = F.col("_direct").isNotNull()
+    status = (
+        F.when(direct_ok & _is_object_text(F.col(json_col)), F.lit(STATUS_VALID))
+        .when(direct_ok, F.lit(STATUS_NONE))
+        .when(F.col("_fixed").isNotNull() & _is_object_text(F.col("_fixed_txt")), F.lit(STATUS_REPAIRED))
+        .otherwise(F.lit(STATUS_NONE))
+    )
+    d = d.withColumn("status", status)
+    answer = F.when(F.col("status") == STATUS_VALID, F.col("_direct")).when(F.col("status") == STATUS_REPAIRED, F.col("_fixed"))
+    return d.withColumn("answer", answer).drop("_direct", "_fixed_txt", "_fixed")
+
+
 def repair(json_col, full_col=None) -> tuple[Column, Column]:
     """Return (variant, status) for a stored JSON answer and the full answer text."""
     js = F.col(json_col) if isinstance(json_col, str) else json_col

@@ -18,12 +18,12 @@ def log_count_ratio(tf: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     """(feature, coefficient): smoothed log ratio of a term's document share in the
     positive vs negative class, a closed-form linear weight for explanation tables."""
     lab = labels.select(id_col, F.col("y").cast("long").alias("y"))
-    cls = lab.agg(F.sum("y").alias("npos"), (F.count(F.lit(1)) - F.sum("y")).alias("nneg")).withColumn("_k", F.lit(1))
+    npos = lab.agg(F.sum("y").alias("v")).select("v").scalar()
+    nneg = lab.agg((F.count(F.lit(1)) - F.sum("y")).alias("v")).select("v").scalar()
     tl = tf.join(lab, on=id_col, how="inner").groupBy("term").agg(
         F.sum("y").alias("p"), (F.count(F.lit(1)) - F.sum("y")).alias("q")
     )
-    tl = tl.withColumn("_k", F.lit(1)).join(F.broadcast(cls), on="_k")  # cls: one row
-    coef = F.log((F.col("p") + 1.0) / (F.col("npos") + 2.0)) - F.log((F.col("q") + 1.0) / (F.col("nneg") + 2.0))
+    coef = F.log((F.col("p") + 1.0) / (npos + 2.0)) - F.log((F.col("q") + 1.0) / (nneg + 2.0))
     return tl.select(F.col("term").alias("feature"), coef.alias("coefficient"))
 
 
@@ -174,9 +174,7 @@ def patient_meta_model(train: DataFrame, val: DataFrame, feature_cols: list[str]
     tr = prep(train)
     counts = tr.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
     tot = tr.agg(F.count(F.lit(1)).alias("_n"))
-    w = counts.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), on="_k").select(
-        "label", (F.col("_n") / (2.0 * F.col("_nc"))).alias("_w")
-    )
+    w = counts.select("label", (tot.select("_n").scalar() / (2.0 * F.col("_nc"))).alias("_w"))
     tr = tr.join(F.broadcast(w), on="label", how="left")  # w: one row per class
     n = tot.collect()[0][0] or 1
     pipe = Pipeline(stages=[

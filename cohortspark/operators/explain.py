@@ -37,12 +37,11 @@ def linear_attribution(
     so the sparse table is never densified.
     """
     if n_docs is None:
-        n = features.agg(F.countDistinct(id_col).alias("_n"))
+        n = features.agg(F.countDistinct(id_col).alias("_n")).select("_n").scalar()  # scalar subquery, no join
     else:
-        n = features.sparkSession.createDataFrame([(n_docs,)], "_n long")
-    n = F.broadcast(n.withColumn("_k", F.lit(1)))  # one row
+        n = F.lit(n_docs)
     stats = features.groupBy(feature_col).agg(F.sum(value_col).alias("_sum"), F.count(F.lit(1)).alias("_df"))
-    stats = stats.withColumn("_k", F.lit(1)).join(n, on="_k").withColumn("_mean", F.col("_sum") / F.col("_n"))
+    stats = stats.withColumn("_n", n).withColumn("_mean", F.col("_sum") / F.col("_n"))
     c = coefs.select(F.col("feature").alias(feature_col), F.col("coefficient").alias("_w"))
     st = stats.join(c, on=feature_col, how="inner")
     phi = features.join(st.select(feature_col, "_w", "_mean"), on=feature_col, how="inner").select(

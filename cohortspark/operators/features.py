@@ -30,9 +30,9 @@ def _ngram_array(tokens: Column, n: int) -> Column:
     return F.transform(grams, lambda x: x["g"])
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Tag a single-row table with a constant key for a broadcast equi-join (size bound: one row)."""
-    return F.broadcast(df.withColumn("_k", F.lit(1)))
+def scalar(df: DataFrame, col: str) -> Column:
+    """A one-row, one-column aggregate as a scalar subquery (no join; computed once, inlined)."""
+    return df.select(col).scalar()
 
 
 # op 72
@@ -47,9 +47,9 @@ def bow_features(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 1,
     t = df.select(F.col(id_col), toks.alias("_tok")).select(id_col, F.explode(allt).alias("term"))
     tf = t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     if max_df < 1.0:
-        n_docs = df.agg(F.count(F.lit(1)).alias("_n"))
-        dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_k", F.lit(1))
-        keep = dfreq.join(one_row(n_docs), on="_k").filter(F.col("_df") <= F.lit(max_df) * F.col("_n")).select("term")
+        n_docs = scalar(df.agg(F.count(F.lit(1)).alias("_n")), "_n")
+        dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+        keep = dfreq.filter(F.col("_df") <= F.lit(max_df) * n_docs).select("term")
         tf = tf.join(keep, on="term", how="left_semi")
     return tf
 
@@ -64,10 +64,8 @@ def tfidf_features(tf: DataFrame, id_col: str, n_docs: DataFrame | None = None)
     if n_docs is None:
         n_docs = tf.agg(F.countDistinct(id_col).alias("n"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    nd = one_row(n_docs.select(F.col("n").cast("double").alias("_n")))
-    idf = dfreq.withColumn("_k", F.lit(1)).join(nd, on="_k").select(
-        "term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("_df"))) + F.lit(1.0)).alias("_idf")
-    )
+    n = scalar(n_docs.select(F.col("n").cast("double").alias("_n")), "_n")
+    idf = dfreq.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("_df"))) + F.lit(1.0)).alias("_idf"))
     w = tf.join(idf, on="term", how="inner").withColumn("_w", F.col("tf") * F.col("_idf"))
     norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return w.join(norms, on=id_col).select(id_col, "term", "tf", (F.col("_w") / F.col("_norm")).alias("weight"))

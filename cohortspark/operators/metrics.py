@@ -206,15 +206,20 @@ def evaluate(
     PR-AUC, Brier and ECE need a score and both classes, else null.
     """
     hist = score_histogram(df, keys, label, pred, prob)
-    counts = classification_metrics(confusion_from_hist(hist, keys), alpha)
+    conf = confusion_from_hist(hist, keys)
     two = (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0)
     if prob is not None:
-        counts = counts.withColumn("brier", F.when(two, F.col("_sse") / F.col("n")))
+        # merge the per-key tables by union + groupBy, not joins: no join condition to
+        # fold away when a key is a constant, and no shuffle of anything but key rows
         ap = average_precision_from_hist(hist, keys)
         ece = ece_from_hist(hist, keys)
-        out = counts.join(ap, on=keys, how="left").join(ece, on=keys, how="left")
-        out = out.withColumns({"pr_auc": F.when(two, F.col("pr_auc")), "ece": F.when(two, F.col("ece"))})
+        parts = conf.unionByName(ap, allowMissingColumns=True).unionByName(ece, allowMissingColumns=True)
+        vals = [c for c in parts.columns if c not in keys]
+        merged = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in vals])
+        counts = classification_metrics(merged, alpha).withColumn("brier", F.when(two, F.col("_sse") / F.col("n")))
+        out = counts.withColumns({"pr_auc": F.when(two, F.col("pr_auc")), "ece": F.when(two, F.col("ece"))})
     else:
+        counts = classification_metrics(conf, alpha)
         out = counts.withColumns({c: F.lit(None).cast("double") for c in ("pr_auc", "brier", "ece")})
     out = out.drop("_sse")
     if total is not None:

@@ -18,8 +18,7 @@ from cohortspark.operators import rollup as R
 # op 68
 def repair_json(df: DataFrame, json_col: str, full_col: str | None = None) -> DataFrame:
     """Add ``answer`` (VARIANT or null) and ``status`` (valid / repaired / none)."""
-    v, status = jsonfix.repair(json_col, full_col)
-    return df.withColumns({"answer": v, "status": status})
+    return jsonfix.repair_columns(df, json_col, full_col)
 
 
 def _field(path_key: str, typ: str):
