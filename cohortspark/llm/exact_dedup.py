@@ -102,7 +102,7 @@ def _judge(spark: SparkSession, path: str, id_col: str, text_col: str, bits: int
     same = F.col("x_text") == F.col("x_kept_text")
     checked = saved(
         checked.select(
-            "x_digest", "x_n", "x_file", "x_row", "x_id", "x_keep_id", "x_is_keeper", same.alias("x_same"),
+            "x_digest", "x_salt", "x_n", "x_file", "x_row", "x_id", "x_keep_id", "x_is_keeper", same.alias("x_same"),
             F.when(~same, F.col("x_text")).alias("x_text"),
         ),
         "xd-checked",
@@ -111,12 +111,14 @@ def _judge(spark: SparkSession, path: str, id_col: str, text_col: str, bits: int
 
 
 def _strays(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose bytes differ from their digest's keeper, grouped by bytes; how many a digest has."""
+    """Rows whose bytes differ from their digest's keeper, grouped by bytes; how many a digest has, for every salt."""
     odd = checked.filter("NOT x_same")
     at = F.struct("x_id", "x_file", "x_row")
     groups = odd.groupBy("x_digest", "x_text").agg(F.count(F.lit(1)).alias("x_own_n"), F.max(at).alias("x_own"))
     strays = odd.join(groups, ["x_digest", "x_text"])
-    return strays, odd.groupBy("x_digest").agg(F.count(F.lit(1)).alias("x_odd"))
+    counts = odd.groupBy("x_digest").agg(F.count(F.lit(1)).alias("x_odd"), F.first("x_n").alias("x_of"))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("x_of") - 1) / SALT_ROWS))
+    return strays, counts.select("x_digest", "x_odd", F.explode(salts).alias("x_salt"))
 
 
 def dedup_table(
@@ -128,7 +130,7 @@ def dedup_table(
     strays, odd = _strays(checked)
     out = ["doc_id", "keep_id", "group_size", "kept", "digest"]
     single = rows.filter("x_n = 1").select("x_id", "x_id", "x_n", F.lit(True), "x_digest").toDF(*out)
-    same = checked.filter("x_same").join(odd, "x_digest", "left").select(
+    same = checked.filter("x_same").join(odd, ["x_digest", "x_salt"], "left").select(
         "x_id", "x_keep_id", F.col("x_n") - F.coalesce("x_odd", F.lit(0)), "x_is_keeper", "x_digest"
     ).toDF(*out)
     own = strays.select(

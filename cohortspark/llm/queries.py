@@ -5,7 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import table
+from cohortspark.llm.common import crc_bucket, table
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.quality import COUNTS, quality_filter
+
+    rows = quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", *COUNTS, "base_failed", "kept", "probability")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.bpe import decode, encode
+
+    rows = decode(encode(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +48,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op8_sharding)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.langid import fit_centroids, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    unseen = held_out(crc_bucket(F.col("doc_id"), 4))
+    rows = identify(docs.select("doc_id", "text"), fit_centroids(docs.filter(~unseen)))
+    return rows.select("doc_id", unseen.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op3_quality, op4_bpe, op5_exact_dedup, op8_sharding, op10_language,
+)}
 
 ORACLES = {
     "op5_exact_dedup": """
