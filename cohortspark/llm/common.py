@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -112,17 +113,23 @@ class ChunkMemo:
     The pre-token pattern of the byte-level vocabularies never matches across the start of
     " x" (one space before a non-space), so a text cut there tokenises chunk by chunk.  Texts
     with other white space after a space go whole through ``encode``.  ``encode`` maps a list
-    of texts to a list of ids; ``limit`` bounds the remembered chunks (memory only: a full
-    memo is emptied and filled again, results stay the same).
+    of texts to a list of ids, ``encode_chunks`` (if given) the same for chunks, each to be read
+    after a space, as bytes; ``limit`` bounds the remembered chunks (memory only: a full memo is
+    emptied and filled again, results stay the same).
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], dtype=np.uint16, limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list], code: str = "H", limit: int = 300_000, encode_chunks=None):
         import re
 
-        self.encode, self.dtype, self.limit = encode, dtype, limit
+        self.encode, self.code, self.limit = encode, code, limit
+        self.encode_chunks = encode_chunks or (lambda new: self._bytes([" " + w for w in new]))
+        self.dtype = np.dtype(code)
         self.first, self.later = {}, {}
         self.odd = re.compile(r" (?=\s|$)").search
 
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, ids).tobytes() for ids in self.encode(texts)]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.later) + len(self.first) > self.limit:
             self.first.clear()
@@ -135,11 +142,9 @@ class ChunkMemo:
                 new.update(c[1:])
         new = [w for w in new if w not in later]
         heads = list({c[0] for c in cut if c and c[0] not in first})
-        as_bytes = lambda ids: np.asarray(ids, self.dtype).tobytes()
-        for w, ids in zip(new, self.encode([" " + w for w in new])):
-            later[w] = as_bytes(ids)
-        for w, ids in zip(heads, self.encode(heads)):
-            first[w] = as_bytes(ids)
+        if new:
+            later.update(zip(new, self.encode_chunks(new)))
+        first.update(zip(heads, self._bytes(heads)))
         whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
         return [
             np.asarray(next(whole), self.dtype)

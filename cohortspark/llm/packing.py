@@ -149,7 +149,20 @@ def tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
         encode = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-        _TOKENIZERS[path] = ChunkMemo(encode), sentence_ends(t.get_vocab())
+        vocabulary = t.get_vocab()
+        opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+
+        def encode_chunks(words: list[str]) -> list[bytes]:
+            # As one text: a chunk's first token, and no other, starts with a space.
+            ids = np.asarray(encode([" " + " ".join(words)])[0], np.uint16)
+            edges = [*(2 * np.flatnonzero(opens[ids])).tolist(), 2 * len(ids)]
+            if len(edges) - 1 != len(words):
+                raise ValueError("the vocabulary's tokens do not end before a space")
+            raw = ids.tobytes()
+            return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+        _TOKENIZERS[path] = ChunkMemo(encode, encode_chunks=encode_chunks), sentence_ends(vocabulary)
     return _TOKENIZERS[path]
 
 
