@@ -11,8 +11,8 @@ Defined cases: null or empty text has no ids; the strings of special tokens are
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,9 @@ def own_pattern(pattern: str) -> str:
     return out.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
+LOW = (1 << 32) - 1
+
+
 class PerfectHash:
     """Minimal perfect hash over distinct byte strings: n keys fill n slots.
 
@@ -98,11 +101,12 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     end = list(range(1, n + 1))  # where the part that begins at i ends; 0: swallowed by an earlier one
     before = list(range(-1, n - 1))
     get = ranks.get
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    push, pop = heapq.heappush, heapq.heappop
+    # A heap entry is one integer: rank, place of the left part, end of the right part.
+    heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+    heapify(heap)
     while heap:
-        _, i, stop = pop(heap)
+        entry = heappop(heap)
+        i, stop = entry >> 32 & LOW, entry & LOW
         j = end[i]
         if not j or j >= n or end[j] != stop:  # stale: one of the two parts has changed
             continue
@@ -111,10 +115,10 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         if stop < n:
             before[stop] = i
             if (r := get(piece[i : end[stop]])) is not None:
-                push(heap, (r, i, end[stop]))
+                heappush(heap, r << 64 | i << 32 | end[stop])
         k = before[i]
         if k >= 0 and (r := get(piece[k:stop])) is not None:
-            push(heap, (r, k, stop))
+            heappush(heap, r << 64 | k << 32 | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -135,13 +139,16 @@ class BytePairCodec:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for w, r in ranks.items():
             self.bytes_of[r] = w
-        self.memo = ChunkMemo(self._encode, np.int32)
+        self.known: dict[str, list[int]] = {}
+        self.memo = ChunkMemo(self._encode, "i", limit=250_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.cut(t) for t in texts]
-        pieces = list({p for c in cut for p in c})
+        known = self.known
+        if len(known) > self.memo.limit:
+            known.clear()
+        pieces = list({p for c in cut for p in c} - known.keys())
         raw = [p.encode("utf-8", "replace") for p in pieces]
-        known = {}
         for piece, own, slot in zip(pieces, raw, self.table.find(raw).tolist()):
             known[piece] = [int(self.rank_at[slot])] if slot >= 0 else merge_bytes(own, self.ranks)
         return [[i for p in c for i in known[p]] for c in cut]
@@ -173,7 +180,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator) -> Iterator:
         c = codec(vocabulary)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, max_bytes=2 << 20):
             ids = c.encode([t or "" for t in batch.column(1).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -191,7 +198,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_mu
 
     def run(batches: Iterator) -> Iterator:
         c = codec(vocabulary)
-        for batch in in_slices(batches, column=place):
+        for batch in in_slices(batches, max_bytes=2 << 20, column=place):
             out = [c.decode(i or ()) for i in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
