@@ -59,20 +59,22 @@ def in_slices(batches: Iterable, max_bytes: int = 8 << 20, column: int = 1) -> I
             yield batch.slice(at, step)
 
 
-class Numbering(dict):
-    """Gives each new key the next number."""
+class WordHashes(dict):
+    """Remembers the 64-bit hash of each word; emptied when it holds ``limit`` words."""
 
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+    def __init__(self, limit: int = 400_000):
+        import xxhash
 
+        self.hash, self.limit = xxhash.xxh3_64_intdigest, limit
 
-def hash_words(words: Iterable[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    import xxhash
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = self.hash(word)
+        return h
 
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words), np.uint64)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)

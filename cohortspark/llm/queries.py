@@ -40,6 +40,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_table(spark, f"{sf_dir.rstrip('/')}/documents.parquet").withColumnRenamed("digest", "text_sha256")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortspark.llm.sharding import shard
 
@@ -58,7 +64,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_quality, op4_bpe, op5_exact_dedup, op8_sharding, op10_language,
+    op1_packing, op3_quality, op4_bpe, op5_exact_dedup, op7_near_dedup, op8_sharding, op10_language,
 )}
 
 ORACLES = {
