@@ -54,6 +54,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.substring import dedup_substrings
+
+    rows = dedup_substrings(table(spark, sf_dir, "documents"))
+    kept = F.when(F.col("n_removed") > 0, F.sha2(F.col("kept_text"), 256)).otherwise(F.col("sha256"))
+    return rows.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortspark.llm.langid import fit_centroids, held_out, identify
 
@@ -64,7 +72,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_quality, op4_bpe, op5_exact_dedup, op7_near_dedup, op8_sharding, op10_language,
+    op1_packing, op3_quality, op4_bpe, op5_exact_dedup, op7_near_dedup, op8_sharding, op9_substring_dedup, op10_language,
 )}
 
 ORACLES = {
