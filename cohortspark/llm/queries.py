@@ -40,6 +40,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_table(spark, f"{sf_dir.rstrip('/')}/documents.parquet").withColumnRenamed("digest", "text_sha256")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortspark.llm.minhash import near_duplicates
 
@@ -72,7 +78,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_quality, op4_bpe, op5_exact_dedup, op7_near_dedup, op8_sharding, op9_substring_dedup, op10_language,
+    op1_packing, op3_quality, op4_bpe, op5_exact_dedup, op6_lm_score, op7_near_dedup, op8_sharding, op9_substring_dedup, op10_language,
 )}
 
 ORACLES = {
