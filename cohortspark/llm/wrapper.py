@@ -254,7 +254,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     filled = rows.filter("html != ''")
     reference = saved(filled.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("html"), F.col("page_id"))).alias("reference")), "html-reference")
     size = reference.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host")), F.lit(0))).first()[0]
-    side = F.broadcast(reference) if size <= REFERENCE_BYTES else reference  # else a join, whose hot hosts AQE splits
+    # Small by measure, also the slots below (fewer than the references' bytes); else joins, whose hot hosts AQE splits.
+    sent = F.broadcast if size <= REFERENCE_BYTES else (lambda df: df)
 
     def run(batches: Iterator) -> Iterator:
         for batch in in_slices(batches, max_bytes=4 << 20, column=2):
@@ -276,13 +277,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     block = pa.struct([("text", pa.string()), ("slot", pa.int32()), ("article", pa.bool_()), ("same", pa.bool_())])
     kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(block)]
     schema = "page_id bigint, url string, host string, vote boolean, blocks array<struct<text: string, slot: int, article: boolean, same: boolean>>"
-    aligned = rows.join(side, "host", "left").select("page_id", "url", "html", "host", "reference").mapInArrow(run, schema)
+    aligned = rows.join(sent(reference), "host", "left").select("page_id", "url", "html", "host", "reference").mapInArrow(run, schema)
     aligned = saved(aligned, "html-aligned")
     votes = aligned.filter("vote").select("host", F.explode("blocks").alias("b")).filter("b.slot >= 0 AND NOT b.article")
     votes = votes.groupBy("host", F.col("b.slot").alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b.same").cast("long")).alias("same"))
     template = votes.filter((F.col("n") >= MIN_VOTES) & (F.col("same") > TEMPLATE_SHARE * F.col("n")))
     template = template.groupBy("host").agg(F.collect_list("slot").alias("template"))  # a host's slots: those of one page at most
-    out = aligned.join(template, "host", "left")
+    out = aligned.join(sent(template), "host", "left")
     marked = F.exists("blocks", lambda b: b["article"])
     of_template = lambda b: F.coalesce(F.array_contains("template", b["slot"]), F.lit(False))
     content = F.filter("blocks", lambda b: F.when(marked, b["article"]).otherwise(~of_template(b)))
