@@ -6,10 +6,10 @@ A candidate pair's signatures are compared batch by batch; after n values with m
 uniform prior, the pair is dropped once P(similarity >= threshold | m, n) falls below ``miss``.
 Survivors are verified on their full sets.
 
-No bucket is expanded into all pairs.  Its members meet one hub first, in several rounds with
-other hubs; the links found join documents into components.  Only members that are still apart
-from their bucket's largest component then meet the bucket's other components, within the
-range of set sizes that the threshold allows: no link is lost, none inside a component is sought.
+No bucket is expanded into all pairs.  Its members meet one hub first, the member with the most
+shared bands; the links found join documents into components.  Of the buckets that still hold
+several components, pairs across components are taken that also share a rare shingle, which
+every linked pair must: no link is lost, none inside a component is sought.
 
 Defined cases: null or empty texts have empty sets and link with nothing; rows that repeat an id
 are one document; rows without an id are never linked, have no component and stay.
@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import WordHashes, in_slices, mix64, saved, window_hashes, words_of
 from cohortspark.llm.components import components
 
 #: A pair at similarity 0.8 shares no band with a chance of (1 - 0.8^4)^32, below 1e-7.
-BANDS, ROWS, BATCH, HUB_ROUNDS = 32, 4, 32, 2
+BANDS, ROWS, BATCH = 32, 4, 32
 _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -130,6 +130,42 @@ def verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent:
     return saved(full.filter(similar("set_a", "set_b")).select("a", "b").distinct(), "mh-links")
 
 
+def across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of different components that share a band and may reach the threshold.
+
+    Two sets that do must share one of their rarest n - ceil(percent * n) + 1 shingles, counted
+    among these documents, and early enough in both for the overlap that the threshold asks:
+    a passage that thousands hold brings no pair together.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                raw = part.column(1).to_pylist()
+                ids = np.repeat(part.column(0).to_numpy(), [len(r) // 8 for r in raw])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["doc_id", "shingle"])
+
+    rows = sets.join(apart.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set")
+    rows = saved(rows.mapInArrow(run, "doc_id bigint, shingle bigint"), "mh-shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Shingles of one document come first in its order and bring no pair: only their number counts.
+    own = rows.join(often, "shingle").join(apart, "doc_id")
+    held = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")) + F.col("n") - held
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    own = own.withColumn("nth", nth).filter(F.col("nth") <= prefix).select("shingle", "doc_id", "n", "component", "bands", "nth")
+    own = saved(own, "mh-prefix")
+    other = own.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "n", "component", "bands", "nth")])
+    close = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+    meets = (F.col("doc_id") < F.col("other_doc_id")) & (F.col("component") != F.col("other_component")) & close & F.arrays_overlap("bands", "other_bands")
+    # The first shared shingle leaves room for at most that many shared ones.
+    room = (1 + F.least(F.col("n") - F.col("nth"), F.col("other_n") - F.col("other_nth"))) * (100 + percent)
+    meets = meets & (room >= (F.col("n") + F.col("other_n")) * percent)
+    pairs = own.join(other, (own["shingle"] == other["shingle"]) & meets)
+    return saved(pairs.select(F.col("doc_id").alias("a"), F.col("other_doc_id").alias("b")).distinct(), "mh-across")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6
 ) -> DataFrame:
@@ -145,35 +181,28 @@ def near_duplicates(
     members = reps.select(F.explode("bands").alias("key"), "doc_id", "n")
     many = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high"), "mh-buckets")
     members = saved(members.join(many.select("key", "size"), "key"), "mh-members")
+    # An original shares bands with all its copies, a copy with fewer: hubs are the best connected.
+    degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    members = saved(members.join(degree, "doc_id"), "mh-members")
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     wanted = members.select("doc_id").distinct()
     sets = saved(shingled(docs.join(wanted.withColumnRenamed("doc_id", id_col), id_col, "left_semi"), id_col, text_col, shingle, with_set=True), "mh-sets")
 
-    def star(of: DataFrame, turn: int) -> DataFrame:
-        """Each member with its bucket's hub, the hub chosen anew every turn."""
-        rank = F.struct(F.xxhash64(F.lit(turn), "doc_id"), F.struct("doc_id", "n"))
-        hubs = of.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.col2.doc_id").alias("hub"), F.col("hub.col2.n").alias("hub_n"))
+    def star(of: DataFrame) -> DataFrame:
+        """Each member with its bucket's hub."""
+        hubs = of.groupBy("key").agg(F.max(F.struct("degree", "doc_id", "n")).alias("hub"))
+        hubs = hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
         pairs = of.join(hubs, "key").filter((F.col("doc_id") != F.col("hub")) & close(F.col("n"), F.col("hub_n")))
         return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
-    links, apart = None, members
-    for turn in range(HUB_ROUNDS):
-        found = verified(star(apart, turn), reps, sets, percent, miss)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        named = saved(named.withColumn("component", F.coalesce("component", "doc_id")), "mh-named")
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-        # Buckets of two are settled by their one pair.
-        named = saved(named.filter("size > 2").join(mixed, "key", "left_semi"), "mh-mixed")
-        apart = named.drop("component")
-    # What is left: members outside their bucket's largest component against the other components.
-    counts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    outside = named.join(main, "key").filter("component != main")
-    outside = outside.select("key", F.col("doc_id").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_component"))
-    rest = outside.join(named, "key").filter((F.col("component") != F.col("u_component")) & close(F.col("n"), F.col("u_n")))
-    rest = rest.select(F.least("u", "doc_id").alias("a"), F.greatest("u", "doc_id").alias("b")).distinct()
+    links = verified(star(members), reps, sets, percent, miss)
+    labels = components(links)
+    # Buckets of two are settled by their one pair; of the others, those with several components are not.
+    named = members.filter("size > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = saved(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mh-named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    apart = saved(named.join(mixed, "key").select("doc_id", "component").distinct(), "mh-apart")
+    rest = across(apart.join(reps.select("doc_id", "n", "bands"), "doc_id"), sets, percent)
     labels = components(links.union(verified(rest, reps, sets, percent, miss)))
     of_group = saved(
         groups.join(labels, groups["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")), "mh-classes"
