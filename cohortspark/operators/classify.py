@@ -32,14 +32,14 @@ def _lr(c: float, n: float, penalty: str, weight_col: str | None = None):
 
     kw = dict(
         featuresCol="features", labelCol="label", regParam=1.0 / (c * max(n, 1.0)),
-        elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False, maxIter=100,
+        elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False, maxIter=1000,
     )
     if weight_col:
         kw["weightCol"] = weight_col
     return LogisticRegression(**kw)
 
 
-def text_pipeline(text_col: str, ngram_max: int = 1, max_df: float = 1.0, tfidf: bool = False, vocab_size: int = 1 << 18):
+def text_pipeline(text_col: str, ngram_max: int = 1, max_df: float = 1.0, tfidf: bool = False, vocab_size: int = 2**31 - 1):
     """Feature stages: tokens of >= 2 word characters (lower-cased), uni(+bi)-grams, counts (+IDF, L2)."""
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 

@@ -96,7 +96,7 @@ def standardise_terms(
     if nfkc:
         txt = normalise_text(txt, nfkc=True)
     else:
-        txt = F.translate(txt, "‘’", "''")
+        txt = F.translate(txt, "’", "'")
     base = df.withColumn("_txt", txt).withColumn("_pc", F.regexp_extract_all(F.col("_txt"), F.lit(PIECE), 0))
 
     t = terms.select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import text as tx
+from cohortspark.session import cut_lineage
 
 
 def _ngram_array(tokens: Column, n: int) -> Column:
@@ -80,14 +81,18 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, par
     per-partition class counts gives the offsets.
     """
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    r = df.repartitionByRange(n, F.col(label_col), F.col(id_col)).withColumn("_pid", F.spark_partition_id())
-    local = Window.partitionBy("_pid", label_col).orderBy(id_col)
+    # Partition numbers are fixed once, on the two columns alone: planned again they could differ.
+    keys = df.select(F.col(label_col).alias("_label"), F.col(id_col).alias("_id"))
+    r = cut_lineage(keys.repartitionByRange(n, "_label", "_id").withColumn("_pid", F.spark_partition_id()))
+    local = Window.partitionBy("_pid", "_label").orderBy("_id")
     r = r.withColumn("_rn", F.row_number().over(local) - 1)
-    counts = r.groupBy("_pid", label_col).agg(F.count(F.lit(1)).alias("_c"))
-    prev = Window.partitionBy(label_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(prev), F.lit(0))).select("_pid", label_col, "_off")
-    out = r.join(F.broadcast(offs), on=["_pid", label_col], how="inner")  # partitions x classes rows
-    return out.withColumn("fold", ((F.col("_off") + F.col("_rn")) % k).cast("int")).drop("_pid", "_rn", "_off")
+    counts = r.groupBy("_pid", "_label").agg(F.count(F.lit(1)).alias("_c"))
+    prev = Window.partitionBy("_label").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(prev), F.lit(0))).select(F.col("_pid").alias("_p"), F.col("_label").alias("_l"), "_off")
+    same = (F.col("_pid") == F.col("_p")) & F.col("_label").eqNullSafe(F.col("_l"))
+    folds = r.join(F.broadcast(offs), same)  # partitions x classes rows
+    folds = folds.select("_id", ((F.col("_off") + F.col("_rn")) % k).cast("int").alias("fold"))
+    return df.join(folds, df[id_col].eqNullSafe(folds["_id"]), "left").drop("_id")  # ids are unique
 
 
 # op 80

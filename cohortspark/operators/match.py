@@ -23,9 +23,6 @@ from pyspark.sql import types as T
 from cohortspark.functions import text as tx
 from cohortspark.operators.joins import bounded_broadcast
 
-# Vocabularies larger than this go through phrase matching (joins), not one regex.
-MAX_REGEX_PATTERNS = 5000
-
 # Token rule for phrase matching: word runs, and every other non-space character alone.
 PHRASE_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 # Scope ends: sentence ends and the termination cues.
@@ -35,11 +32,9 @@ SCOPE_SPLIT = r"[.;!?]"
 # --------------------------------------------------------------------------- #
 # Regex flags                                                                 #
 # --------------------------------------------------------------------------- #
-def category_patterns(vocab: DataFrame, max_patterns: int = MAX_REGEX_PATTERNS) -> dict[str, list[str]]:
-    """Collect a bounded (category, pattern) table into {category: [patterns]} in pattern order."""
-    rows = vocab.select("category", "pattern").limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"vocabulary exceeds {max_patterns} patterns; use phrase_match instead")
+def category_patterns(vocab: DataFrame) -> dict[str, list[str]]:
+    """The (category, pattern) configuration table as {category: [patterns]} in pattern order."""
+    rows = vocab.select("category", "pattern").collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r["category"], []).append(r["pattern"])
@@ -106,7 +101,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 def normalise_text(text, nfkc: bool = True) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     c = _nfkc(c) if nfkc else c
-    return F.translate(c, "‘’", "''")
+    return F.translate(c, "’", "'")
 
 
 # --------------------------------------------------------------------------- #

@@ -106,14 +106,17 @@ def odds_ratios(df: DataFrame, features: list[str], label: str, c: float = 1.0)
 
 
 # op 78
-def label_tree(df: DataFrame, features: list[str], label: str, max_depth: int = 5, seed: int = 0) -> DataFrame:
-    """Decision tree label ~ flags on the weighted pattern table; accuracy and sorted importances."""
+def label_tree(df: DataFrame, features: list[str], label: str, max_depth: int | None = None, seed: int = 0) -> DataFrame:
+    """Decision tree label ~ flags on the weighted pattern table; accuracy and sorted importances.
+
+    Unless ``max_depth`` is given, the tree may ask for every flag on a path.
+    """
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     pats = flag_patterns(df, features, label)
     data = VectorAssembler(inputCols=features, outputCol="features").transform(pats)
-    m = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=max_depth, seed=seed).fit(data)
+    m = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=max_depth or min(30, len(features)), seed=seed).fit(data)
     pred = m.transform(data)
     acc = pred.agg((F.sum(F.when(F.col("prediction") == F.col("label"), F.col("weight")).otherwise(0.0)) / F.sum("weight"))).collect()[0][0]
     imp = sorted(zip(features, m.featureImportances.toArray()), key=lambda t: -t[1])
