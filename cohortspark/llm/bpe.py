@@ -16,6 +16,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,9 +137,13 @@ class BytePairCodec:
         self.rank_at = np.zeros(max(1, len(ranks)), np.int64)
         self.rank_at[self.table.slot_of_key] = list(ranks.values())
         self.cut = regex.compile(own_pattern(pattern)).findall
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for w, r in ranks.items():
-            self.bytes_of[r] = w
+            by_id[r] = w
+        # The bytes of all tokens in one row, by id: decoding gathers from it.
+        self.pool = np.frombuffer(b"".join(by_id), np.uint8)
+        self.width = np.fromiter(map(len, by_id), np.int64, len(by_id))
+        self.begin = np.cumsum(self.width) - self.width
         self.known: dict[str, list[int]] = {}
         self.memo = ChunkMemo(self._encode, "i", limit=250_000)
 
@@ -156,9 +161,13 @@ class BytePairCodec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.memo(texts)
 
-    def decode(self, ids: list[int]) -> bytes:
-        at = self.bytes_of
-        return b"".join([at[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids, and where each id's bytes end."""
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        source = np.repeat(self.begin[ids] - (ends - width), width)
+        source += np.arange(len(source))
+        return self.pool[source], ends
 
 
 _CODECS: dict = {}
@@ -199,8 +208,12 @@ def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_mu
     def run(batches: Iterator) -> Iterator:
         c = codec(vocabulary)
         for batch in in_slices(batches, max_bytes=2 << 20, column=place):
-            out = [c.decode(i or ()) for i in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*keep, "decoded"])
+            ids = batch.column(place)
+            raw, ends = c.decode(ids.flatten().to_numpy(zero_copy_only=False))  # null lists hold no ids
+            last = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+            edges = np.concatenate([[0], np.concatenate([[0], ends])[last]]).astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edges), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*keep, "decoded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes) + ", decoded binary"
     return rows.select(*keep).mapInArrow(run, schema)
