@@ -1,18 +1,22 @@
 """Text and embedding classifiers on Spark ML (ops 71, 74, 76, 79, 81).
 
-Fits are distributed (``LogisticRegression`` is a treeAggregate over
-partitions); grid search runs through ``CrossValidator`` with an explicit fold
-column so the folds are the stratified ones of ``features.stratified_folds``.
+Final fits are distributed (``LogisticRegression`` is a treeAggregate over partitions); the
+grid search fits a bounded number of labelled rows in one task per n-gram range, fold and penalty (the
+stratified folds of ``features.stratified_folds``).
 The reference's solver penalises summed losses with strength 1/C; Spark
 averages, so the penalty maps to ``regParam = 1 / (C * n)``.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions import text as tx
+from cohortspark.operators.features import ngram_array
+
 
 def log_count_ratio(tf: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     """(feature, coefficient): smoothed log ratio of a term's document share in the
@@ -41,9 +45,7 @@ def _lr(c: float, n: float, penalty: str, weight_col: str | None = None):
 
 def text_pipeline(text_col: str, ngram_max: int = 1, max_df: float = 1.0, tfidf: bool = False, vocab_size: int = 2**31 - 1):
     """Feature stages: tokens of >= 2 word characters (lower-cased), uni(+bi)-grams, counts (+IDF, L2)."""
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
-
-    from cohortspark.functions import text as tx
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 
     stages = [
         SQLTransformer(statement=f"SELECT *, coalesce({text_col}, '') AS _text FROM __THIS__"),
@@ -56,27 +58,43 @@ def text_pipeline(text_col: str, ngram_max: int = 1, max_df: float = 1.0, tfidf:
             SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
         ]
         terms = "_terms"
-    stages.append(CountVectorizer(inputCol=terms, outputCol="_tf" if tfidf else "features", maxDF=max_df, vocabSize=vocab_size))
+    # Spark reads a maxDF of 1 and more as a number of documents: a share of 1 is no limit.
+    share = {"maxDF": max_df} if max_df < 1.0 else {}
+    stages.append(CountVectorizer(inputCol=terms, outputCol="_tf" if tfidf else "features", vocabSize=vocab_size, **share))
     if tfidf:
-        # Spark's idf is ln((n+1)/(df+1)); the +1 smoothing of the original weighting is not available here.
-        stages += [IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features", p=2.0)]
+        stages.append(IDF(inputCol="_tf", outputCol="_idf"))
     return stages
 
 
+def fit_features(stages: list, d: DataFrame):
+    """The fitted feature stages.  Spark's idf is ln((n+1)/(df+1)); the weighting wants one more, so
+    counts are scaled by idf + 1 and normalised."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import ElementwiseProduct, IDFModel, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    fitted = Pipeline(stages=stages).fit(d).stages
+    if isinstance(fitted[-1], IDFModel):
+        weights = Vectors.dense(fitted[-1].idf.toArray() + 1.0)
+        fitted = [*fitted[:-1], ElementwiseProduct(scalingVec=weights, inputCol="_tf", outputCol="_idf"),
+                  Normalizer(inputCol="_idf", outputCol="features", p=2.0)]
+    return PipelineModel(stages=list(fitted))
+
+
 # op 71
 def train_text_classifier(
     train: DataFrame, text_col: str, label_col: str, ngram_max: int = 1, max_df: float = 1.0, tfidf: bool = False,
     c: float = 1.0, penalty: str = "l2",
 ):
     """Vectoriser + logistic regression on rows with text and label; None when no rows remain."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
 
     d = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).withColumn("label", F.col(label_col).cast("double"))
     n = d.count()
     if n == 0:
         return None
-    stages = text_pipeline(text_col, ngram_max, max_df, tfidf) + [_lr(c, n, penalty)]
-    return Pipeline(stages=stages).fit(d)
+    features = fit_features(text_pipeline(text_col, ngram_max, max_df, tfidf), d)
+    return PipelineModel(stages=[features, _lr(c, n, penalty).fit(features.transform(d))])
 
 
 # op 76
@@ -92,50 +110,130 @@ def predict_text(model, df: DataFrame, out_prob: str = "prob", out_pred: str = "
 
 
 # op 74
+def _csr(docs, vocabulary, keep, idf):
+    """(column of each entry, value, row of each entry) of the kept terms of some documents."""
+    cols, vals, rows = [], [], []
+    for i, (terms, counts) in enumerate(docs):
+        at = np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))
+        known = (vocabulary[at] == terms) & (keep[at] >= 0) if len(vocabulary) else np.zeros(len(terms), bool)
+        c, v = keep[at[known]], counts[known].astype(np.float64)
+        if idf is not None:
+            v = v * idf[c]
+            v /= np.sqrt((v * v).sum()) or 1.0
+        cols.append(c)
+        vals.append(v)
+        rows.append(np.full(len(c), i))
+    return np.concatenate(cols), np.concatenate(vals), np.concatenate(rows)
+
+
+def _fit_logistic(x, y, width, c, l1, max_iter, tol, start=None):
+    """Weights and free intercept (last) minimising C * summed loss + penalty: accelerated proximal
+    steps with restarts, until the largest change of a step is below ``tol`` of the largest weight."""
+    cols, vals, rows = x
+    n = len(y)
+    dot = lambda w: np.bincount(rows, vals * w[cols], n) + w[width]
+    back = lambda r: np.append(np.bincount(cols, vals * r[rows], width), r.sum())
+    v = np.random.default_rng(0).standard_normal(width + 1)
+    for _ in range(30):  # largest eigenvalue of the loss's curvature bound
+        v /= np.linalg.norm(v)
+        v = back(dot(v))
+    step = 1.0 / (c * 0.25 * 1.05 * np.linalg.norm(v) + (0.0 if l1 else 1.0))
+    w = np.zeros(width + 1) if start is None else start.copy()
+    z, t = w, 1.0
+    for _ in range(max_iter):
+        g = c * back(1.0 / (1.0 + np.exp(-np.clip(dot(z), -500, 500))) - y)
+        if not l1:
+            g[:width] += z[:width]
+        new = z - step * g
+        if l1:
+            new[:width] = np.sign(new[:width]) * np.maximum(np.abs(new[:width]) - step, 0.0)
+        if ((z - new) * (new - w)).sum() > 0:  # momentum points uphill: start anew
+            t = 1.0
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, change = new + (t - 1) / after * (new - w), np.abs(new - w).max()
+        w, t = new, after
+        if change <= tol * max(1.0, np.abs(w).max()):
+            break
+    return w
+
+
+def roc_auc(score, y) -> float:
+    """Chance that a positive scores above a negative, ties half; nan with one class only."""
+    n1 = int(y.sum())
+    n0 = len(y) - n1
+    if not n1 or not n0:
+        return float("nan")
+    _, place, many = np.unique(score, return_inverse=True, return_counts=True)
+    rank = np.cumsum(many) - (many - 1) / 2.0
+    return float((rank[place][y == 1].sum() - n1 * (n1 + 1) / 2.0) / (n1 * n0))
+
+
 def grid_search(
     train: DataFrame, text_col: str, label_col: str, fold_col: str = "fold", max_dfs=(0.75, 1.0), ngrams=(1, 2),
-    penalties=("l1", "l2"), cs=(0.01, 0.1, 1.0, 10.0), tfidf: bool = False, parallelism: int = 4, num_folds: int = 5,
-    search_max_iter: int = 20,
+    penalties=("l1", "l2"), cs=(0.01, 0.1, 1.0, 10.0), tfidf: bool = False, num_folds: int = 5,
+    max_iter: int = 1000, tol: float = 1e-4, max_rows: int = 20_000,
 ) -> DataFrame:
-    """k-fold search by ROC-AUC; feature settings are an outer loop (one feature table each),
-    penalty x C run inside ``CrossValidator`` on the given fold column.  Returns the grid table."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    from concurrent.futures import ThreadPoolExecutor
-
-    d = train.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).withColumn("label", F.col(label_col).cast("double"))
-    n = d.count()
-
-    def one(setting):
-        mdf, ng = setting
-        feats = Pipeline(stages=text_pipeline(text_col, ng, mdf, tfidf)).fit(d).transform(d).select("features", "label", fold_col)
-        # one feature table per setting, reused by all 8 x k fits of the setting
-        feats = feats.withColumn(fold_col, F.col(fold_col).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
-        # search fits rank settings; they stop earlier than final fits (each iteration is a Spark job)
-        lr = _lr(1.0, n, "l2").setMaxIter(search_max_iter).setTol(1e-4)
-        grid = ParamGridBuilder()
-        grid = grid.addGrid(lr.elasticNetParam, [1.0 if p == "l1" else 0.0 for p in penalties])
-        grid = grid.addGrid(lr.regParam, [1.0 / (c * n) for c in cs]).build()
-        cv = CrossValidator(
-            estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-            foldCol=fold_col, numFolds=num_folds, parallelism=1,
-        )
-        m = cv.fit(feats)
-        feats.unpersist()
+    """k-fold search by ROC-AUC: (max_df, ngram_max, penalty, c, roc_auc), the mean over the folds.
+
+    Vocabulary, document share and IDF are fitted on each fold's training rows.  The texts become
+    term hashes row by row; every (n-gram range, fold, penalty) is one task, which makes its
+    features once and fits the models of all strengths on them.  ``max_rows`` bounds the labelled rows of a search
+    (larger sets: the rows smallest by a hash of text and label), so a task's rows are bounded.
+    Folds whose held-out rows have one class only do not count; a null text is empty; a table
+    without labelled rows gives no rows.
+    """
+    rows = train.filter(F.col(label_col).isNotNull()).select(
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.col(label_col).cast("int").alias("_y"),
+        F.col(fold_col).cast("int").alias("_fold"),
+    )
+    rows = rows.orderBy(F.xxhash64("_text", "_y"), "_fold").limit(max_rows)
+    rows = rows.select("_y", "_fold", tx.tokens("_text", tx.TOKEN_2PLUS).alias("_tok"))
+    parts = []
+    for n in ngrams:
+        grams = F.flatten(F.array(*[ngram_array(F.col("_tok"), k) for k in range(1, n + 1)]))
+        parts.append(F.struct(F.lit(int(n)).alias("ngram_max"), F.transform(grams, lambda g: F.xxhash64(g)).alias("terms")))
+    rows = rows.select("_y", "_fold", F.explode(F.array(*parts)).alias("_g")).select("_y", "_fold", "_g.*")
+    rows = rows.withColumn("held", F.explode(F.array(*[F.lit(k) for k in range(num_folds)])))
+    rows = rows.withColumn("penalty", F.explode(F.array(*[F.lit(p) for p in penalties])))
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n_gram, held, penalty = key
+        docs = [np.unique(np.asarray(t, np.int64), return_counts=True) for t in pdf["terms"]]
+        y, test = pdf["_y"].to_numpy().astype(np.float64), (pdf["_fold"] == held).to_numpy()
+        seen = [d for d, t in zip(docs, test) if not t]
         out = []
-        for pm, auc in zip(grid, m.avgMetrics):
-            en = pm[lr.elasticNetParam]
-            rp = pm[lr.regParam]
-            out.append((float(mdf), int(ng), "l1" if en == 1.0 else "l2", float(1.0 / (rp * n)), float(auc)))
-        return out
-
-    # feature settings are independent: their searches run as concurrent Spark jobs
-    settings = [(m, g) for m in max_dfs for g in ngrams]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(settings)))) as pool:
-        rows = [r for part in pool.map(one, settings) for r in part]
-    return train.sparkSession.createDataFrame(rows, "max_df double, ngram_max int, penalty string, c double, roc_auc double")
+        if seen and test.any():
+            vocabulary, df = np.unique(np.concatenate([d[0] for d in seen]), return_counts=True)
+            for share in max_dfs:
+                kept = df <= share * len(seen)
+                keep = np.where(kept, np.cumsum(kept) - 1, -1)
+                idf = np.log((1.0 + len(seen)) / (1.0 + df[kept])) + 1.0 if tfidf else None
+                x = _csr(seen, vocabulary, keep, idf)
+                xt = _csr([d for d, t in zip(docs, test) if t], vocabulary, keep, idf)
+                width = int(kept.sum())
+                w = None
+                for c in sorted(cs):  # each fit starts from the next weaker one
+                    w = _fit_logistic(x, y[~test], width, c, penalty == "l1", max_iter, tol, w)
+                    score = np.bincount(xt[2], xt[1] * w[xt[0]], int(test.sum()))
+                    out.append((float(share), int(n_gram), penalty, float(c), roc_auc(score, y[test])))
+        return pd.DataFrame(out, columns=["max_df", "ngram_max", "penalty", "c", "auc"])
+
+    fits = rows.groupBy("ngram_max", "held", "penalty").applyInPandas(search, "max_df double, ngram_max int, penalty string, c double, auc double")
+    return fits.filter(~F.isnan("auc")).groupBy("max_df", "ngram_max", "penalty", "c").agg(F.avg("auc").alias("roc_auc"))
+
+
+def best_setting(grid: DataFrame) -> dict | None:
+    """The row with the highest score (ties: the first in the order of the settings); none without rows."""
+    best = grid.orderBy(F.desc("roc_auc"), "max_df", "ngram_max", "penalty", "c").first()
+    return {k: best[k] for k in ("max_df", "ngram_max", "penalty", "c")} if best else None
+
+
+def search_text_classifier(train: DataFrame, text_col: str, label_col: str, fold_col: str = "fold", tfidf: bool = False, **search):
+    """(model, grid): the best setting of the search refitted on all rows with a label."""
+    grid = grid_search(train, text_col, label_col, fold_col, tfidf=tfidf, **search).persist()
+    best = best_setting(grid)
+    model = train_text_classifier(train, text_col, label_col, tfidf=tfidf, **best) if best else None
+    return model, grid
 
 
 # op 81

@@ -15,7 +15,7 @@ from cohortspark.functions import text as tx
 from cohortspark.session import cut_lineage
 
 
-def _ngram_array(tokens: Column, n: int) -> Column:
+def ngram_array(tokens: Column, n: int) -> Column:
     """Array of n-grams (tokens joined by one space) from a token array (row-local)."""
     if n == 1:
         return tokens
@@ -43,7 +43,7 @@ def bow_features(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 1,
     ``max_df`` (a share of documents) drops terms present in more documents.
     """
     toks = tx.tokens(text_col, tx.TOKEN_2PLUS)
-    arrays = [_ngram_array(F.col("_tok"), n) for n in range(1, ngram_max + 1)]
+    arrays = [ngram_array(F.col("_tok"), n) for n in range(1, ngram_max + 1)]
     allt = F.flatten(F.array(*arrays)) if len(arrays) > 1 else arrays[0]
     t = df.select(F.col(id_col), toks.alias("_tok")).select(id_col, F.explode(allt).alias("term"))
     tf = t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -1201,10 +1201,11 @@ def q_grid_search(spark, sf):
 
     lab = reports(spark, sf).filter((F.col("split") == "train") & F.col(FX.LABEL).isNotNull())
     folds = FE.stratified_folds(lab, "doc_id", FX.LABEL, defaults.CV_FOLDS)
-    return CL.grid_search(
+    grid = CL.grid_search(
         folds, "text", FX.LABEL, "fold", defaults.GRID_MAX_DF, defaults.GRID_NGRAMS, defaults.GRID_PENALTY, defaults.GRID_C,
-        parallelism=8, num_folds=defaults.CV_FOLDS,
+        num_folds=defaults.CV_FOLDS,
     )
+    return r6(grid)
 
 
 @register("embedding_classifier")

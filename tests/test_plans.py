@@ -2,6 +2,8 @@
 
 from conftest import SF_SMALL
 
+from cohortspark.plans import registry
+
 FITS = {"grid_search", "bow_cohort", "tfidf_cohort", "embedding_cohort", "train_text_classifier", "predict_text",
         "embedding_classifier", "patient_meta_model", "odds_ratios", "label_tree", "doc_to_patient_study", "vif"}
 
@@ -11,9 +13,7 @@ def _plan(df) -> str:
 
 
 def test_no_cross_or_nested_loop_joins(spark):
-    import __spark_entry__ as E
-
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         if name in FITS:
             continue
         plan = _plan(fn(spark, SF_SMALL))
