@@ -76,7 +76,7 @@ def preferred_terms(concepts: DataFrame, kinds=PREFERRED_KINDS) -> tuple[DataFra
 
 # op 64
 def standardise_terms(
-    df: DataFrame, id_col: str, text_col: str, terms: DataFrame, out: str | None = None, nfkc: bool = False,
+    df: DataFrame, id_col: str, text_col: str, terms: DataFrame, out: str | None = None, nfkc: bool = True,
 ) -> DataFrame:
     """Replace known phrases (whole words, case-insensitive) by their preferred form.
 
@@ -106,7 +106,9 @@ def standardise_terms(
         F.size(F.regexp_extract_all(F.lower(F.col("alias")), F.lit(PIECE), 0)).alias("_len"),
         F.size(F.split(F.trim(F.col("alias")), r"\s+")).alias("_words"),
     )
-    t = t.filter(F.col("_key").rlike(WORDCH) & F.reverse(F.col("_key")).rlike(WORDCH)).dropDuplicates(["_key"])
+    t = t.filter(F.col("_key").rlike(WORDCH) & F.reverse(F.col("_key")).rlike(WORDCH))
+    # Of equal aliases the earliest row counts.
+    t = t.groupBy("_key").agg(F.min(F.struct("_ord", "_pref", "_len", "_words")).alias("_first")).select("_key", "_first.*")
     from cohortspark.operators.match import PREFILTER_MAX_KEYS
 
     rows = t.select("_key", "_len").limit(PREFILTER_MAX_KEYS + 1).collect()

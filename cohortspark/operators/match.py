@@ -193,9 +193,8 @@ def phrase_match(
     """Whole-token, case-insensitive matches: (ids, seg, start, end, key, vocabulary columns)."""
     ptab = phrase_table(phrases, phrase_col)
     lengths, keys = _vocab_keys(ptab)
-    if not lengths:
-        schema_cols = [*id_cols, "seg", "start", "end", "key"]
-        return df.sparkSession.createDataFrame([], ",".join(f"{c} string" for c in schema_cols))
+    if not lengths:  # an empty vocabulary: the join below gives no rows, with all its columns
+        lengths, keys = [1], None
     grams = text_ngrams(df, id_cols, text_col, lengths, scoped, keys)
     hits = grams.join(bounded_broadcast(ptab), on=["key", "n_words"], how="inner")
     return hits.withColumn("end", F.col("start") + F.col("n_words"))

@@ -68,3 +68,9 @@ def test_load_concepts_file(spark, tmp_path):
     rows = df.orderBy("ord").collect()
     assert [r.CUI for r in rows] == ["C0000001", "C0000003"]
     assert rows[0].STR == "Colitis" and rows[0].TTY == "PT"
+
+
+def test_standardise_ligatures_and_equal_aliases(spark):
+    df = spark.createDataFrame([(1, "in\ufb02amed gut")], "id int, t string").repartition(2)
+    terms = spark.createDataFrame([("inflamed", "second", 2), ("Inflamed", "first", 1)], "alias string, preferred string, ord int").repartition(2)
+    assert CO.standardise_terms(df, "id", "t", terms, out="s").first().s == "first gut"

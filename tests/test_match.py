@@ -58,3 +58,11 @@ def test_negation_following(spark):
 def test_normalise_text(spark):
     df = spark.createDataFrame([("ﬁne Crohn’s",)], "t string")
     assert df.select(MT.normalise_text("t").alias("n")).collect()[0].n == "fine Crohn's"
+
+
+def test_empty_vocabulary(spark):
+    df = spark.createDataFrame([(1, "no colitis seen")], "id int, t string")
+    none = spark.createDataFrame([], "category string, phrase string")
+    cues = spark.createDataFrame([], "kind string, phrase string")
+    out = MT.negated_match(df, ["id"], "t", none, cues)
+    assert out.collect() == [] and {"id", "seg", "start", "end", "category", "phrase", "negated"} <= set(out.columns)
