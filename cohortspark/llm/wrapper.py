@@ -3,16 +3,19 @@
 Every host has one reference page.  A page's tree is aligned with the reference of its host by
 simple tree matching: the root pair, then, recursively, the children in order so that the most
 nodes match.  A slot (node of the reference) whose text is the same in most of the other pages
-aligned with it is template; slots that vary are content.  Structure decides what content
-cannot be: scripts, forms, navigation, adverts, comments and the like, by element or by the words
-of class, id and role; and where a page marks its article, only what lies inside is kept.
+aligned with it is template; slots that vary are content, inside an article or main element and
+outside of it.  Structure decides what content cannot be: scripts, forms, navigation, adverts,
+comments and the like, by element or by the words of class, id and role.  The article mark shifts
+the evidence: a marked slot needs ``MARKED_VOTES`` pages to become template, and only the very text
+that is constant goes.  Where too few pages vote at all, the mark breaks the tie: if most of the
+page's text is marked, the rest goes.
 
 Slots are counted per host from partial sums, so a host with a third of all pages is no hot
 group, and no two pages are ever compared with each other.
 
 Defined cases: null or empty html gives an empty text; pages without a url share the empty host;
 unclosed and misnested elements close as browsers close them; exact copies of a reference do not
-vote; a slot needs ``MIN_VOTES`` pages to become template, and slots inside an article never do.
+vote; an unmarked slot needs ``MIN_VOTES`` pages to become template.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.common import in_slices, saved
 
-MIN_VOTES, TEMPLATE_SHARE, REFERENCE_BYTES = 3, 0.5, 16 << 20
+MIN_VOTES, MARKED_VOTES, TEMPLATE_SHARE, MARKED_MOST, REFERENCE_BYTES = 3, 8, 0.5, 0.5, 16 << 20
 
 # Element and attribute names of HTML and of common page layouts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -279,13 +282,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = "page_id bigint, url string, host string, vote boolean, blocks array<struct<text: string, slot: int, article: boolean, same: boolean>>"
     aligned = rows.join(sent(reference), "host", "left").select("page_id", "url", "html", "host", "reference").mapInArrow(run, schema)
     aligned = saved(aligned, "html-aligned")
-    votes = aligned.filter("vote").select("host", F.explode("blocks").alias("b")).filter("b.slot >= 0 AND NOT b.article")
+    votes = aligned.filter("vote").select("host", F.explode("blocks").alias("b")).filter("b.slot >= 0")
     votes = votes.groupBy("host", F.col("b.slot").alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b.same").cast("long")).alias("same"))
-    template = votes.filter((F.col("n") >= MIN_VOTES) & (F.col("same") > TEMPLATE_SHARE * F.col("n")))
-    template = template.groupBy("host").agg(F.collect_list("slot").alias("template"))  # a host's slots: those of one page at most
-    out = aligned.join(sent(template), "host", "left")
-    marked = F.exists("blocks", lambda b: b["article"])
-    of_template = lambda b: F.coalesce(F.array_contains("template", b["slot"]), F.lit(False))
-    content = F.filter("blocks", lambda b: F.when(marked, b["article"]).otherwise(~of_template(b)))
+    constant = F.col("same") > TEMPLATE_SHARE * F.col("n")
+    decided = votes.filter(F.col("n") >= MIN_VOTES).groupBy("host").agg(  # a host's slots: those of one page at most
+        F.collect_list(F.when(constant, F.col("slot"))).alias("template"),
+        F.collect_list(F.when(constant & (F.col("n") >= MARKED_VOTES), F.col("slot"))).alias("marked_template"),
+    )
+    out = aligned.join(sent(decided), "host", "left")
+    length = lambda column: F.aggregate(column, F.lit(0), lambda n, b: n + F.char_length(b["text"]))
+    marked = length(F.filter("blocks", lambda b: b["article"])) > MARKED_MOST * length(F.col("blocks"))
+    of_template = lambda b: F.when(b["article"], b["same"] & F.array_contains("marked_template", b["slot"])).otherwise(F.array_contains("template", b["slot"]))
+    content = F.filter("blocks", lambda b: F.when(F.col("template").isNull(), ~marked | b["article"]).otherwise(~of_template(b)))
     out = out.select("page_id", "url", content.alias("blocks"))
     return out.withColumn("text", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"))

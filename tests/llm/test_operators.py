@@ -239,3 +239,18 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
         rows = stage(spark, rows, "")
         assert rows.columns == docs.columns, name
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_page_slots_decide_inside_and_outside_articles(spark):
+    from cohortspark.llm.wrapper import extract
+
+    whole = "<body><main><h1>Head {0}</h1><p>Text {0}</p><div>Sign our letter</div></main></body>"
+    cards = "<body><div><p>Long text {0} of the page</p><p>and more {0}</p></div><div>Always here</div><article>Card</article></body>"
+    rows = [(i, "http://a.example/x", whole.format(i)) for i in range(12)] + [(20 + i, "http://b.example/x", cards.format(i)) for i in range(12)]
+    rows += [(40, "http://c.example/x", "<body><div>Few</div><article>Most of the text of this page</article></body>")]
+    rows += [(41, "http://d.example/x", "<body><div>Most of the text of this page</div><article>Few</article></body>")]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "Head 3\n\nText 3"
+    assert got[23] == "Long text 3 of the page\n\nand more 3"
+    assert got[40] == "Most of the text of this page"
+    assert got[41] == "Most of the text of this page\n\nFew"
