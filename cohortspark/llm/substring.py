@@ -10,7 +10,10 @@ a document with a smaller id.
 3. The distinct stretches of a minimizer, each with its smallest id, are its reference.  References
    are dealt to shards of about ``SHARD_WORDS`` words; a task builds the suffix automaton of one
    shard, with the smallest id for every state, and streams the stretches through it: matching
-   statistics cut at ``length`` give, per window, the smallest document that holds it.
+   statistics cut at ``length`` give, per window, the smallest document that holds it.  A minimizer
+   whose stretches alone hold more than ``SHARD_WORDS`` words (a licence line in ever other
+   surroundings) is no shard: its windows are told apart one by one by a 128-bit hash, and the
+   smallest id of each comes from partial minima.
 4. Windows whose smallest document is smaller than their own are merged to maximal spans.
 
 The automata stay with their shard: the reference is the corpus itself, so a broadcast of it
@@ -193,7 +196,35 @@ def match_shard(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"].to_numpy(), "digest": rows["digest"].to_numpy(), "spans": spans})
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH):
+def match_windows(reference: DataFrame, length: int) -> DataFrame:
+    """As ``match_shard``, for keys of too many words: window by window, by hash, without a group per key."""
+
+    def run(batches: Iterator) -> Iterator:
+        import xxhash
+
+        for batch in in_slices(batches, max_bytes=1 << 20, column=3):
+            out = []
+            for key, digest, low, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                for at in range(len(raw) // 8 - length + 1):
+                    out.append((key, digest, low, at, xxhash.xxh3_128_digest(raw[8 * at : 8 * (at + length)])))
+            for at in range(0, len(out), 10000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10000]), kinds)], names=names)
+
+    names = ["key", "digest", "low", "at", "window"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    windows = reference.select("key", "digest", "low", "words").mapInArrow(run, "key bigint, digest binary, low bigint, at bigint, window binary")
+    windows = saved(windows, "ss-windows")
+    # Saved, so that the join below reads two plain shuffles: a window of many stretches is skew, which AQE splits.
+    least = saved(windows.groupBy("window").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "ss-least")
+    found = windows.join(least, "window", "left").withColumn("low", F.coalesce("least", "low"))
+    found = found.groupBy("key", "digest").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("all"))  # one stretch: its windows
+    found = found.withColumn("edges", F.filter("all", lambda w, i: (i == 0) | (F.get("all", i - 1)["low"] != w["low"])))
+    upto = lambda i: F.coalesce(F.get("edges", i + 1)["at"], F.size("all").cast("bigint"))
+    span = lambda w, i: F.struct(w["at"], (upto(i) - w["at"]).alias("windows"), w["low"])
+    return found.select("key", "digest", F.transform("edges", span).alias("spans"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_words: int = SHARD_WORDS):
     """(analysed rows with ``first``: the smallest id of their words; doc_id with spans of windows; the texts of those)."""
     rows = saved(analysed(docs, id_col, text_col, length), "ss-rows")
     firsts = saved(rows.filter("doc_id IS NOT NULL").groupBy("sha256").agg(F.min("doc_id").alias("first")), "ss-firsts")
@@ -206,17 +237,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = saved(texts.join(wanted, "doc_id"), "ss-texts")
     found = saved(contents(texts.select("doc_id", "text", "runs"), length), "ss-contents")
     reference = found.groupBy("key", "digest").agg(F.min("doc_id").alias("low"), F.first("words").alias("words"))
-    reference = saved(reference, "ss-reference")
-    words = reference.agg(F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0.0))).first()[0]
-    shards = max(1, int(words // SHARD_WORDS))
+    reference = saved(reference.withColumn("size", F.octet_length("words") / 8), "ss-reference")
+    hot = saved(reference.groupBy("key").agg(F.sum("size").alias("size")).filter(F.col("size") > shard_words), "ss-hot")
+    hot_words, hot_keys = hot.agg(F.coalesce(F.sum("size"), F.lit(0.0)), F.count(F.lit(1))).first()
+    words = reference.agg(F.coalesce(F.sum("size"), F.lit(0.0))).first()[0] - hot_words
+    shards = max(1, int(words // shard_words))
     # A key's stretches meet in one shard; AQE must not merge shards into tasks of many.
-    dealt = reference.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    cold = reference.join(F.broadcast(hot), "key", "left_anti") if hot_keys else reference  # at most one hot key per shard_words words
+    dealt = cold.select("key", "digest", "low", "words", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     matched = dealt.groupBy("shard").applyInPandas(
         lambda pdf: match_shard(pdf, length), "key bigint, digest binary, spans array<struct<at: bigint, windows: bigint, low: bigint>>"
     )
+    if hot_keys:
+        matched = matched.unionByName(match_windows(reference.join(F.broadcast(hot.select("key")), "key", "left_semi"), length))
     matched = saved(matched, "ss-matched")
     hits = found.select("key", "digest", "doc_id", "start").join(matched, ["key", "digest"])
-    hits = hits.withColumn("span", F.explode("spans")).filter("span.low < doc_id")
+    hits = hits.withColumn("span", F.explode(F.filter("spans", lambda s: s["low"] < F.col("doc_id"))))
     spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("start") + F.col("span.at")).alias("at"), F.col("span.windows").alias("windows"))).alias("spans"))
     return rows.join(firsts, "sha256", "left"), spans, texts.select("doc_id", "text")
 
@@ -241,9 +277,11 @@ def cut_texts(spans: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     return texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_cut bigint, kept_text string")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, sha256 of all words, kept_text (null: nothing was removed)."""
-    rows, spans, texts = repeated_spans(docs, id_col, text_col, length)
+    rows, spans, texts = repeated_spans(docs, id_col, text_col, length, shard_words)
     cut = cut_texts(spans, texts.dropDuplicates(["doc_id"]), length).withColumnRenamed("doc_id", "x_doc")
     out = rows.join(cut, (rows["doc_id"] == cut["x_doc"]) & (rows["doc_id"] == rows["first"]), "left")
     copy = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= length), F.lit(False))

@@ -254,3 +254,21 @@ def test_page_slots_decide_inside_and_outside_articles(spark):
     assert got[23] == "Long text 3 of the page\n\nand more 3"
     assert got[40] == "Most of the text of this page"
     assert got[41] == "Most of the text of this page\n\nFew"
+
+
+def test_substrings_of_a_hot_minimizer_do_not_meet_in_one_shard(spark, docs, texts, monkeypatch):
+    from cohortspark.llm import substring
+
+    rng = random.Random(5)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, tail = noise(15), noise(30)
+    own = [f"{noise(40)} {line} {noise(40)}" for _ in range(60)] + [f"{noise(9)} {line} {tail}", f"{noise(9)} {line} {tail} x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(own + texts)], "doc_id bigint, text string").repartition(3)
+    want = substring.dedup_substrings(rows, length=20).collect()
+    real, hot = substring.match_windows, []
+    monkeypatch.setattr(substring, "match_windows", lambda reference, length: (hot.append(reference.groupBy("key").count().count()), real(reference, length))[1])
+    got = substring.dedup_substrings(rows, length=20, shard_words=300).collect()
+    assert hot and hot[0] > 0
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    by = {r["doc_id"]: r["n_removed"] for r in got}
+    assert by[61] == 45 and not any(by[i] for i in range(60))
