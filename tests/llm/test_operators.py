@@ -272,3 +272,29 @@ def test_substrings_of_a_hot_minimizer_do_not_meet_in_one_shard(spark, docs, tex
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
     by = {r["doc_id"]: r["n_removed"] for r in got}
     assert by[61] == 45 and not any(by[i] for i in range(60))
+
+
+def test_training_visits_every_window_once(spark, tmp_path, monkeypatch):
+    from cohortspark.llm import lm
+
+    rng, folder = np.random.default_rng(2), str(tmp_path / "seen")
+    (tmp_path / "seen").mkdir()
+    texts = [rng.integers(0, 300, n).astype(np.uint16).tobytes() for n in [5, 40, 70, 700, 0, 33] * 9]
+    want = sorted(t.tobytes() for t in lm.windows([np.frombuffer(b, np.uint16).astype(np.int64) for b in texts])[1])
+
+    class Noting(lm.Model):
+        __module__ = "__main__"  # sent to the workers by value
+
+        def train(self, texts, adam, every, phase, rng):
+            import os
+            import uuid
+
+            picked = lm.windows(texts, every, phase)[1]
+            picked.tofile(os.path.join(folder, uuid.uuid4().hex))
+            return len(picked)
+
+    monkeypatch.setattr(lm, "Model", Noting)
+    spark.createDataFrame([(t,) for t in texts], "ids binary").repartition(3).write.parquet(f"{tmp_path}/ids")
+    lm.fit(spark.read.parquet(f"{tmp_path}/ids"), np.zeros(300, np.int64))
+    seen = [w.tobytes() for f in (tmp_path / "seen").iterdir() for w in np.fromfile(f, np.int64).reshape(-1, lm.STRIDE)]
+    assert sorted(seen) == want
