@@ -298,3 +298,14 @@ def test_training_visits_every_window_once(spark, tmp_path, monkeypatch):
     lm.fit(spark.read.parquet(f"{tmp_path}/ids"), np.zeros(300, np.int64))
     seen = [w.tobytes() for f in (tmp_path / "seen").iterdir() for w in np.fromfile(f, np.int64).reshape(-1, lm.STRIDE)]
     assert sorted(seen) == want
+
+
+def test_scores_do_not_depend_on_the_list_of_frequent_words(docs, monkeypatch):
+    from cohortspark.llm import lm
+
+    want = sorted(map(tuple, lm.score_texts(docs).collect()), key=str)
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    got = sorted(map(tuple, lm.score_texts(docs).collect()), key=str)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
