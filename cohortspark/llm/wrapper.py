@@ -1,25 +1,27 @@
 """Main text of web pages by wrapper induction.
 
-Every host has one reference page.  A page's tree is aligned with the reference of its host by
-simple tree matching: the root pair, then, recursively, the children in order so that the most
-nodes match.  A slot (node of the reference) whose text is the same in most of the other pages
-aligned with it is template; slots that vary are content, inside an article or main element and
+Every layout of a host has a reference page; a layout is the set of tag paths of the page's
+sections, and a layout of too few pages to vote uses the host's most common one.  A page's tree is
+aligned with its reference by simple tree matching: the root pair, then, recursively, the children
+in order so that the most nodes match.  A slot (node of the reference) whose most frequent text
+most of the pages aligned with it hold is template; slots that vary are content, inside an article or main element and
 outside of it.  Structure decides what content cannot be: scripts, forms, navigation, adverts,
 comments and the like, by element or by the words of class, id and role.  The article mark shifts
 the evidence: a marked slot needs ``MARKED_VOTES`` pages to become template, and only the very text
 that is constant goes.  Where too few pages vote at all, the mark breaks the tie: if most of the
 page's text is marked, the rest goes.
 
-Slots are counted per host from partial sums, so a host with a third of all pages is no hot
+Texts are counted per slot from partial sums, so a host with a third of all pages is no hot
 group, and no two pages are ever compared with each other.
 
 Defined cases: null or empty html gives an empty text; pages without a url share the empty host;
-unclosed and misnested elements close as browsers close them; exact copies of a reference do not
-vote; an unmarked slot needs ``MIN_VOTES`` pages to become template.
+unclosed and misnested elements close as browsers close them; exact copies vote once; an unmarked
+slot needs more than ``MIN_VOTES`` pages, the reference among them, to become template.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -238,10 +240,25 @@ def blocks(root: Node) -> list[tuple[str, int, bool]]:
     return out
 
 
+SECTIONS = frozenset("main article section aside nav header footer form div table".split())
+
+
+def layout(root: Node) -> str:
+    """The set of tag paths of a page's sections; those inside an article are content."""
+    paths, todo = set(), [(root, "")]
+    while todo:
+        node, path = todo.pop()
+        if node.tag in SECTIONS:
+            path += "/" + node.tag
+            paths.add(path)
+        if node.tag != "article":
+            todo += [(c, path) for c in node.children]
+    return " ".join(sorted(paths))
+
+
 @lru_cache(maxsize=64)
-def _reference(page: str) -> tuple[Node, dict[int, str]]:
-    tree = parse(page)
-    return tree, {n: t for t, n, _ in blocks(tree)}
+def _reference(page: str) -> Node:
+    return parse(page)
 
 
 def host_of(url: str = "url"):
@@ -254,45 +271,63 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(url_col).alias("host"),
     )
-    filled = rows.filter("html != ''")
-    reference = saved(filled.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("html"), F.col("page_id"))).alias("reference")), "html-reference")
-    size = reference.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host")), F.lit(0))).first()[0]
+
+    def sign(batches: Iterator) -> Iterator:
+        for batch in in_slices(batches, max_bytes=4 << 20, column=2):
+            signs = [hashlib.sha256(layout(parse(page)).encode()).hexdigest()[:32] for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.string())], names=[*batch.schema.names, "layout"])
+
+    signed = rows.mapInArrow(sign, "page_id bigint, url string, html string, host string, layout string")
+    found = signed.filter("html != ''").groupBy("host", "layout").agg(
+        F.min_by("html", F.struct(F.xxhash64("html"), F.col("page_id"))).alias("reference"),
+        F.approx_count_distinct(F.xxhash64("html")).alias("n"),  # only chooses references
+    )
+    found = saved(found, "html-layouts")
+    common = found.groupBy("host").agg(F.max_by("layout", F.struct("n", "layout")).alias("common"))
+    layouts = found.select("host", "layout", "n").join(common, "host")
+    layouts = layouts.select("host", "layout", F.when(F.col("n") > MIN_VOTES, F.col("layout")).otherwise(F.col("common")).alias("used"))
+    reference = found.join(layouts.select("host", F.col("used").alias("layout")).distinct(), ["host", "layout"])
+    reference = layouts.join(reference.select("host", F.col("layout").alias("used"), "reference"), ["host", "used"])
+    reference = saved(reference, "html-reference")
+    size = reference.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host") + 64), F.lit(0))).first()[0]
     # Small by measure, also the slots below (fewer than the references' bytes); else joins, whose hot hosts AQE splits.
     sent = F.broadcast if size <= REFERENCE_BYTES else (lambda df: df)
 
     def run(batches: Iterator) -> Iterator:
+        import xxhash
+
         for batch in in_slices(batches, max_bytes=4 << 20, column=2):
             out = []
-            for page_id, url, page, host, ref in zip(*(c.to_pylist() for c in batch.columns)):
-                found, vote = [], page != ref
+            for page_id, url, page, host, used, ref in zip(*(c.to_pylist() for c in batch.columns)):
+                found = []
                 if page:
                     tree = parse(page)
-                    template, constant = _reference(ref)
-                    slots = align(tree, template)
+                    slots = align(tree, _reference(ref))
                     for text, number, inside in blocks(tree):
-                        slot = slots.get(number, -1)
-                        found.append({"text": text, "slot": slot, "article": inside, "same": constant.get(slot) == text})
-                out.append((page_id, url, host, vote, found))
+                        found.append({"text": text, "slot": slots.get(number, -1), "article": inside})
+                out.append((page_id, url, host, used, xxhash.xxh3_64_intdigest(page.encode("utf-8", "replace")) - (1 << 63), found))
             for at in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1000]), kinds)], names=names)
 
-    names = ["page_id", "url", "host", "vote", "blocks"]
-    block = pa.struct([("text", pa.string()), ("slot", pa.int32()), ("article", pa.bool_()), ("same", pa.bool_())])
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(block)]
-    schema = "page_id bigint, url string, host string, vote boolean, blocks array<struct<text: string, slot: int, article: boolean, same: boolean>>"
-    aligned = rows.join(sent(reference), "host", "left").select("page_id", "url", "html", "host", "reference").mapInArrow(run, schema)
-    aligned = saved(aligned, "html-aligned")
-    votes = aligned.filter("vote").select("host", F.explode("blocks").alias("b")).filter("b.slot >= 0")
-    votes = votes.groupBy("host", F.col("b.slot").alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b.same").cast("long")).alias("same"))
-    constant = F.col("same") > TEMPLATE_SHARE * F.col("n")
-    decided = votes.filter(F.col("n") >= MIN_VOTES).groupBy("host").agg(  # a host's slots: those of one page at most
+    names = ["page_id", "url", "host", "used", "page", "blocks"]
+    block = pa.struct([("text", pa.string()), ("slot", pa.int32()), ("article", pa.bool_())])
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(block)]
+    schema = "page_id bigint, url string, host string, used string, page bigint, blocks array<struct<text: string, slot: int, article: boolean>>"
+    aligned = signed.join(sent(reference), ["host", "layout"], "left")
+    aligned = saved(aligned.select("page_id", "url", "html", "host", "used", "reference").mapInArrow(run, schema), "html-aligned")
+    votes = aligned.select("host", "used", "page", F.explode("blocks").alias("b")).filter("b.slot >= 0")
+    votes = votes.select("host", "used", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.slot", "b.text").alias("text")).distinct()
+    votes = votes.groupBy("host", "used", "slot", "text").agg(F.count(F.lit(1)).alias("n"))
+    votes = votes.groupBy("host", "used", "slot").agg(F.sum("n").alias("n"), F.max(F.struct("n", "text")).alias("top"))
+    constant = F.col("top.n") > TEMPLATE_SHARE * F.col("n")
+    decided = votes.filter(F.col("n") > MIN_VOTES).groupBy("host", "used").agg(  # a layout's slots: those of one page at most
         F.collect_list(F.when(constant, F.col("slot"))).alias("template"),
-        F.collect_list(F.when(constant & (F.col("n") >= MARKED_VOTES), F.col("slot"))).alias("marked_template"),
+        F.collect_list(F.when(constant & (F.col("n") > MARKED_VOTES), F.col("top.text"))).alias("marked_template"),
     )
-    out = aligned.join(sent(decided), "host", "left")
+    out = aligned.join(sent(decided), ["host", "used"], "left")
     length = lambda column: F.aggregate(column, F.lit(0), lambda n, b: n + F.char_length(b["text"]))
     marked = length(F.filter("blocks", lambda b: b["article"])) > MARKED_MOST * length(F.col("blocks"))
-    of_template = lambda b: F.when(b["article"], b["same"] & F.array_contains("marked_template", b["slot"])).otherwise(F.array_contains("template", b["slot"]))
+    of_template = lambda b: F.when(b["article"], F.array_contains("marked_template", F.xxhash64(b["slot"], b["text"]))).otherwise(F.array_contains("template", b["slot"]))
     content = F.filter("blocks", lambda b: F.when(F.col("template").isNull(), ~marked | b["article"]).otherwise(~of_template(b)))
     out = out.select("page_id", "url", content.alias("blocks"))
     return out.withColumn("text", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"))

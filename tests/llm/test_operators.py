@@ -309,3 +309,16 @@ def test_scores_do_not_depend_on_the_list_of_frequent_words(docs, monkeypatch):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_page_layouts_of_a_host_have_their_own_references(spark):
+    from cohortspark.llm.wrapper import extract
+
+    one = "<body><div><div>Always here</div><p>Own words {0}</p></div></body>"
+    two = "<body><table><tr><td>Fixed cell</td><td>Cell {0}</td></tr></table></body>"
+    rows = [(i, "http://a.example/x", one.format(i)) for i in range(20)] + [(20 + i, "http://a.example/x", two.format(i)) for i in range(9)]
+    rows += [(40 + i, "http://a.example/x", one.format("copied")) for i in range(60)] + [(110, "http://a.example/x", "<body><p>Error</p></body>")]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(20)] == [f"Own words {i}" for i in range(20)]
+    assert [got[20 + i] for i in range(9)] == [f"Cell {i}" for i in range(9)]
+    assert (got[45], got[110]) == ("Own words copied", "Error")
