@@ -84,8 +84,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", unseen.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_html, op3_quality, op4_bpe, op5_exact_dedup, op6_lm_score, op7_near_dedup, op8_sharding, op9_substring_dedup, op10_language,
+    op12_filter_audit,
 )}
 
 ORACLES = {
@@ -94,4 +101,28 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+                FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+                 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+                 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(first < w.doc_id, false)} AS x
+              FROM w LEFT JOIN lab ON lab.doc_id = w.doc_id),
+        cells AS (SELECT part, [x.A, x.B, x.C, x.D, x.E] AS x, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+        l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+        orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l a, l b, l c, l d, l e
+                   WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        steps AS (SELECT o, l.i AS step, o[l.i] AS k, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order FROM orders, l),
+        g AS (SELECT part, filter_order, step, k, n, good, toxic, x[k] AS hit,
+                len(list_filter(o[1:step - 1], lambda i: x[i])) > 0 AS before, len(list_filter(x, lambda v: v)) AS fails FROM cells, steps),
+        r AS (SELECT part, filter_order, step, k,
+                coalesce(sum(n) FILTER (NOT hit AND NOT before), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT before), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (hit AND before), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (hit AND fails = 1), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (hit AND NOT before), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT before), 0)::BIGINT AS toxic_lost
+              FROM g GROUP BY part, filter_order, step, k)
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM r""",
 }
