@@ -84,6 +84,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", unseen.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.merkle import tamper_audit
+
+    return tamper_audit(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortspark.llm.audit import audit_filters
 
@@ -92,7 +98,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_html, op3_quality, op4_bpe, op5_exact_dedup, op6_lm_score, op7_near_dedup, op8_sharding, op9_substring_dedup, op10_language,
-    op12_filter_audit,
+    op11_merkle_manifest, op12_filter_audit,
 )}
 
 ORACLES = {
@@ -101,6 +107,38 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    # crc32 bit by bit over the id's digits; node levels and folds as recursive tables.
+    "op11_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, (list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                     lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) % 2) = 1 AS hit,
+                   concat(coalesce(concat(strlen(doc_id::VARCHAR), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'),
+                     coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(n_chars::VARCHAR), ':', n_chars), '-')) AS head,
+                   text, replace(text, chr(10), '') AS cut FROM documents),
+        l AS (SELECT doc_id, source, sha256(head || coalesce(concat(strlen(text), ':', text), '-')) AS leaf,
+                     sha256(head || CASE WHEN hit THEN coalesce(concat(strlen(cut), ':', cut), '-') ELSE coalesce(concat(strlen(text), ':', text), '-') END) AS new FROM d),
+        p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+        s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT source FROM documents)),
+        x AS (SELECT p.*, s.tree, s.trees FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source),
+        low AS (SELECT 0 AS level, tree, pos, n, leaf AS h FROM x
+                UNION ALL SELECT level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY level, tree, pos // 3, n),
+        sub AS (SELECT tree, h FROM low WHERE n = 1),
+        high AS (SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM sub) AS n, h FROM sub
+                 UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 3, n),
+        runs AS (SELECT level, tree, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM low WHERE n > 1 GROUP BY level, tree, pos // 3),
+        tops AS (SELECT level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM high WHERE n > 1 GROUP BY level, pos // 3),
+        up AS (SELECT doc_id, leaf, tree, 0 AS level, pos, n, new AS h, '' AS proof FROM x
+               UNION ALL SELECT doc_id, leaf, up.tree, up.level + 1, pos // 3, (n + 2) // 3,
+                 sha256(array_to_string(list_concat(list_concat(hs[1:pos % 3], [h]), hs[pos % 3 + 2:]), '')),
+                 proof || array_to_string(list_concat(hs[1:pos % 3], hs[pos % 3 + 2:]), '')
+               FROM up JOIN runs ON runs.level = up.level AND runs.tree = up.tree AND runs.run = up.pos // 3 WHERE n > 1),
+        top AS (SELECT doc_id, leaf, tree, 0 AS level, tree AS pos, (SELECT count(*) FROM sub) AS n, h, proof FROM up WHERE n = 1
+                UNION ALL SELECT doc_id, leaf, tree, top.level + 1, pos // 3, (n + 2) // 3,
+                  sha256(array_to_string(list_concat(list_concat(hs[1:pos % 3], [h]), hs[pos % 3 + 2:]), '')),
+                  proof || array_to_string(list_concat(hs[1:pos % 3], hs[pos % 3 + 2:]), '')
+                FROM top JOIN tops ON tops.level = top.level AND tops.run = top.pos // 3 WHERE n > 1)
+        SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, top.h AS folded_root, top.h = root.h AS verified
+        FROM top JOIN sub ON sub.tree = top.tree, (SELECT h FROM high WHERE n = 1) root WHERE top.n = 1""",
     "op12_filter_audit": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
