@@ -96,9 +96,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortspark.llm.suffixes import dedup_bytes
+
+    return dedup_bytes(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_html, op3_quality, op4_bpe, op5_exact_dedup, op6_lm_score, op7_near_dedup, op8_sharding, op9_substring_dedup, op10_language,
-    op11_merkle_manifest, op12_filter_audit,
+    op11_merkle_manifest, op12_filter_audit, op13_suffix_array,
 )}
 
 ORACLES = {
