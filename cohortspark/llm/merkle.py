@@ -7,9 +7,9 @@ before its slot with the replacement and the right siblings only; left siblings
 again.  The retained states travel as bytes in the written path tables, so any executor resumes them.
 
 Leaves get their places by range partitions and prefix sums (``operators.ranks``), never by a task
-that sees a whole group.  ``LEVELS`` levels are built at a time from blocks of ``ARITY ** LEVELS``
+that sees a whole group.  ``levels`` levels are built at a time from blocks of ``ARITY ** levels``
 neighbours: a group with a third of all rows is so many blocks, and rounds number
-log(rows) / log(243).  In the first round leaves are folded where their block is built; later
+log(rows) / log(729).  In the first round leaves are folded where their block is built; later
 rounds join the thin rows (digest, proof state) with the path of the node they lie in.
 
 Defined cases: null columns hash as "-"; a null group is a tree of its own before all others; null
@@ -31,8 +31,7 @@ from cohortspark.llm import sha
 from cohortspark.llm.common import crc_bucket, saved
 from cohortspark.operators.ranks import with_positions
 
-ARITY, LEVELS = 3, 5
-BLOCK = ARITY**LEVELS
+ARITY, LEVELS = 3, 6
 #: One level of a path: children, own slot, the parent's state before the slot, the other children in order.
 RECORD = 2 + 32 + 32 * (ARITY - 1)
 
@@ -104,14 +103,14 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-def _sorted(group: pa.Table) -> tuple[pa.Table, int]:
+def _sorted(group: pa.Table, levels: int) -> tuple[pa.Table, int]:
     group = group.sort_by("x_node").combine_chunks()
-    return group, min(LEVELS, depth(group.column("x_total")[0].as_py()))
+    return group, min(levels, depth(group.column("x_total")[0].as_py()))
 
 
-def _first_round(group: pa.Table) -> pa.Table:
+def _first_round(group: pa.Table, levels: int) -> pa.Table:
     """A block of leaves: what stands above it, and every replacement folded up to there."""
-    group, levels = _sorted(group)
+    group, levels = _sorted(group, levels)
     n = group.num_rows
     tops, path = build(_fixed(group.column("x_top")), levels)
     fold, proof, blocks = resume(path, _fixed(group.column("x_fold")), sha.start(n), np.zeros(n, np.int64))
@@ -122,8 +121,8 @@ def _first_round(group: pa.Table) -> pa.Table:
     return group
 
 
-def _paths(group: pa.Table) -> pa.Table:
-    group, levels = _sorted(group)
+def _paths(group: pa.Table, levels: int) -> pa.Table:
+    group, levels = _sorted(group, levels)
     tops, path = build(_fixed(group.column("x_top")), levels)
     up = pa.array([tops[0].tobytes()] * group.num_rows, pa.binary())
     return pa.table([*(group.column(c) for c in ("x_tree", "x_node", "x_total")), _binary(path), up], names=["x_tree", "x_node", "x_total", "x_path", "x_up"])
@@ -145,46 +144,48 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from own.drop_columns(["x_path", "x_up"]).to_batches()
 
 
-def _above(n: str) -> Column:
-    return F.expr(f"({n} + {BLOCK - 1}) div {BLOCK}")
+def _above(n: str, block: int) -> Column:
+    return F.expr(f"({n} + {block - 1}) div {block}")
 
 
-def to_root(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def to_root(docs: DataFrame, nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Folds ``docs`` (x_tree, x_node, x_top, x_fold, x_proof, x_blocks, ...) to the root of their
     tree; ``nodes``: x_tree, x_node, x_total (nodes of the tree), x_top."""
+    block = ARITY**levels
     while (nodes.agg(F.max("x_total")).first()[0] or 0) > 1:
-        paths = nodes.filter("x_total > 1").withColumn("x_block", F.expr(f"x_node div {BLOCK}"))
-        paths = paths.groupBy("x_tree", "x_block").applyInArrow(_paths, "x_tree string, x_node bigint, x_total bigint, x_path binary, x_up binary")
+        paths = nodes.filter("x_total > 1").withColumn("x_block", F.expr(f"x_node div {block}"))
+        paths = paths.groupBy("x_tree", "x_block").applyInArrow(lambda g: _paths(g, levels), "x_tree string, x_node bigint, x_total bigint, x_path binary, x_up binary")
         paths = saved(paths, "mk-paths")
         met = docs.join(paths.drop("x_total"), ["x_tree", "x_node"], "left").select(*docs.columns, "x_path", "x_up")
-        docs = met.mapInArrow(_fold_batches, docs.schema).withColumn("x_node", F.expr(f"x_node div {BLOCK}"))
+        docs = met.mapInArrow(_fold_batches, docs.schema).withColumn("x_node", F.expr(f"x_node div {block}"))
         docs = saved(docs, "mk-docs")
-        nodes = paths.filter(f"x_node % {BLOCK} = 0").select("x_tree", F.expr(f"x_node div {BLOCK}").alias("x_node"), _above("x_total").alias("x_total"), F.col("x_up").alias("x_top"))
+        nodes = paths.filter(f"x_node % {block} = 0").select("x_tree", F.expr(f"x_node div {block}").alias("x_node"), _above("x_total", block).alias("x_total"), F.col("x_up").alias("x_top"))
     return docs
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Trees over ``rows`` (doc_id, x_group string, x_leaf and x_new: hex digests of the row and of its replacement).
 
     Returns doc_id, leaf, subroot, root, proof_sha256, folded_root (all hex) and verified: per row,
     does its replacement lead to the root?
     """
+    block = ARITY**levels
     tree = F.coalesce(F.concat(F.lit("="), "x_group"), F.lit(""))  # null first, then by UTF-8 bytes
     rows = rows.select(tree.alias("x_tree"), F.col("doc_id"), F.unhex("x_leaf").alias("x_leaf"), F.unhex("x_new").alias("x_fold"))
     rows = with_positions(rows, ["x_tree"], ["doc_id", "x_leaf"], "x_node", "x_total")
     rows = rows.select("x_tree", "doc_id", "x_node", "x_total", "x_leaf", F.col("x_node").alias("x_place"), F.col("x_leaf").alias("x_top"), "x_fold")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", x_proof binary, x_blocks bigint"
-    docs = rows.groupBy("x_tree", F.expr(f"x_node div {BLOCK}").alias("x_block")).applyInArrow(_first_round, schema)
-    docs = docs.withColumn("x_node", F.expr(f"x_node div {BLOCK}")).withColumn("x_total", _above("x_total"))
+    docs = rows.groupBy("x_tree", F.expr(f"x_node div {block}").alias("x_block")).applyInArrow(lambda g: _first_round(g, levels), schema)
+    docs = docs.withColumn("x_node", F.expr(f"x_node div {block}")).withColumn("x_total", _above("x_total", block))
     docs = saved(docs, "mk-docs")
-    heads = docs.filter(f"x_place % {BLOCK} = 0").select("x_tree", "x_node", "x_total", "x_top")
-    docs = to_root(docs.drop("x_total"), heads)
+    heads = docs.filter(f"x_place % {block} = 0").select("x_tree", "x_node", "x_total", "x_top")
+    docs = to_root(docs.drop("x_total"), heads, levels)
     # The subroots are the leaves of the last tree.
     tops = docs.filter("x_place = 0").select("x_tree", "x_top")
     tops = saved(with_positions(tops, [], ["x_tree"], "x_node", "x_total"), "mk-tops")
     last = F.lit("").alias("x_tree")
     docs = docs.drop("x_node").join(tops.select("x_tree", "x_node", F.col("x_top").alias("x_subroot")), "x_tree").withColumn("x_tree", F.lit(""))
-    docs = to_root(docs, tops.select(last, "x_node", "x_total", "x_top"))
+    docs = to_root(docs, tops.select(last, "x_node", "x_total", "x_top"), levels)
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,11 +202,11 @@ def manifest(rows: DataFrame) -> DataFrame:
     )
 
 
-def tamper_audit(docs: DataFrame, columns: tuple = ("doc_id", "source", "lang", "n_chars", "text"), group_col: str = "source") -> DataFrame:
+def tamper_audit(docs: DataFrame, columns: tuple = ("doc_id", "source", "lang", "n_chars", "text"), group_col: str = "source", levels: int = LEVELS) -> DataFrame:
     """The manifest of ``docs``, each row folded anew from a copy whose text lost its line breaks where 2 divides crc32(id)."""
     own = lambda c: docs[f"`{c}`"]
     hit = F.coalesce(crc_bucket(own("doc_id"), 2) == 0, F.lit(False))
     changed = [F.when(hit, F.replace(own(c), F.lit("\n"), F.lit(""))).otherwise(own(c)) if c == "text" else own(c) for c in columns]
     return manifest(docs.select(
         own("doc_id"), own(group_col).cast("string").alias("x_group"), leaf_hash([own(c) for c in columns]).alias("x_leaf"), leaf_hash(changed).alias("x_new")
-    ))
+    ), levels)
