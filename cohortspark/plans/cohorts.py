@@ -154,70 +154,3 @@ def compare_variants(runs: dict[str, DataFrame]) -> DataFrame:
         d = df.withColumn("mode", F.lit(mode))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
-
-
-def _per_column(reports: DataFrame, report_cols: list[str], fit, predict) -> DataFrame:
-    """Fit one model per report column on training rows and score every row of that column.
-
-    ``predict`` returns narrow (doc_id, prob, pred) rows.
-
-    The loop runs over the report columns of the schema (a handful), not over data.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    def one(rc):
-        part = reports.filter(F.col("report_col") == rc)
-        return predict(fit(part.filter(F.col("split") == "train")), part)
-
-    # fits are independent Spark jobs: submit them concurrently so the cluster is shared
-    with ThreadPoolExecutor(max_workers=max(1, len(report_cols))) as pool:
-        parts = list(pool.map(one, report_cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def text_cohort(
-    reports: DataFrame, report_cols: list[str], label: str = "gold_alt", tfidf: bool = False, ngram_max: int = 1,
-    max_df: float = 1.0, c: float = 1.0, penalty: str = "l2", demographics: list[str] = (), pred_type: str = "BOW",
-) -> dict[str, DataFrame]:
-    """Bag-of-words / TF-IDF family (ops 95, 96): document models per report column, then the roll-up."""
-    from cohortspark.operators import classify as CL
-
-    def fit(train):
-        return CL.train_text_classifier(train, "text", label, ngram_max, max_df, tfidf, c, penalty)
-
-    def predict(model, df):
-        return CL.predict_text(model, df.select("doc_id", "text")).drop("text")
-
-    # models need text and labels together (training rows only); scoring output is narrow
-    scored = attach(reports, _per_column(reports, report_cols, fit, predict))
-    docs = _doc_level(scored, label, pred_type, list(demographics))
-    visit, pat = roll_up_levels(docs, pred_type, list(demographics))
-    return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}
-
-
-def embedding_cohort(
-    reports: DataFrame, vectors: DataFrame, report_cols: list[str], label: str = "gold_alt", dim: int = 64,
-    c: float = 1.0, penalty: str = "l2", demographics: list[str] = (), pred_type: str = "Embedding",
-) -> dict[str, DataFrame]:
-    """Embedding family (op 97): mean word vectors (op 80) -> classifier per report column (op 81) -> roll-up."""
-    from cohortspark.operators import classify as CL
-    from cohortspark.operators import features as FE
-
-    long = FE.mean_word_vectors(reports.select("doc_id", "text"), "doc_id", "text", vectors, dim)
-    arr = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_v"))
-    arr = arr.select("doc_id", F.transform("_v", lambda x: x["value"]).alias("embedding"))
-    rep = reports.join(arr, on="doc_id", how="left")
-
-    def fit(train):
-        return CL.embedding_classifier(train, "embedding", label, c, penalty)
-
-    def predict(model, df):
-        return CL.predict_embedding(model, df.select("doc_id", "embedding"), "embedding").drop("embedding")
-
-    scored = attach(reports, _per_column(rep, report_cols, fit, predict))
-    docs = _doc_level(scored, label, pred_type, list(demographics))
-    visit, pat = roll_up_levels(docs, pred_type, list(demographics))
-    return {"docs": docs, "visits": visit, "patients": pat, "evaluation": evaluate_levels(docs, visit, pat)}

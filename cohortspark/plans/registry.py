@@ -1158,39 +1158,112 @@ def q_top_tokens(spark, sf):
 # --------------------------------------------------------------------------- #
 # Learned cohorts and model operators (rows-only checks)                      #
 # --------------------------------------------------------------------------- #
+def _digests(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", P.doc_digest(["text"]).alias("doc_digest"))
+
+
+def _text_cohort(spark, sf, pred_type, **learn) -> dict:
+    from cohortspark.plans import learned as L
+
+    texts = TV.text_view(spark, sf)
+    return L.text_cohort(
+        reports(spark, sf, False), texts, _digests(texts), TV.REPORT_SLOTS, FX.LABEL, pred_type, demographics=DEMO,
+        reference=FX.reference_df(spark), **learn,
+    )
+
+
 @register("bow_cohort")
 def q_bow_cohort(spark, sf):
-    return r6(C.text_cohort(reports(spark, sf), TV.REPORT_SLOTS, FX.LABEL, pred_type="BOW")["evaluation"])
+    return r6(_text_cohort(spark, sf, "BOW")["evaluation"])
+
+
+@register("bow_cohort_fairness")
+def q_bow_cohort_fairness(spark, sf):
+    return r6(_text_cohort(spark, sf, "BOW")["fairness"])
+
+
+@register("bow_cohort_search")
+def q_bow_cohort_search(spark, sf):
+    from cohortspark import defaults
+
+    return r6(_text_cohort(spark, sf, "BOW", settings=[("l2", c) for c in defaults.GRID_C])["search"])
 
 
 @register("tfidf_cohort")
 def q_tfidf_cohort(spark, sf):
-    run = C.text_cohort(reports(spark, sf), TV.REPORT_SLOTS, FX.LABEL, tfidf=True, ngram_max=2, max_df=0.75, pred_type="TFIDF")
-    return r6(run["evaluation"])
+    return r6(_text_cohort(spark, sf, "TFIDF", tfidf=True, ngram_max=2, max_df=0.75)["evaluation"])
+
+
+@register("tfidf_cohort_calibration")
+def q_tfidf_cohort_calibration(spark, sf):
+    return r6(_text_cohort(spark, sf, "TFIDF", tfidf=True, max_df=0.75)["calibration"])
 
 
 @register("embedding_cohort")
 def q_embedding_cohort(spark, sf):
-    run = C.embedding_cohort(reports(spark, sf), TV.word_vectors(spark, sf), TV.REPORT_SLOTS, FX.LABEL)
+    from cohortspark.plans import learned as L
+
+    texts = TV.text_view(spark, sf)
+    run = L.embedding_cohort(
+        reports(spark, sf, False), texts, _digests(texts), TV.word_vectors(spark, sf), TV.REPORT_SLOTS, FX.LABEL,
+        demographics=DEMO, reference=FX.reference_df(spark),
+    )
     return r6(run["evaluation"])
 
 
+@register(
+    "patient_folds",
+    f"{W}, pt AS (SELECT study_id, COALESCE(MAX(gold_alt), 0) AS g FROM reports WHERE split = 'train' GROUP BY study_id) "
+    "SELECT study_id, CAST((row_number() OVER (PARTITION BY g ORDER BY study_id) - 1) % 5 AS INTEGER) AS fold FROM pt",
+)
+def q_patient_folds(spark, sf):
+    from cohortspark.plans import learned as L
+
+    return L.patient_folds(reports(spark, sf, False), FX.LABEL, 5)
+
+
+@register(
+    "term_index",
+    f"{W}, {_TF_SQL} SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS feature, CAST(COUNT(*) AS BIGINT) AS df FROM tf GROUP BY term",
+)
+def q_term_index(spark, sf):
+    from cohortspark.operators import features as FE
+    from cohortspark.operators import terms as TE
+
+    index, _ = TE.term_index(FE.bow_features(TV.text_view(spark, sf), "doc_id", "text"), "doc_id")
+    return index.select("term", "feature", "df")
+
+
+@register(
+    "table_cohort",
+    f"{W}, {_TF_SQL}, {_LOGODDS_SQL}, ms AS (SELECT doc_id, SUM(tf * coefficient) AS m FROM tf JOIN coefs ON coefs.feature = tf.term GROUP BY doc_id), "
+    "scored AS (SELECT p.*, 1.0 / (1.0 + exp(-COALESCE(ms.m, 0.0))) AS prob FROM prepared p LEFT JOIN ms ON ms.doc_id = p.doc_id), "
+    "flagged AS (SELECT *, CAST(prob >= 0.5 AS INTEGER) AS pred FROM scored), "
+    f"{O.levels_cte(pred_type='Table')}, {O.evaluate_sql('alllevels', C.LEVEL_COLS)} SELECT {', '.join(C.LEVEL_COLS)}, {O.EVAL_OUT} FROM evaluation",
+)
+def q_table_cohort(spark, sf):
+    from cohortspark.operators import features as FE
+    from cohortspark.plans import learned as L
+
+    tf = FE.bow_features(TV.text_view(spark, sf), "doc_id", "text")
+    coefs = _log_odds(spark, sf, tf).select(F.col("feature").alias("term"), "coefficient")
+    return r6(L.table_cohort(reports(spark, sf, False), tf, coefs, FX.LABEL)["evaluation"])
+
+
 @register("train_text_classifier")
 def q_train_text_classifier(spark, sf):
-    from cohortspark.operators import classify as CL
+    from cohortspark.plans import learned as L
 
-    rep = reports(spark, sf)
-    model = CL.train_text_classifier(rep.filter(F.col("split") == "train"), "text", FX.LABEL)
-    return CL.predict_text(model, rep.filter(F.col("split") == "validation")).select("doc_id", "prob", "pred")
+    scores, _ = L.text_model(reports(spark, sf, False), TV.text_view(spark, sf), FX.LABEL)
+    return scores.filter("split = 'validation'").select("doc_id", "prob", "pred")
 
 
 @register("predict_text")
 def q_predict_text(spark, sf):
-    from cohortspark.operators import classify as CL
+    from cohortspark.plans import learned as L
 
-    rep = reports(spark, sf)
-    model = CL.train_text_classifier(rep.filter(F.col("split") == "train"), "text", FX.LABEL, ngram_max=2, tfidf=True)
-    return CL.predict_text(model, rep).select("doc_id", "split", "prob", "pred")
+    scores, _ = L.text_model(reports(spark, sf, False), TV.text_view(spark, sf), FX.LABEL, ngram_max=2, tfidf=True)
+    return scores.select("doc_id", "split", "prob", "pred")
 
 
 @register("grid_search")
@@ -1223,8 +1296,7 @@ def q_embedding_classifier(spark, sf):
 def q_patient_meta_model(spark, sf):
     from cohortspark.operators import classify as CL
 
-    run = C.text_cohort(reports(spark, sf), TV.REPORT_SLOTS, FX.LABEL, pred_type="BOW")
-    docs = run["docs"]
+    docs = _text_cohort(spark, sf, "BOW")["documents"]
     feats = docs.groupBy("dataset", "study_id").pivot("report_col", TV.REPORT_SLOTS).agg(F.max("prob"))
     gold = docs.groupBy("dataset", "study_id").agg(F.coalesce(F.max("gold"), F.lit(0)).alias("gold"))
     pts = feats.join(gold, on=["dataset", "study_id"])

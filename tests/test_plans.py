@@ -4,7 +4,8 @@ from conftest import SF_SMALL
 
 from cohortspark.plans import registry
 
-FITS = {"grid_search", "bow_cohort", "tfidf_cohort", "embedding_cohort", "train_text_classifier", "predict_text",
+FITS = {"grid_search", "bow_cohort", "bow_cohort_fairness", "bow_cohort_search", "tfidf_cohort", "tfidf_cohort_calibration",
+        "embedding_cohort", "train_text_classifier", "predict_text",
         "embedding_classifier", "patient_meta_model", "odds_ratios", "label_tree", "doc_to_patient_study", "vif"}
 
 
