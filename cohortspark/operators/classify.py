@@ -1,8 +1,8 @@
 """Text and embedding classifiers on Spark ML (ops 71, 74, 76, 79, 81).
 
 Final fits are distributed (``LogisticRegression`` is a treeAggregate over partitions); the
-grid search fits a bounded number of labelled rows in one task per n-gram range, fold and penalty (the
-stratified folds of ``features.stratified_folds``).
+grid search fits all strengths of a fold on one matrix (``operators.linear``; the stratified folds of
+``features.stratified_folds``).
 The reference's solver penalises summed losses with strength 1/C; Spark
 averages, so the penalty maps to ``regParam = 1 / (C * n)``.
 """
@@ -10,12 +10,10 @@ averages, so the penalty maps to ``regParam = 1 / (C * n)``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import text as tx
-from cohortspark.operators.features import ngram_array
 
 
 def log_count_ratio(tf: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
@@ -110,22 +108,6 @@ def predict_text(model, df: DataFrame, out_prob: str = "prob", out_pred: str = "
 
 
 # op 74
-def _csr(docs, vocabulary, keep, idf):
-    """(column of each entry, value, row of each entry) of the kept terms of some documents."""
-    cols, vals, rows = [], [], []
-    for i, (terms, counts) in enumerate(docs):
-        at = np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))
-        known = (vocabulary[at] == terms) & (keep[at] >= 0) if len(vocabulary) else np.zeros(len(terms), bool)
-        c, v = keep[at[known]], counts[known].astype(np.float64)
-        if idf is not None:
-            v = v * idf[c]
-            v /= np.sqrt((v * v).sum()) or 1.0
-        cols.append(c)
-        vals.append(v)
-        rows.append(np.full(len(c), i))
-    return np.concatenate(cols), np.concatenate(vals), np.concatenate(rows)
-
-
 def _fit_logistic(x, y, width, c, l1, max_iter, tol, start=None):
     """Weights and free intercept (last) minimising C * summed loss + penalty: accelerated proximal
     steps with restarts, until the largest change of a step is below ``tol`` of the largest weight."""
@@ -168,58 +150,72 @@ def roc_auc(score, y) -> float:
     return float((rank[place][y == 1].sum() - n1 * (n1 + 1) / 2.0) / (n1 * n0))
 
 
+def _fold_rows(rows: DataFrame, n_gram: int, max_dfs, num_folds: int, tfidf: bool) -> tuple[DataFrame, int]:
+    """(sparse rows of every (document share, held-out fold): grp, _id, ids, vals; features as the other folds' rows give them; their number)."""
+    from cohortspark.operators.features import bow_features
+    from cohortspark.operators.ranks import with_positions
+    from cohortspark.session import saved_table
+
+    tf = saved_table(bow_features(rows, "_id", "_text", n_gram).join(rows.select("_id", "_fold"), "_id"), "grid-tf")
+    n = {r["_fold"]: r["count"] for r in rows.groupBy("_fold").count().collect()}  # a number per fold
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *[F.count_if(F.col("_fold") == k).alias(f"d{k}") for k in range(num_folds)])
+    index = saved_table(with_positions(df, [], ["term"], "feature"), "grid-terms")
+    width = index.count()
+    seen = {k: sum(n.values()) - n.get(k, 0) for k in range(num_folds)}
+    groups = F.array(*[
+        F.struct(F.lit(f"{share} {k}").alias("grp"), (F.col("df") - F.col(f"d{k}")).alias("df"), F.lit(seen[k]).alias("n"), F.lit(share * seen[k]).alias("most"))
+        for share in max_dfs for k in range(num_folds)
+    ])
+    index = index.select("term", "feature", F.explode(groups).alias("g")).select("term", "feature", "g.*").filter("df > 0 AND df <= most")
+    value = F.col("tf").cast("double")
+    if tfidf:
+        value = value * (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0)
+    met = tf.join(index, "term").select("_id", "grp", F.struct(F.col("feature").alias("f"), value.alias("v")).alias("_e"))
+    out = met.groupBy("_id", "grp").agg(F.array_sort(F.collect_list("_e")).alias("_e"), F.sqrt(F.sum(F.col("_e.v") ** 2)).alias("_norm"))
+    vals = F.transform("_e", lambda e: e["v"] / F.col("_norm") if tfidf else e["v"])
+    return out.select("_id", "grp", F.transform("_e", lambda e: e["f"]).alias("ids"), vals.alias("vals")), width
+
+
 def grid_search(
     train: DataFrame, text_col: str, label_col: str, fold_col: str = "fold", max_dfs=(0.75, 1.0), ngrams=(1, 2),
-    penalties=("l1", "l2"), cs=(0.01, 0.1, 1.0, 10.0), tfidf: bool = False, num_folds: int = 5,
-    max_iter: int = 1000, tol: float = 1e-4, max_rows: int = 20_000,
+    penalties=("l1", "l2"), cs=(0.01, 0.1, 1.0, 10.0), tfidf: bool = False, num_folds: int = 5, tol: float = 1e-5,
 ) -> DataFrame:
     """k-fold search by ROC-AUC: (max_df, ngram_max, penalty, c, roc_auc), the mean over the folds.
 
-    Vocabulary, document share and IDF are fitted on each fold's training rows.  The texts become
-    term hashes row by row; every (n-gram range, fold, penalty) is one task, which makes its
-    features once and fits the models of all strengths on them.  ``max_rows`` bounds the labelled rows of a search
-    (larger sets: the rows smallest by a hash of text and label), so a task's rows are bounded.
+    All labelled rows take part.  Vocabulary, document share and IDF come from each fold's training rows: the
+    index of terms holds a term's documents per fold, and a row has features for every (share, held-out fold).
+    These are the groups of ``linear.fit_models``, which fits all penalties and strengths of a group
+    on one matrix; held-out rows are scored by joins with the table of weights.
     Folds whose held-out rows have one class only do not count; a null text is empty; a table
     without labelled rows gives no rows.
     """
+    from cohortspark.operators import linear as LI
+    from cohortspark.operators.metrics import roc_auc_by
+    from cohortspark.session import saved_table
+
     rows = train.filter(F.col(label_col).isNotNull()).select(
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.col(label_col).cast("int").alias("_y"),
-        F.col(fold_col).cast("int").alias("_fold"),
+        F.monotonically_increasing_id().alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
+        F.col(label_col).cast("double").alias("label"), F.col(fold_col).cast("int").alias("_fold"),
     )
-    rows = rows.orderBy(F.xxhash64("_text", "_y"), "_fold").limit(max_rows)
-    rows = rows.select("_y", "_fold", tx.tokens("_text", tx.TOKEN_2PLUS).alias("_tok"))
-    parts = []
-    for n in ngrams:
-        grams = F.flatten(F.array(*[ngram_array(F.col("_tok"), k) for k in range(1, n + 1)]))
-        parts.append(F.struct(F.lit(int(n)).alias("ngram_max"), F.transform(grams, lambda g: F.xxhash64(g)).alias("terms")))
-    rows = rows.select("_y", "_fold", F.explode(F.array(*parts)).alias("_g")).select("_y", "_fold", "_g.*")
-    rows = rows.withColumn("held", F.explode(F.array(*[F.lit(k) for k in range(num_folds)])))
-    rows = rows.withColumn("penalty", F.explode(F.array(*[F.lit(p) for p in penalties])))
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n_gram, held, penalty = key
-        docs = [np.unique(np.asarray(t, np.int64), return_counts=True) for t in pdf["terms"]]
-        y, test = pdf["_y"].to_numpy().astype(np.float64), (pdf["_fold"] == held).to_numpy()
-        seen = [d for d, t in zip(docs, test) if not t]
-        out = []
-        if seen and test.any():
-            vocabulary, df = np.unique(np.concatenate([d[0] for d in seen]), return_counts=True)
-            for share in max_dfs:
-                kept = df <= share * len(seen)
-                keep = np.where(kept, np.cumsum(kept) - 1, -1)
-                idf = np.log((1.0 + len(seen)) / (1.0 + df[kept])) + 1.0 if tfidf else None
-                x = _csr(seen, vocabulary, keep, idf)
-                xt = _csr([d for d, t in zip(docs, test) if t], vocabulary, keep, idf)
-                width = int(kept.sum())
-                w = None
-                for c in sorted(cs):  # each fit starts from the next weaker one
-                    w = _fit_logistic(x, y[~test], width, c, penalty == "l1", max_iter, tol, w)
-                    score = np.bincount(xt[2], xt[1] * w[xt[0]], int(test.sum()))
-                    out.append((float(share), int(n_gram), penalty, float(c), roc_auc(score, y[test])))
-        return pd.DataFrame(out, columns=["max_df", "ngram_max", "penalty", "c", "auc"])
-
-    fits = rows.groupBy("ngram_max", "held", "penalty").applyInPandas(search, "max_df double, ngram_max int, penalty string, c double, auc double")
-    return fits.filter(~F.isnan("auc")).groupBy("max_df", "ngram_max", "penalty", "c").agg(F.avg("auc").alias("roc_auc"))
+    rows = saved_table(rows, "grid-rows")  # fixes the numbers
+    settings = [(p, c) for p in penalties for c in cs]
+    groups = [f"{share} {k}" for share in max_dfs for k in range(num_folds)]
+    every = rows.select("_id", "label", "_fold", F.explode(F.array(*[F.lit(g) for g in groups])).alias("grp"))
+    held = F.split("grp", " ")[1].cast("int")
+    out = None
+    for n_gram in ngrams:
+        features, width = _fold_rows(rows, n_gram, max_dfs, num_folds, tfidf)
+        found = every.join(features, ["_id", "grp"], "left")
+        none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+        data = found.select("_id", "grp", "label", F.when(F.col("_fold") != held, F.lit(0)).alias("fold"), none("ids", "bigint"), none("vals", "double"))
+        data = saved_table(data, "grid-data")
+        weights = LI.fit_models(data, groups, 0, settings, width, tol=tol)
+        tested = data.filter("fold IS NULL").withColumn("_id", F.struct("_id", "grp", "label"))
+        scores = LI.margins(tested, weights, "_id").select("_id.grp", "_id.label", "penalty", "c", "prob")
+        aucs = roc_auc_by(scores, ["grp", "penalty", "c"], "label", "prob")
+        part = aucs.select(F.split("grp", " ")[0].cast("double").alias("max_df"), F.lit(int(n_gram)).alias("ngram_max"), "penalty", "c", "roc_auc")
+        out = part if out is None else out.unionByName(part)
+    return out.filter("roc_auc IS NOT NULL").groupBy("max_df", "ngram_max", "penalty", "c").agg(F.avg("roc_auc").alias("roc_auc"))
 
 
 def best_setting(grid: DataFrame) -> dict | None:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators import classify as CL
@@ -76,7 +76,7 @@ def fit_and_score(
         own = data.select("doc_id").join(scores, "doc_id", "left").select("doc_id", F.coalesce("prob", F.lit(0.0)).alias("prob"))
         return saved_table(own.withColumn("oof_prob", F.lit(None).cast("double")), "scores"), None, weights
     trials = data.filter("fold IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("grp").alias("report_col"), "fold", "label").join(scores, "doc_id")
-    search = roc_auc_by(trials, ["report_col", "penalty", "c", "fold"], "label", "oof_prob").groupBy("report_col", "penalty", "c").agg(F.avg("roc_auc").alias("roc_auc"))
+    search = M.roc_auc_by(trials, ["report_col", "penalty", "c", "fold"], "label", "oof_prob").groupBy("report_col", "penalty", "c").agg(F.avg("roc_auc").alias("roc_auc"))
     search = saved_table(search, "search")
     best = {col: settings[0] for col in report_cols}
     if len(settings) > 1:
@@ -91,20 +91,6 @@ def fit_and_score(
     return saved_table(picked.select("doc_id", prob.alias("prob"), F.coalesce("oof_prob", prob).alias("oof_prob")), "scores"), search, weights
 
 
-def roc_auc_by(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """ROC-AUC per key: chance that a positive scores above a negative, ties half; null with one class only.
-
-    Rows become counts per distinct score first; the running sums over these are per key.
-    """
-    hist = df.filter(F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.col(label)).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    hist = hist.withColumn("_q", F.col("_n") - F.col("_p"))
-    below = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_below", F.coalesce(F.sum("_q").over(below), F.lit(0.0)))
-    pos, neg = F.sum("_p"), F.sum("_q")
-    wins = F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2.0))
-    return hist.groupBy(*keys).agg(F.when((pos > 0) & (neg > 0), wins / F.when(pos * neg > 0, pos * neg)).alias("roc_auc"))
-
-
 def stack_patients(docs: DataFrame, report_cols: Sequence[str], gold: DataFrame) -> DataFrame:
     """Patient models: (dataset, study_id, report_col, gold, pred, prob) for every patient with a report of the column.
 

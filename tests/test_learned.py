@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import classify as CL
 from cohortspark.operators import features as FE
 from cohortspark.operators import linear as LI
+from cohortspark.operators import metrics as M
 from cohortspark.operators import terms as TE
 from cohortspark.operators.ranks import with_positions
 from cohortspark.plans import learned as L
@@ -89,7 +90,7 @@ def test_both_ways_of_fitting_agree(spark):
 def test_roc_auc_by_key(spark):
     rng = np.random.default_rng(4)
     rows = [(int(k), int(rng.random() < 0.3), float(rng.integers(0, 9)) / 8) for k in rng.integers(0, 4, 300)] + [(9, 1, 0.5)]
-    got = {r["k"]: r["roc_auc"] for r in L.roc_auc_by(spark.createDataFrame(rows, "k int, y int, s double"), ["k"], "y", "s").collect()}
+    got = {r["k"]: r["roc_auc"] for r in M.roc_auc_by(spark.createDataFrame(rows, "k int, y int, s double"), ["k"], "y", "s").collect()}
     for k in range(4):
         own = [r for r in rows if r[0] == k]
         assert abs(got[k] - CL.roc_auc(np.array([r[2] for r in own]), np.array([float(r[1]) for r in own]))) < 1e-12
