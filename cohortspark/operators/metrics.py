@@ -285,38 +285,45 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 # op 45
 def evaluate_model(
     df: DataFrame, keys: list[str], label: str, pred: str, prob: str | None = None, total_col: str | None = None,
-    bootstrap: bool = False, n_boot: int = 1000, seed: int = 0,
+    bootstrap: bool = False, n_boot: int = 1000, seed: int = 0, dataset: str | None = None, report_col: str | None = None, pred_type: str = "",
 ) -> DataFrame:
     """One report row per key with the original field names and formatted strings.
 
-    Percentages carry Wilson intervals; F1 and MCC carry bootstrap intervals when
+    Percentages carry Wilson intervals; F1, MCC and PR-AUC carry bootstrap intervals when
     ``bootstrap`` is set (else ``CI: N/A``); a null value prints as ``N/A``.
-    ``total_col`` names a per-key denominator for the coverage percentage.
+    ``total_col`` names a per-key denominator for the coverage percentage.  With ``dataset`` or ``report_col``
+    (names of key columns) the row has all 18 fields, the six that say what was evaluated in place of the keys.
     """
     from cohortspark.functions import fmt as FM
 
     ev = evaluate(df, keys, label, pred, prob)
+    bounds = [f"{m}_{e}" for m in ("f1", "mcc", "pr_auc") for e in ("lo", "hi")]
     if bootstrap:
-        from cohortspark.operators.bootstrap import bootstrap_ci
-
-        b = bootstrap_ci(ev.select(*keys, "tp", "fp", "fn", "tn"), keys, ("f1", "mcc"), n_boot, seed)
-        piv = b.groupBy(*keys).agg(
-            F.max(F.when(F.col("metric") == "f1", F.col("lo"))).alias("f1_lo"),
-            F.max(F.when(F.col("metric") == "f1", F.col("hi"))).alias("f1_hi"),
-            F.max(F.when(F.col("metric") == "mcc", F.col("lo"))).alias("mcc_lo"),
-            F.max(F.when(F.col("metric") == "mcc", F.col("hi"))).alias("mcc_hi"),
-        )
+        from cohortspark.operators.bootstrap import bootstrap_ci, bootstrap_pr_auc
+
+        b = bootstrap_ci(ev.select(*keys, "tp", "fp", "fn", "tn"), keys, ("f1", "mcc"), n_boot, seed).select(*keys, "metric", "lo", "hi")
+        if prob is not None:
+            usable = df.filter(F.col(pred).isNotNull())
+            b = b.unionByName(bootstrap_pr_auc(usable, keys, label, prob, n_boot, seed).select(*keys, F.lit("pr_auc").alias("metric"), "lo", "hi"))
+        piv = b.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == c[:-3], F.col(c[-2:]))).alias(c) for c in bounds])
         ev = ev.join(piv, on=keys, how="left")
     else:
-        ev = ev.withColumns({c: F.lit(None).cast("double") for c in ("f1_lo", "f1_hi", "mcc_lo", "mcc_hi")})
+        ev = ev.withColumns({c: F.lit(None).cast("double") for c in bounds})
     if total_col is not None:
         tot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")) if total_col == "rows" else df.groupBy(*keys).agg(F.max(total_col).alias("_total"))
         ev = ev.join(tot, on=keys, how="left")
         cov = F.format_string("%.2f%%", F.col("n") * 100.0 / F.col("_total"))
     else:
         cov = F.lit("")
+    said = keys
+    if dataset or report_col:
+        name = lambda c: F.col(c).cast("string") if c else F.lit("")
+        said = [
+            name(dataset).alias("Dataset"), name(report_col).alias("Report_Column"), F.lit(label).alias("Gold_Standard_Column"),
+            F.lit(pred_type).alias("Prediction_Type"), F.lit("").alias("Demographic_Attribute"), F.lit("").alias("Group"),
+        ]
     return ev.select(
-        *keys,
+        *said,
         FM.pct_ci("accuracy", "accuracy_lo", "accuracy_hi").alias("Accuracy"),
         FM.pct_ci("precision", "precision_lo", "precision_hi").alias("Precision"),
         FM.pct_ci("recall", "recall_lo", "recall_hi").alias("Recall"),
@@ -324,7 +331,7 @@ def evaluate_model(
         FM.pct_ci("npv", "npv_lo", "npv_hi").alias("NPV"),
         FM.pct_ci("f1", "f1_lo", "f1_hi").alias("F1_Score"),
         FM.num_ci("mcc", "mcc_lo", "mcc_hi").alias("MCC"),
-        FM.pct_ci("pr_auc", F.lit(None), F.lit(None)).alias("PR_AUC"),
+        FM.pct_ci("pr_auc", "pr_auc_lo", "pr_auc_hi").alias("PR_AUC"),
         FM.num("brier").alias("Brier_Score"),
         FM.num("ece").alias("ECE"),
         F.col("n").alias("Coverage_Count"),

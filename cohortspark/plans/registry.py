@@ -1549,7 +1549,8 @@ def _pct_na(e, lo=None, hi=None):
     "evaluate_model",
     f"{W}, {SCORED_SQL}, {O.evaluate_sql('(SELECT split, report_col, gold_alt AS gold, CAST(score >= 0.4 AS INTEGER) AS pred, score AS prob FROM scored)', DOC_KEYS)}, "
     "tot AS (SELECT split, report_col, COUNT(*) AS total FROM reports GROUP BY ALL) "
-    "SELECT e.split, e.report_col, "
+    f"SELECT e.split AS Dataset, e.report_col AS Report_Column, {O.q(FX.LABEL)} AS Gold_Standard_Column, 'Scored' AS Prediction_Type, "
+    "'' AS Demographic_Attribute, '' AS \"Group\", "
     + ", ".join(f"{_pct_sql(m, m + '_lo', m + '_hi')} AS {name}" for m, name in
                 [("accuracy", "Accuracy"), ("precision", "Precision"), ("recall", "Recall"), ("specificity", "Specificity"), ("npv", "NPV")])
     + f", {_pct_na('f1')} AS F1_Score, CASE WHEN mcc IS NULL THEN 'N/A' ELSE printf('%.4f (CI: N/A)', mcc) END AS MCC, "
@@ -1559,7 +1560,15 @@ def _pct_na(e, lo=None, hi=None):
 )
 def q_evaluate_model(spark, sf):
     s = _scored(spark, sf).withColumn("pred", (F.col("score") >= 0.4).cast("int"))
-    return M.evaluate_model(s, DOC_KEYS, FX.LABEL, "pred", "score", total_col="rows")
+    return M.evaluate_model(s, DOC_KEYS, FX.LABEL, "pred", "score", total_col="rows", dataset="split", report_col="report_col", pred_type="Scored")
+
+
+@register("evaluate_model_intervals")
+def q_evaluate_model_intervals(spark, sf):
+    s = _scored(spark, sf).withColumn("pred", (F.col("score") >= 0.4).cast("int"))
+    return M.evaluate_model(
+        s, DOC_KEYS, FX.LABEL, "pred", "score", total_col="rows", bootstrap=True, dataset="split", report_col="report_col", pred_type="Scored"
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

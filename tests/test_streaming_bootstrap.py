@@ -80,3 +80,37 @@ def test_bootstrap_pr_auc_interval(spark):
         vals.append(ap)
     lo, hi = np.percentile(vals, [2.5, 97.5])
     assert abs(r.lo - lo) < 0.06 and abs(r.hi - hi) < 0.06
+
+
+def test_pr_auc_blocks_draw_one_stratified_resample(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    y = (rng.random(900) < 0.3).astype(int)
+    s = np.round(y + rng.normal(0, 20, 900), 1)  # any real score, many distinct ones
+    df = spark.createDataFrame([(int(a), float(b), "x" if i % 2 else "y") for i, (a, b) in enumerate(zip(y, s))], "y int, s double, k string")
+    one, many = (
+        {r.k: r for r in BS.bootstrap_pr_auc(df, ["k"], "y", "s", n_boot=400, seed=2, block=b).collect()} for b in (1 << 16, 50)
+    )
+    for k in ("x", "y"):
+        assert one[k].lo < one[k].estimate < one[k].hi
+        assert abs(one[k].lo - many[k].lo) < 0.03 and abs(one[k].hi - many[k].hi) < 0.03
+    blocks = pa.table({"k": ["x"] * 3, "block": [2, 0, 1], "pos": [5, 7, 0], "neg": [1, 0, 9]})
+    out = BS._split_draws(blocks, ["k"], 200, 0)
+    for name, total in (("pos", 12), ("neg", 10)):
+        draws = np.array([np.frombuffer(d, "<i8") for d in out.column(f"{name}_draw").to_pylist()])
+        assert (draws.sum(axis=0) == total).all() and draws.std() > 0  # class totals are fixed in every replicate
+    single = spark.createDataFrame([(1, 0.5, "z")], "y int, s double, k string")
+    assert BS.bootstrap_pr_auc(single, ["k"], "y", "s", n_boot=20).collect()[0].lo is None
+
+
+def test_evaluation_row_has_every_field(spark):
+    from cohortspark.operators import metrics as M
+
+    rng = np.random.default_rng(1)
+    rows = [("train", "letters", int(rng.random() < 0.4), int(rng.random() < 0.5), float(rng.random())) for _ in range(200)]
+    df = spark.createDataFrame(rows, "split string, col string, gold int, pred int, prob double")
+    out = M.evaluate_model(df, ["split", "col"], "gold", "pred", "prob", "rows", True, 100, dataset="split", report_col="col", pred_type="BOW")
+    r = out.collect()[0].asDict()
+    assert len(r) == 18 and r["Dataset"] == "train" and r["Gold_Standard_Column"] == "gold" and r["Coverage_Pct"] == "100.00%"
+    assert all("(CI: " in r[c] and "N/A" not in r[c] for c in ("F1_Score", "MCC", "PR_AUC", "Accuracy"))
