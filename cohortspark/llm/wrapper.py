@@ -53,6 +53,13 @@ BAD_WORDS = frozenset(
     "popup promo promoted promotion related replies reply search share sharing sidebar sidebars signup skip social sponsor sponsored "
     "subscribe subscription toolbar widget widgets alert gdpr paywall respond teaser recommended".split()
 )
+#: Words that may stand beside a listed one in a class or id ("related-posts"); any other makes it a name of its
+#: own ("no-sidebar", "content-sidebar-wrap", "related-work", "comment-status-open").
+PLAIN_WORDS = frozenset(
+    "area articles bar block blocks bottom box button buttons col column container global group icon icons inner item items left "
+    "link links list main module nav outer panel post posts right row section site slot stories text top unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD_WORDS = frozenset("article content main post entry story body text page".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
@@ -62,10 +69,10 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "texts", "bad", "kind", "number", "size")
+    __slots__ = ("tag", "children", "texts", "bad", "hinted", "kind", "number", "size")
 
-    def __init__(self, tag: str, bad: bool, kind: str):
-        self.tag, self.bad, self.kind = tag, bad, kind
+    def __init__(self, tag: str, bad: bool, kind: str, hinted: bool = False):
+        self.tag, self.bad, self.kind, self.hinted = tag, bad, kind, hinted
         self.children: list[Node] = []
         self.texts: list = []  # strings and, where a child stands, None
         self.number, self.size = -1, 1
@@ -79,11 +86,22 @@ def _is_bad(tag: str, raw: str) -> bool:
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(raw)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", raw) or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    words = set(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    bad = words & BAD_WORDS
-    return bool(bad) and not (words & GOOD_WORDS and bad <= {"header", "page", "text"})
+    bare = _ATTRIBUTE.sub(" ", raw).lower().replace("/", " ").split()  # attributes without a value
+    return "hidden" in bare or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+
+
+def _is_hinted(tag: str, raw: str) -> bool:
+    """Does a class or the id name a part that is no content?  Headings and article elements never do."""
+    if not raw or tag in HEADINGS or tag in ("html", "body", "main", "article"):
+        return False
+    found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(raw)}
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    for name in names:
+        words = set(_WORDS.findall(name))
+        bad = words & BAD_WORDS
+        if bad and words <= BAD_WORDS | PLAIN_WORDS and not (bad == {"header"} and words & GOOD_WORDS):
+            return True
+    return False
 
 
 def parse(page: str) -> Node:
@@ -126,7 +144,7 @@ def parse(page: str) -> Node:
                         break
                 elif stack[k].tag in SCOPES:
                     break
-        node = Node(tag, _is_bad(tag, m[3]), tag)
+        node = Node(tag, _is_bad(tag, m[3]), tag, _is_hinted(tag, m[3]))
         stack[-1].children.append(node)
         stack[-1].texts.append(None)
         if tag in RAW:
@@ -139,15 +157,26 @@ def parse(page: str) -> Node:
 
 
 def _numbered(root: Node) -> Node:
-    """Document order numbers, and the number of nodes below each."""
+    """Document order numbers, and the number of nodes below each.
+
+    A hinted element goes (``bad``) unless it holds the article: a main, article or h1 element, or
+    nine tenths of the page's text.
+    """
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         node.number = len(order)
         order.append(node)
         todo.extend(reversed(node.children))
+    chars, holds = [0] * len(order), [False] * len(order)
     for node in reversed(order):
         node.size = 1 + sum(c.size for c in node.children)
+        own = sum(len(t) for t in node.texts if t is not None)
+        chars[node.number] = 0 if node.bad else own + sum(chars[c.number] for c in node.children)
+        holds[node.number] = not node.bad and (node.tag in ("main", "article", "h1") or any(holds[c.number] for c in node.children))
+    for node in order:
+        if node.hinted and not holds[node.number] and 10 * chars[node.number] <= 9 * chars[0]:
+            node.bad = True
     return root
 
 
