@@ -1,10 +1,11 @@
 """JSON answer validation and repair, as built-in expressions (VARIANT parsing).
 
 Status of an answer:
-* ``valid``    – the stored JSON text parses and is an object;
+* ``valid``    – the stored JSON text parses, whatever its value (a bare number has no fields, so it
+  counts as valid and predicts 0; ``responded`` is false);
 * ``repaired`` – the full answer, cut from its first ``{`` to its last ``}``,
   with ``//`` comments and trailing commas removed, parses to an object;
-* ``none``     – anything else (no braces, unparseable, or a non-object value).
+* ``none``     – anything else (no braces or unparseable).
 """
 
 from __future__ import annotations
@@ -29,36 +30,19 @@ def repaired_text(full: Column) -> Column:
 
 
 def repair_columns(df, json_col: str, full_col: str | None = None):
-    """Add ``answer`` and ``status`` parsing each text once: parse results are
+    """Add ``answer``, ``status`` and ``responded`` (is the answer an object?) parsing each text once: parse results are
     materialised as columns first, then combined (avoids repeated JSON parsing)."""
     full = json_col if full_col is None else full_col
     d = df.withColumns({"_direct": F.try_parse_json(F.col(json_col)), "_fixed_txt": repaired_text(F.col(full))})
     d = d.withColumn("_fixed", F.try_parse_json(F.col("_fixed_txt")))
     direct_ok = F.col("_direct").isNotNull()
     status = (
-        F.when(direct_ok & _is_object_text(F.col(json_col)), F.lit(STATUS_VALID))
-        .when(direct_ok, F.lit(STATUS_NONE))
+        F.when(direct_ok, F.lit(STATUS_VALID))
         .when(F.col("_fixed").isNotNull() & _is_object_text(F.col("_fixed_txt")), F.lit(STATUS_REPAIRED))
         .otherwise(F.lit(STATUS_NONE))
     )
     d = d.withColumn("status", status)
     answer = F.when(F.col("status") == STATUS_VALID, F.col("_direct")).when(F.col("status") == STATUS_REPAIRED, F.col("_fixed"))
+    responded = (F.col("status") == STATUS_REPAIRED) | (direct_ok & _is_object_text(F.col(json_col)))
+    d = d.withColumn("responded", F.coalesce(responded, F.lit(False)))
     return d.withColumn("answer", answer).drop("_direct", "_fixed_txt", "_fixed")
-
-
-def repair(json_col, full_col=None) -> tuple[Column, Column]:
-    """Return (variant, status) for a stored JSON answer and the full answer text."""
-    js = F.col(json_col) if isinstance(json_col, str) else json_col
-    full = js if full_col is None else (F.col(full_col) if isinstance(full_col, str) else full_col)
-    direct = F.try_parse_json(js)
-    fixed_txt = repaired_text(full)
-    fixed = F.try_parse_json(fixed_txt)
-    direct_ok = direct.isNotNull()
-    status = (
-        F.when(direct_ok & _is_object_text(js), F.lit(STATUS_VALID))
-        .when(direct_ok, F.lit(STATUS_NONE))
-        .when(fixed.isNotNull() & _is_object_text(fixed_txt), F.lit(STATUS_REPAIRED))
-        .otherwise(F.lit(STATUS_NONE))
-    )
-    variant = F.when(status == STATUS_VALID, direct).when(status == STATUS_REPAIRED, fixed)
-    return variant, status

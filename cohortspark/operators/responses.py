@@ -17,7 +17,7 @@ from cohortspark.operators import rollup as R
 
 # op 68
 def repair_json(df: DataFrame, json_col: str, full_col: str | None = None) -> DataFrame:
-    """Add ``answer`` (VARIANT or null) and ``status`` (valid / repaired / none)."""
+    """Add ``answer`` (VARIANT or null), ``status`` (valid / repaired / none) and ``responded`` (an object)."""
     return jsonfix.repair_columns(df, json_col, full_col)
 
 
@@ -51,17 +51,20 @@ def parse_response(
 
 # op 54
 def response_summary(df: DataFrame, id_col: str = "study_id", keys: list[str] = ()) -> DataFrame:
-    """total, distinct patients, valid, repaired, none, successful and predicted, with % of total."""
+    """total, distinct patients, valid, repaired, no response, successful and predicted, with % of total.
+
+    ``no_response`` are answers that are no object, a valid bare value among them; ``repaired`` is what valid
+    and no response leave of the total, so a valid bare value lowers it by one (the original's rule).
+    """
     keys = list(keys)
     g = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.countDistinct(id_col).alias("patients"),
         F.count_if(F.col("status") == jsonfix.STATUS_VALID).alias("valid"),
-        F.count_if(F.col("status") == jsonfix.STATUS_REPAIRED).alias("repaired"),
-        F.count_if(F.col("status") == jsonfix.STATUS_NONE).alias("no_response"),
-        F.count_if(F.col("status") != jsonfix.STATUS_NONE).alias("successful"),
+        F.count_if(~F.col("responded")).alias("no_response"),
         F.sum("pred").cast("long").alias("predicted"),
     )
+    g = g.withColumns({"repaired": F.col("total") - F.col("valid") - F.col("no_response"), "successful": F.col("total") - F.col("no_response")})
     pct = {f"{c}_pct": F.round(F.col(c) * 100.0 / F.col("total"), 1) for c in ("valid", "repaired", "no_response", "successful", "predicted")}
     return g.withColumns(pct)
 

@@ -765,9 +765,9 @@ _ANS_SQL = (
     "rep AS (SELECT *, json_valid(js) AND NOT regexp_matches(js, ',\\s*[}\\]]') AS direct_ok, "
     "regexp_replace(regexp_replace(regexp_replace(regexp_extract(js, '(?s)(\\{.*\\})', 1), '//[^\\n\\r]*', '', 'g'), "
     "',\\s*\\}', '}', 'g'), ',\\s*\\]', ']', 'g') AS fixed FROM ans), "
-    "st AS (SELECT *, CASE WHEN direct_ok AND ltrim(js) LIKE '{%' THEN 'valid' WHEN direct_ok THEN 'none' "
+    "st AS (SELECT *, COALESCE(direct_ok AND ltrim(js) LIKE '{%', false) AS object_ok, CASE WHEN direct_ok THEN 'valid' "
     "WHEN fixed <> '' AND json_valid(fixed) AND ltrim(fixed) LIKE '{%' THEN 'repaired' ELSE 'none' END AS status FROM rep), "
-    f"parsed AS (SELECT *, CASE status WHEN 'valid' THEN TRY_CAST(json_extract_string(js, '$.{LIKELY_KEY}') AS DOUBLE) "
+    f"parsed AS (SELECT *, object_ok OR status = 'repaired' AS responded, CASE status WHEN 'valid' THEN TRY_CAST(json_extract_string(js, '$.{LIKELY_KEY}') AS DOUBLE) "
     f"WHEN 'repaired' THEN TRY_CAST(json_extract_string(fixed, '$.{LIKELY_KEY}') AS DOUBLE) END AS likelihood FROM st), "
     f"resp AS (SELECT *, COALESCE(CAST(likelihood >= {LIKELY_MIN} AS INTEGER), 0) AS pred FROM parsed)"
 )
@@ -793,8 +793,9 @@ def q_parse_response(spark, sf):
 @register(
     "llm_response_summary",
     f"WITH {_ANS_SQL}, sm AS (SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(COUNT(DISTINCT study_id) AS BIGINT) AS patients, "
-    "CAST(COUNT(*) FILTER (WHERE status = 'valid') AS BIGINT) AS valid, CAST(COUNT(*) FILTER (WHERE status = 'repaired') AS BIGINT) AS repaired, "
-    "CAST(COUNT(*) FILTER (WHERE status = 'none') AS BIGINT) AS no_response, CAST(COUNT(*) FILTER (WHERE status <> 'none') AS BIGINT) AS successful, "
+    "CAST(COUNT(*) FILTER (WHERE status = 'valid') AS BIGINT) AS valid, "
+    "CAST(COUNT(*) - COUNT(*) FILTER (WHERE status = 'valid') - COUNT(*) FILTER (WHERE NOT responded) AS BIGINT) AS repaired, "
+    "CAST(COUNT(*) FILTER (WHERE NOT responded) AS BIGINT) AS no_response, CAST(COUNT(*) FILTER (WHERE responded) AS BIGINT) AS successful, "
     "CAST(SUM(pred) AS BIGINT) AS predicted FROM resp) "
     "SELECT *, round(valid * 100.0 / total, 1) AS valid_pct, round(repaired * 100.0 / total, 1) AS repaired_pct, "
     "round(no_response * 100.0 / total, 1) AS no_response_pct, round(successful * 100.0 / total, 1) AS successful_pct, "
@@ -856,7 +857,7 @@ def q_llm_cohort(spark, sf):
     "llm_fairness",
     f"WITH {_ANS_SQL}, {_HUMAN_SQL}, cust AS (SELECT c.c_custkey AS study_id, c.c_mktsegment AS segment, r.r_name AS region "
     "FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey), "
-    "mp AS (SELECT 'all' AS dataset, 'LLM' AS pred_type, m.pred, m.gold, c.segment, c.region FROM merged m LEFT JOIN cust c ON m.study_id = c.study_id), "
+    "mp AS (SELECT 'all' AS dataset, 'LLM' AS pred_type, m.pred, m.gold, COALESCE(c.segment, 'nan') AS segment, COALESCE(c.region, 'nan') AS region FROM merged m LEFT JOIN cust c ON m.study_id = c.study_id), "
     f"{O.fairness_sql('mp', FKEYS, ['segment', 'region'], [('segment', 'BUILDING'), ('region', 'EUROPE')])} "
     f"SELECT {FAIR_OUT} FROM fairness",
 )
@@ -866,7 +867,7 @@ def q_llm_fairness(spark, sf):
     m = _merged(spark, sf).join(TV.patient_demographics(spark, sf), on="study_id", how="left")
     m = m.select(F.lit("all").alias("dataset"), F.lit("LLM").alias("pred_type"), "pred", "gold", "segment", "region")
     ref = spark.createDataFrame([("segment", "BUILDING"), ("region", "EUROPE")], "attribute string, ref_group string")
-    rep = FA.fairness_report(m, FKEYS, ["segment", "region"], "pred", "gold", ref)
+    rep = FA.fairness_report(m, FKEYS, ["segment", "region"], "pred", "gold", ref, null_as_group=True)  # a missing group is the group "nan"
     return r6(rep.select(*[c.strip() for c in FAIR_OUT.split(",")]))
 
 

@@ -14,12 +14,13 @@ def test_repair_statuses(spark):
     ]
     df = spark.createDataFrame(rows, "id int, js string")
     out = {r.id: r for r in RS.parse_response(RS.repair_json(df, "js")).collect()}
-    assert [out[i].status for i in range(1, 9)] == ["valid", "repaired", "repaired", "repaired", "none", "none", "none", "valid"]
+    assert [out[i].status for i in range(1, 9)] == ["valid", "repaired", "repaired", "repaired", "none", "valid", "none", "valid"]
+    assert [i for i in range(1, 9) if not out[i].responded] == [5, 6, 7] and out[6].pred == 0  # a bare value is valid, but no answer
     assert out[1].pred == 1 and out[1].features == "a, b" and out[1].title == "t"
     assert out[2].pred == 0 and out[3].pred == 1 and out[4].pred == 1
     assert out[5].pred == 0 and out[8].pred == 0 and out[8].likelihood is None
     summ = RS.response_summary(RS.parse_response(RS.repair_json(df.withColumn("study_id", df.id % 3), "js"))).collect()[0]
-    assert (summ.total, summ.valid, summ.repaired, summ.no_response, summ.patients) == (8, 2, 3, 3, 3)
+    assert (summ.total, summ.valid, summ.repaired, summ.no_response, summ.patients) == (8, 3, 2, 3, 3)
 
 
 def test_merge_with_human(spark):
