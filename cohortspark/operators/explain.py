@@ -87,6 +87,7 @@ def dimension_exemplars(
 # op 86
 def merge_subwords(
     tokens: DataFrame, id_col: str = "doc", pos_col: str = "pos", marker: str = "##", marker_role: str = "continuation",
+    special=SPECIAL_TOKENS,
 ) -> DataFrame:
     """Join word pieces into words and add their scores: (doc, word_id, word, score, start_pos).
 
@@ -94,7 +95,9 @@ def merge_subwords(
     previous word (BERT ``##``); ``'start'``: a marker starts a new word
     (``Ġ`` / ``▁``) and pieces without it continue.  Gaps-and-islands: the word id
     is the running count of word starts in position order within the document.
+    ``special`` tokens are left out before the merge, so none becomes part of a word.
     """
+    tokens = tokens.filter(~F.col("token").isin(*special)) if special else tokens
     has = F.col("token").startswith(marker)
     is_start = (~has) if marker_role == "continuation" else has
     w = Window.partitionBy(id_col).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
@@ -111,11 +114,11 @@ def merge_subwords(
 
 # op 87
 def top_tokens(
-    words: DataFrame, id_col: str = "doc", k: int = 5, min_len: int = 4, special=SPECIAL_TOKENS, pos_col: str = "start_pos",
+    words: DataFrame, id_col: str = "doc", k: int = 10, min_len: int = 4, pos_col: str = "start_pos",
 ) -> DataFrame:
-    """Per document: drop special tokens and tokens shorter than ``min_len``; top-k by |score| as
+    """Per document: drop merged words shorter than ``min_len``; top-k by |score| as
     ``word(+0.12) | word(-0.05)`` (ties by position)."""
-    f = words.filter(~F.col("word").isin(*special) & (F.length("word") >= min_len))
+    f = words.filter(F.length("word") >= min_len)
     w = Window.partitionBy(id_col).orderBy(F.abs("score").desc(), F.col(pos_col))
     r = f.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     parts = F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.format_string("%s(%+.2f)", F.col("word"), F.col("score")).alias("s"))))

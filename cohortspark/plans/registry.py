@@ -1124,7 +1124,7 @@ _PIECES_SQL = (
     "ts AS (SELECT doc, tpos * 1000 + j AS pos, CASE WHEN j = 0 THEN substring(tok, j * 4 + 1, 4) ELSE '##' || substring(tok, j * 4 + 1, 4) END AS token, "
     "(ascii(substring(tok, j * 4 + 1, 4)) % 11 - 5) / 4.0 AS score FROM pcs), "
     "mw AS (SELECT doc, SUM(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS word_id, "
-    "pos, CASE WHEN starts_with(token, '##') THEN substring(token, 3) ELSE token END AS piece, score FROM ts), "
+    "pos, CASE WHEN starts_with(token, '##') THEN substring(token, 3) ELSE token END AS piece, score FROM ts WHERE token NOT IN ('[CLS]', '[SEP]', '[PAD]', '<s>', '</s>', '<pad>')), "
     "words AS (SELECT doc, word_id, string_agg(piece, '' ORDER BY pos) AS word, SUM(score) AS score, MIN(pos) AS start_pos FROM mw GROUP BY doc, word_id)"
 )
 
@@ -1147,13 +1147,13 @@ def q_merge_subwords(spark, sf):
 @register(
     "top_tokens",
     f"WITH {_PIECES_SQL}, fw AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY abs(score) DESC, start_pos) AS r FROM words "
-    "WHERE length(word) >= 4 AND word NOT IN ('[CLS]', '[SEP]', '[PAD]', '<s>', '</s>', '<pad>')) "
-    "SELECT doc, string_agg(printf('%s(%+.2f)', word, score), ' | ' ORDER BY r) AS top_tokens FROM fw WHERE r <= 5 GROUP BY doc",
+    "WHERE length(word) >= 4) "
+    "SELECT doc, string_agg(printf('%s(%+.2f)', word, score), ' | ' ORDER BY r) AS top_tokens FROM fw WHERE r <= 10 GROUP BY doc",
 )
 def q_top_tokens(spark, sf):
     from cohortspark.operators import explain as EX
 
-    return EX.top_tokens(_words(spark, sf), "doc", 5)
+    return EX.top_tokens(_words(spark, sf), "doc", 10)
 
 
 # --------------------------------------------------------------------------- #
