@@ -215,5 +215,6 @@ def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_mu
             out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edges), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*keep, "decoded"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes) + ", decoded binary"
-    return rows.select(*keep).mapInArrow(run, schema)
+    kept = rows.select(*[F.col(f"`{c}`") for c in keep])
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", decoded binary"
+    return kept.toDF(*[f"x{i}" for i in range(len(keep))]).mapInArrow(run, schema)  # a name there may hold no dot

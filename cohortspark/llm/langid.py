@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from cohortspark.llm.common import in_slices
 
 BUCKETS, UNDETERMINED = 4096, "und"
+#: Texts whose vectors are held at a time: 4 MB an array.
+ROWS = 256
 _MULTIPLIERS = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
 
 
@@ -33,7 +35,7 @@ def ngram_counts(text: str) -> np.ndarray:
     """Counts of the whole text's 1- to 3-byte runs in hashed buckets, words set off by one space."""
     words = text.lower().encode("utf-8", "replace").translate(_LETTERS).split()
     b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
-    out = np.zeros(BUCKETS)
+    out = np.zeros(BUCKETS, np.float32)
     key = np.zeros(len(b), np.uint32)
     for n, m in enumerate(_MULTIPLIERS):
         if len(b) <= n:
@@ -118,8 +120,8 @@ def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text") -
 
         has_letter = regex.compile(r"\p{L}").search
         for batch in in_slices(batches, max_bytes=4 << 20, column=place):
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 texts = part.column(place).to_pylist()
                 known = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
                 lang, score, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -133,8 +135,9 @@ def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text") -
                     names=[*keep, "lang_pred", "score", "rejected"],
                 )
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", lang_pred string, score double, rejected boolean"
-    return docs.select(*keep).mapInArrow(run, schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", lang_pred string, score double, rejected boolean"
+    return kept.toDF(*[f"x{i}" for i in range(len(keep))]).mapInArrow(run, schema)  # a name there may hold no dot
 
 
 def held_out(bucket: Column, value: int = 2) -> Column:

@@ -19,8 +19,10 @@ a document with a smaller id.
 The automata stay with their shard: the reference is the corpus itself, so a broadcast of it
 would grow with the data.  A stretch found in a thousand documents is shipped and matched once.
 
-Defined cases: null text has no words; texts shorter than a window lose nothing; rows that repeat
-an id are one document (windows are shared with themselves only); rows without an id keep all.
+Defined cases: null text has no words; texts shorter than a window lose nothing; rows that repeat an
+id with different texts are cut each on its own, by smaller ids only, never by one another (a text is
+known by its id and the hash ``tag`` of its characters); rows without an id keep all; an empty table gives
+an empty one; columns of any name, those used in here too, stay as they are.
 """
 
 from __future__ import annotations
@@ -129,35 +131,41 @@ class SuffixAutomaton:
         return out
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and tag: rows that repeat an id with another text have another tag."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+
+
 def analysed(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """doc_id, n_words, digest and SHA-256 of the words, and the stretches of every whole text."""
+    """doc_id, tag, n_words, SHA-256 of the words, and the stretches of every whole text."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
 
         known = WordHashes()
         for batch in in_slices(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, tags = (batch.column(i).to_pylist() for i in range(3))
             for at in range(0, len(ids), 500):
                 rows, keys, starts, sizes, ends = [], [], [], [], [0]
-                for doc_id, text in zip(ids[at : at + 500], texts[at : at + 500]):
+                for doc_id, text, tag in zip(ids[at : at + 500], texts[at : at + 500], tags[at : at + 500]):
                     words = words_of(text)
                     m, s, n = stretches(known.of(words), length)
                     keys.append(m), starts.append(s), sizes.append(n)
                     ends.append(ends[-1] + len(m))
-                    rows.append((doc_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+                    rows.append((doc_id, tag, len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
                 runs = pa.StructArray.from_arrays(
                     [pa.array(np.concatenate(c).astype(np.int64)) for c in (keys, starts, sizes)], names=["key", "start", "windows"]
                 )
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], names=["doc_id", "n_words", "sha256", "runs"])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], names=["doc_id", "tag", "n_words", "sha256", "runs"])
 
-    schema = "doc_id bigint, n_words bigint, sha256 string, runs array<struct<key: bigint, start: bigint, windows: bigint>>"
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = "doc_id bigint, tag bigint, n_words bigint, sha256 string, runs array<struct<key: bigint, start: bigint, windows: bigint>>"
+    return keyed(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def contents(rows: DataFrame, length: int) -> DataFrame:
-    """key, doc_id, start, digest and word hashes of the stretches ``runs`` of each text."""
+    """key, doc_id, tag, start, digest and word hashes of the stretches ``runs`` of each text."""
 
     def run(batches: Iterator) -> Iterator:
         import xxhash
@@ -165,17 +173,17 @@ def contents(rows: DataFrame, length: int) -> DataFrame:
         known = WordHashes()
         for batch in in_slices(batches, max_bytes=2 << 20):
             out = []
-            for doc_id, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc_id, text, tag, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 h = known.of(words_of(text))
                 for r in runs:
                     raw = h[r["start"] : r["start"] + r["windows"] + length - 1].tobytes()
-                    out.append((r["key"], doc_id, r["start"], xxhash.xxh3_128_digest(raw), raw))
+                    out.append((r["key"], doc_id, tag, r["start"], xxhash.xxh3_128_digest(raw), raw))
             for at in range(0, len(out), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5000]), kinds)], names=names)
 
-    names = ["key", "doc_id", "start", "digest", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return rows.mapInArrow(run, "key bigint, doc_id bigint, start bigint, digest binary, words binary")
+    names = ["key", "doc_id", "tag", "start", "digest", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return rows.mapInArrow(run, "key bigint, doc_id bigint, tag bigint, start bigint, digest binary, words binary")
 
 
 def match_shard(rows: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -225,17 +233,16 @@ def match_windows(reference: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_words: int = SHARD_WORDS):
-    """(analysed rows with ``first``: the smallest id of their words; doc_id with spans of windows; the texts of those)."""
+    """(analysed rows with ``first``: the smallest id of their words; spans of windows per doc_id and tag; the texts of those)."""
     rows = saved(analysed(docs, id_col, text_col, length), "ss-rows")
     firsts = saved(rows.filter("doc_id IS NOT NULL").groupBy("sha256").agg(F.min("doc_id").alias("first")), "ss-firsts")
     # One row stands for all equal documents; only stretches shared by two such documents go on.
-    runs = rows.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("runs").alias("run"))
-    runs = saved(runs.select("doc_id", "run.*").distinct(), "ss-runs")
+    runs = rows.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "tag", F.explode("runs").alias("run"))
+    runs = saved(runs.select("doc_id", "tag", "run.*").distinct(), "ss-runs")
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("key")
-    wanted = runs.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "windows")).alias("runs"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = saved(texts.join(wanted, "doc_id"), "ss-texts")
-    found = saved(contents(texts.select("doc_id", "text", "runs"), length), "ss-contents")
+    wanted = runs.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "start", "windows")).alias("runs"))
+    texts = saved(keyed(docs, id_col, text_col).join(wanted, ["doc_id", "tag"]), "ss-texts")
+    found = saved(contents(texts.select("doc_id", "text", "tag", "runs"), length), "ss-contents")
     reference = found.groupBy("key", "digest").agg(F.min("doc_id").alias("low"), F.first("words").alias("words"))
     reference = saved(reference.withColumn("size", F.octet_length("words") / 8), "ss-reference")
     hot = saved(reference.groupBy("key").agg(F.sum("size").alias("size")).filter(F.col("size") > shard_words), "ss-hot")
@@ -243,50 +250,50 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words = reference.agg(F.coalesce(F.sum("size"), F.lit(0.0))).first()[0] - hot_words
     shards = max(1, int(words // shard_words))
     # A key's stretches meet in one shard; AQE must not merge shards into tasks of many.
-    cold = reference.join(F.broadcast(hot), "key", "left_anti") if hot_keys else reference  # at most one hot key per shard_words words
+    cold = reference.join(hot, "key", "left_anti") if hot_keys else reference
     dealt = cold.select("key", "digest", "low", "words", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     matched = dealt.groupBy("shard").applyInPandas(
         lambda pdf: match_shard(pdf, length), "key bigint, digest binary, spans array<struct<at: bigint, windows: bigint, low: bigint>>"
     )
     if hot_keys:
-        matched = matched.unionByName(match_windows(reference.join(F.broadcast(hot.select("key")), "key", "left_semi"), length))
+        matched = matched.unionByName(match_windows(reference.join(hot.select("key"), "key", "left_semi"), length))
     matched = saved(matched, "ss-matched")
-    hits = found.select("key", "digest", "doc_id", "start").join(matched, ["key", "digest"])
+    hits = found.select("key", "digest", "doc_id", "tag", "start").join(matched, ["key", "digest"])
     hits = hits.withColumn("span", F.explode(F.filter("spans", lambda s: s["low"] < F.col("doc_id"))))
-    spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("start") + F.col("span.at")).alias("at"), F.col("span.windows").alias("windows"))).alias("spans"))
-    return rows.join(firsts, "sha256", "left"), spans, texts.select("doc_id", "text")
+    spans = hits.groupBy("doc_id", "tag").agg(F.collect_set(F.struct((F.col("start") + F.col("span.at")).alias("at"), F.col("span.windows").alias("windows"))).alias("spans"))
+    return rows.join(firsts, "sha256", "left"), spans, texts.select("doc_id", "tag", "text")
 
 
 def cut_texts(spans: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, number of removed words and the words that stay, joined by single spaces."""
+    """doc_id, tag, number of removed words and the words that stay, joined by single spaces."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in in_slices(batches):
             out = []
-            for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc_id, text, tag, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 words = words_of(text)
                 edge = np.zeros(len(words) + 1, np.int64)
                 for s in spans:
                     edge[s["at"]] += 1
                     edge[s["at"] + s["windows"] + length - 1] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
-                out.append((doc_id, int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "replace")))
+                out.append((doc_id, tag, int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "replace")))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_cut", "kept_text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "tag", "n_cut", "kept_text"])
 
-    return texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_cut bigint, kept_text string")
+    return texts.join(spans, ["doc_id", "tag"]).select("doc_id", "text", "tag", "spans").mapInArrow(run, "doc_id bigint, tag bigint, n_cut bigint, kept_text string")
 
 
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, sha256 of all words, kept_text (null: nothing was removed)."""
+    """Per row: doc_id, tag, n_words, n_removed, sha256 of all words, kept_text (null: nothing was removed)."""
     rows, spans, texts = repeated_spans(docs, id_col, text_col, length, shard_words)
-    cut = cut_texts(spans, texts.dropDuplicates(["doc_id"]), length).withColumnRenamed("doc_id", "x_doc")
-    out = rows.join(cut, (rows["doc_id"] == cut["x_doc"]) & (rows["doc_id"] == rows["first"]), "left")
+    cut = cut_texts(spans, texts.dropDuplicates(["doc_id", "tag"]), length).withColumnsRenamed({"doc_id": "x_doc", "tag": "x_tag"})
+    out = rows.join(cut, (rows["doc_id"] == cut["x_doc"]) & (rows["tag"] == cut["x_tag"]) & (rows["doc_id"] == rows["first"]), "left")
     copy = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= length), F.lit(False))
     return out.select(
-        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("bigint").alias("n_removed"),
+        "doc_id", "tag", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("bigint").alias("n_removed"),
         "sha256", F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
     )
 
@@ -294,6 +301,9 @@ def dedup_substrings(
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated spans cut from the text; texts without such spans stay as they are."""
     found = saved(dedup_substrings(docs, id_col, text_col, length).filter("n_removed > 0"), "ss-cut")
-    found = found.select(F.col("doc_id").alias("x_doc"), F.col("kept_text").alias("x_kept")).dropDuplicates(["x_doc"])
-    out = docs.join(found, docs[id_col].cast("bigint") == found["x_doc"], "left")
-    return out.select(*[F.coalesce("x_kept", docs[c]).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])
+    found = found.select(F.struct("doc_id", "tag").alias("at"), "kept_text").dropDuplicates(["at"]).alias("x_found")
+    text = F.col(f"x_docs.`{text_col}`").cast("string")
+    at = F.struct(F.col(f"x_docs.`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tag"))
+    out = docs.alias("x_docs").join(found, at == F.col("x_found.at"), "left")
+    columns = [F.col(f"x_docs.`{c}`") for c in docs.columns]
+    return out.select(*[F.coalesce("x_found.kept_text", c).alias(n) if n == text_col else c for n, c in zip(docs.columns, columns)])

@@ -322,3 +322,40 @@ def test_page_layouts_of_a_host_have_their_own_references(spark):
     assert [got[i] for i in range(20)] == [f"Own words {i}" for i in range(20)]
     assert [got[20 + i] for i in range(9)] == [f"Cell {i}" for i in range(9)]
     assert (got[45], got[110]) == ("Own words copied", "Error")
+
+
+def test_substrings_of_repeated_ids_are_cut_each_on_its_own(spark):
+    from cohortspark.llm.substring import dedup_substrings, remove_repeats
+
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b = words(30), words(30)
+    rows = [
+        (1, " ".join(a)), (1, " ".join(words(40) + b)), (1, " ".join(words(5) + b + words(5))), (2, " ".join(words(7) + a)),
+        (2, " ".join(b + words(80))), (2, " ".join(words(60))), (3, " ".join(words(3) + a + words(3) + b)), (3, " ".join(a)), (3, "  ".join(a)), (None, " ".join(a)),
+    ]
+    docs = spark.createDataFrame([(i, t, k, "m", k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, x_kept int, x_found string, `at.x` int").repartition(3)
+    want = []
+    for i, t in rows:
+        w = t.split()
+        windows = lambda v: {tuple(v[s : s + 12]) for s in range(len(v) - 11)}
+        less = set().union(*(windows(u.split()) for j, u in rows if i is not None and j is not None and j < i), set())
+        gone = {k for s in range(len(w) - 11) if tuple(w[s : s + 12]) in less for k in range(s, s + 12)}
+        want.append((i, len(w), len(gone), t if not gone else " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = dedup_substrings(docs, length=12).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(map(tuple, got), key=str) == sorted((x[:3] for x in want), key=str)
+    kept = remove_repeats(docs, length=12)
+    assert kept.columns == docs.columns
+    assert {r["x_kept"]: (r["doc_id"], r["text"]) for r in kept.collect()} == {k: (x[0], x[3]) for k, x in enumerate(want)}
+
+
+def test_languages_and_names_with_dots(spark):
+    from cohortspark.llm.langid import fit_centroids, identify
+
+    rng = random.Random(4)
+    sounds = {"aa": "kanu sipo tela", "bb": "strv gdzx czbr", "cc": "oeiu auie iaoe", "dd": "wyth hwll gwyn"}
+    word = lambda l: "".join(rng.choice(sounds[l].replace(" ", "")) for _ in range(5))
+    rows = [(k, " ".join(word(l) for _ in range(40)), l if k % 4 else None, k) for k in range(400) for l in [list(sounds)[k // 4 % 4]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, `a.b` int").repartition(3)
+    got = identify(docs, fit_centroids(docs)).collect()
+    assert len(got) == 400 and all(r["lang_pred"] == list(sounds)[r["doc_id"] // 4 % 4] and not r["rejected"] for r in got)
