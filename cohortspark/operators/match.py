@@ -2,12 +2,13 @@
 
 * Regex flags: one case-insensitive alternation per category, evaluated by
   ``rlike`` inside the scan's projection (no shuffle, no Python).
-* Phrase matches: texts are cut into scope segments and tokens, n-grams of the
-  vocabulary's phrase lengths are built with array functions and equi-joined
-  with the phrase table (broadcast behind a size check).  The work grows with
-  the text, not with the vocabulary.
-* Negation: cue matches share the (document, segment, token position) axis with
-  target matches; scope rules are aggregates and equi-joins, never pairs.
+* Phrase matches: texts are cut into tokens, n-grams of the vocabulary's phrase
+  lengths are built with array functions and equi-joined with the phrase table
+  (broadcast behind a size check).  The work grows with the text, not with the
+  vocabulary.  Every token knows its scope segment, so a phrase may hold a mark.
+* Negation: one sweep over each document's matches in token order.  Targets and
+  cues are shuffled once, by document; scopes, void cues and flags are running
+  and whole-frame windows over that order, never pairs.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ from cohortspark.operators.joins import bounded_broadcast
 
 # Token rule for phrase matching: word runs, and every other non-space character alone.
 PHRASE_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
-# Scope ends: sentence ends and the termination cues.
-SCOPE_SPLIT = r"[.;!?]"
+# A scope ends after a sentence end or a termination cue; a full stop between two digits is a decimal point.
+SCOPE_END = r"(?<=[;!?])|(?<=\.)(?![0-9])|(?<=[^0-9]\.)|(?<=^\.)"
 
 
 # --------------------------------------------------------------------------- #
@@ -136,7 +136,7 @@ PREFILTER_MAX_KEYS = 100_000
 
 
 def _grams_of_length(k: int, firsts: list[str] | None = None, keys: list[str] | None = None) -> Column:
-    """Array of (start, n_words, key) structs for the k-grams of the token array ``_t``.
+    """Array of (start, n_words, seg, seg_last, seg_at, key) structs for the k-grams of the token array ``_t``.
 
     Lambdas take one argument only (a second one would be bound to the index),
     so ``k`` is captured by this closure.  With a bounded vocabulary, grams are
@@ -147,34 +147,43 @@ def _grams_of_length(k: int, firsts: list[str] | None = None, keys: list[str] |
     def make(i):
         return F.struct((i - 1).alias("start"), F.lit(k).alias("n_words"), F.array_join(F.slice("_t", i, k), " ").alias("key"))
 
+    def place(x):
+        seg = F.get("_seg", x["start"])
+        last = F.get("_seg", x["start"] + (k - 1)).alias("seg_last")
+        return F.struct(x["start"], x["n_words"], seg.alias("seg"), last, (x["start"] - F.get("_place", x["start"])).alias("seg_at"), x["key"])
+
     starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - k + 1, F.lit(1)))
     if firsts is not None:
         starts = F.filter(starts, lambda i: F.coalesce(F.try_element_at("_t", i).isin(*firsts), F.lit(False)))
     g = F.filter(F.transform(starts, make), lambda x: x["start"] + k <= F.size("_t"))
     if keys is not None:
         g = F.filter(g, lambda x: x["key"].isin(*keys))
-    return g
+    return F.transform(g, place)
 
 
 def text_ngrams(
     df: DataFrame, id_cols: list[str], text_col: str, lengths: list[int], scoped: bool, keys: list[str] | None = None,
 ) -> DataFrame:
-    """(ids, seg, start, n_words, key) for the n-grams of the given lengths (only vocabulary keys when given).
+    """(ids, start, n_words, seg, seg_last, seg_at, key) for the n-grams of the given lengths (only vocabulary keys when given).
 
-    Segments come from ``posexplode(split(text))`` and n-grams from
-    ``transform(sequence(...), slice)``: all row-local, no window, no shuffle.
+    ``start`` counts the tokens of the whole text; ``seg`` and ``seg_last`` are the scope
+    segments of the first and last token, ``seg_at`` is the first token of ``seg``.  A segment
+    keeps the mark that ends it as its last token.  All row-local, no window, no shuffle.
     """
     txt = F.coalesce(F.col(text_col), F.lit(""))
-    segs = F.split(txt, SCOPE_SPLIT) if scoped else F.array(txt)
-    s = df.select(*id_cols, F.posexplode(segs).alias("seg", "_seg"))
-    s = s.select(*id_cols, "seg", F.regexp_extract_all(F.lower(F.col("_seg")), F.lit(PHRASE_TOKEN), 0).alias("_t"))
+    segs = F.split(txt, SCOPE_END) if scoped else F.array(txt)
+    s = df.select(*id_cols, F.transform(segs, lambda x: F.regexp_extract_all(F.lower(x), F.lit(PHRASE_TOKEN), 0)).alias("_parts"))
+    s = s.select(
+        *id_cols, F.flatten("_parts").alias("_t"),
+        F.flatten(F.transform("_parts", lambda x, i: F.array_repeat(i, F.size(x)))).alias("_seg"),
+        # Of every token, its place in the segment.
+        F.flatten(F.transform("_parts", lambda x: F.filter(F.sequence(F.lit(0), F.size(x)), lambda n: n < F.size(x)))).alias("_place"),
+    )
+    s = s.filter(F.size("_t") > 0)
     firsts = sorted({k.split(" ")[0] for k in keys}) if keys is not None else None
     grams = [_grams_of_length(k, firsts, keys) for k in lengths]
     allg = F.flatten(F.array(*grams)) if len(grams) > 1 else grams[0]
-    s = s.filter(F.size("_t") > 0)
-    return s.select(*id_cols, "seg", F.explode(allg).alias("_g")).select(
-        *id_cols, "seg", "_g.start", "_g.n_words", "_g.key"
-    )
+    return s.select(*id_cols, F.explode(allg).alias("_g")).select(*id_cols, "_g.*")
 
 
 def _vocab_keys(ptab: DataFrame) -> tuple[list[int], list[str] | None]:
@@ -186,17 +195,29 @@ def _vocab_keys(ptab: DataFrame) -> tuple[list[int], list[str] | None]:
     return lengths, sorted({r["key"] for r in rows})
 
 
-def phrase_match(
-    df: DataFrame, id_cols: list[str], text_col: str, phrases: DataFrame,
-    phrase_col: str = "phrase", scoped: bool = False,
+def _phrase_hits(
+    df: DataFrame, id_cols: list[str], text_col: str, phrases: DataFrame, phrase_col: str, scoped: bool,
 ) -> DataFrame:
-    """Whole-token, case-insensitive matches: (ids, seg, start, end, key, vocabulary columns)."""
+    """Matches at their place in the whole text, with the columns of ``text_ngrams`` and the vocabulary."""
     ptab = phrase_table(phrases, phrase_col)
     lengths, keys = _vocab_keys(ptab)
     if not lengths:  # an empty vocabulary: the join below gives no rows, with all its columns
         lengths, keys = [1], None
     grams = text_ngrams(df, id_cols, text_col, lengths, scoped, keys)
-    hits = grams.join(bounded_broadcast(ptab), on=["key", "n_words"], how="inner")
+    return grams.join(bounded_broadcast(ptab), on=["key", "n_words"], how="inner")
+
+
+def phrase_match(
+    df: DataFrame, id_cols: list[str], text_col: str, phrases: DataFrame,
+    phrase_col: str = "phrase", scoped: bool = False,
+) -> DataFrame:
+    """Whole-token, case-insensitive matches: (ids, seg, start, end, key, vocabulary columns).
+
+    Scoped, ``seg`` is the segment of the first token and ``start`` counts from its first token;
+    a phrase that holds a scope mark is found all the same.
+    """
+    hits = _phrase_hits(df, id_cols, text_col, phrases, phrase_col, scoped)
+    hits = hits.withColumn("start", F.col("start") - F.col("seg_at")).drop("seg_last", "seg_at")
     return hits.withColumn("end", F.col("start") + F.col("n_words"))
 
 
@@ -209,11 +230,17 @@ def negated_match(
 ) -> DataFrame:
     """Target matches with a ``negated`` flag.
 
-    Per scope segment (sentence or text between ';'/'.'):
+    Scopes are the segments of the text; a mark inside a matched phrase, target or cue
+    ("st. john's wort"), ends no scope, nor does a decimal point.  Per scope:
     * a cue whose start lies inside a pseudo cue [start, end] (end inclusive) is void;
     * a target is negated if a preceding cue starts before it, or a following
-      cue ends after it, in the same segment.
+      cue ends after it, in the same scope.
+    ``seg`` is the scope's first segment, ``start`` and ``end`` count from its first token.
     ``scope='off'`` returns plain matches with ``negated = false``.
+
+    One sweep: the matches meet by document, in one shuffle; scopes that a phrase joins follow
+    from the last segment reached so far, void cues from the furthest end of the pseudo cues
+    started so far.
     """
     if scope == "off":
         return phrase_match(df, id_cols, text_col, targets, target_col, scoped=True).withColumn("negated", F.lit(False))
@@ -221,25 +248,24 @@ def negated_match(
     others = [c for c in targets.columns if c != target_col]
     tv = targets.select(*others, F.col(target_col).alias("_phrase"), F.lit("target").alias("kind"))
     cv = cues.select(*[F.lit(None).cast(targets.schema[c].dataType).alias(c) for c in others], F.col("phrase").alias("_phrase"), "kind")
-    allm = phrase_match(df, id_cols, text_col, tv.unionByName(cv), "_phrase", scoped=True).persist(StorageLevel.MEMORY_AND_DISK)
-    tm = allm.filter(F.col("kind") == "target").drop("kind").withColumnRenamed("_phrase", target_col)
-    cm = allm.filter(F.col("kind") != "target")
-    key = [*id_cols, "seg"]
-    pseudo = cm.filter(F.col("kind") == "pseudo")
-    # Positions covered by a pseudo cue: start .. end inclusive (bounded fan-out: phrase length + 1).
-    covered = pseudo.select(
-        *key, F.explode(F.sequence(F.col("start"), F.col("end"))).alias("start")
-    ).distinct()
-    live = cm.filter(F.col("kind").isin("preceding", "following")).join(covered, on=[*key, "start"], how="left_anti")
-    scope_tab = live.groupBy(*key).agg(
-        F.min(F.when(F.col("kind") == "preceding", F.col("start"))).alias("_first_pre"),
-        F.max(F.when(F.col("kind") == "following", F.col("end"))).alias("_last_fol"),
-    )
-    out = tm.join(scope_tab, on=key, how="left")
-    neg = F.coalesce(F.col("_first_pre") < F.col("start"), F.lit(False)) | F.coalesce(
-        F.col("_last_fol") > F.col("end"), F.lit(False)
-    )
-    return out.withColumn("negated", neg).drop("_first_pre", "_last_fol")
+    hits = _phrase_hits(df, id_cols, text_col, tv.unionByName(cv), "_phrase", scoped=True)
+    hits = hits.withColumn("end", F.col("start") + F.col("n_words"))
+    in_order = Window.partitionBy(*id_cols).orderBy("start")
+    reached = F.max("seg_last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("seg") > reached, F.lit(True))
+    hits = hits.withColumn("_opens", opens).withColumn("_scope", F.sum(F.col("_opens").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*id_cols, "_scope")
+    so_far = whole.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    pseudo_end = F.max(F.when(F.col("kind") == "pseudo", F.col("end"))).over(so_far)
+    hits = hits.withColumn("_live", ~F.coalesce(pseudo_end >= F.col("start"), F.lit(False)))
+    first_pre = F.min(F.when((F.col("kind") == "preceding") & F.col("_live"), F.col("start"))).over(whole)
+    last_fol = F.max(F.when((F.col("kind") == "following") & F.col("_live"), F.col("end"))).over(whole)
+    neg = F.coalesce(first_pre < F.col("start"), F.lit(False)) | F.coalesce(last_fol > F.col("end"), F.lit(False))
+    out = hits.select("*", neg.alias("negated"), F.min("seg").over(whole).alias("_seg"), F.min("seg_at").over(whole).alias("_from"))
+    out = out.filter(F.col("kind") == "target").withColumns({
+        "seg": F.col("_seg"), "start": F.col("start") - F.col("_from"), "end": F.col("end") - F.col("_from"),
+    })
+    return out.drop("kind", "_opens", "_scope", "_live", "_seg", "_from", "seg_last", "seg_at").withColumnRenamed("_phrase", target_col)
 
 
 def phrase_flags(

@@ -240,14 +240,18 @@ fairness AS (SELECT {k}, attribute, level, grp, n, tp, fp, fn, tn, {r6('rate')}
 
 PHRASE_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 SCOPE_SPLIT = r"[.;!?]"
+# Decimal points, which end no scope, are hidden while the text is cut (twice: 1.2.3 has two that share a digit).
+DECIMAL = r"([0-9])\.([0-9])"
 
 
 def ngram_sql(src: str, ids: list[str], text: str, lengths: list[int], scoped: bool) -> str:
     """Subquery of (ids, seg, start, n_words, key) for every token n-gram of the given lengths."""
     i = ", ".join(ids)
-    segs = f"string_split_regex(COALESCE({text}, ''), {q(SCOPE_SPLIT)})" if scoped else f"[COALESCE({text}, '')]"
+    hide = lambda t: f"regexp_replace({t}, {q(DECIMAL)}, '\\1' || chr(1) || '\\2', 'g')"
+    hidden = hide(hide(f"COALESCE({text}, '')"))
+    segs = f"string_split_regex({hidden}, {q(SCOPE_SPLIT)})" if scoped else f"[COALESCE({text}, '')]"
     s1 = f"SELECT {i}, unnest({segs}) AS seg_text, unnest(range(0, len({segs}))) AS seg FROM {src}"
-    s2 = f"SELECT {i}, seg, regexp_extract_all(lower(seg_text), {q(PHRASE_TOKEN)}) AS t FROM ({s1})"
+    s2 = f"SELECT {i}, seg, regexp_extract_all(lower(replace(seg_text, chr(1), '.')), {q(PHRASE_TOKEN)}) AS t FROM ({s1})"
     parts = [
         f"SELECT {i}, seg, st AS start, {k} AS n_words, array_to_string(t[st + 1:st + {k}], ' ') AS key "
         f"FROM (SELECT {i}, seg, t, unnest(range(0, len(t) - {k} + 1)) AS st FROM ({s2}))"

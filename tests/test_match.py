@@ -66,3 +66,62 @@ def test_empty_vocabulary(spark):
     cues = spark.createDataFrame([], "kind string, phrase string")
     out = MT.negated_match(df, ["id"], "t", none, cues)
     assert out.collect() == [] and {"id", "seg", "start", "end", "category", "phrase", "negated"} <= set(out.columns)
+
+
+def _negated_by_hand(text, targets, cues):
+    """(phrase, segment, start, end, negated) of one text, straight from the rules: every pair, no sweep."""
+    import regex
+
+    ends = [m.start() for m in regex.finditer(r"[;!?]|\.(?![0-9])|(?<![0-9])\.", text)]
+    spans = [(m.group().lower(), m.start()) for m in regex.finditer(MT.PHRASE_TOKEN, text)]
+    tokens = [t for t, _ in spans]
+    raw = [sum(e < at for e in ends) for _, at in spans]  # segment of every token; a mark belongs to the one it ends
+    cut = lambda p: regex.findall(MT.PHRASE_TOKEN, p.lower())
+    hits = [
+        (kind, p, i, i + len(cut(p)))
+        for kind, p in [("target", t) for t in targets] + cues
+        for i in range(len(tokens) - len(cut(p)) + 1) if tokens[i : i + len(cut(p))] == cut(p)
+    ]
+    joined = {s for _, _, a, b in hits for s in range(raw[a], raw[b - 1])}  # marks after these segments are inside a phrase
+    def scope(s):
+        while s - 1 in joined:
+            s -= 1
+        return s
+    at = [scope(s) for s in raw]
+    live = [h for h in hits if h[0] in ("preceding", "following") and not any(
+        p[0] == "pseudo" and at[p[2]] == at[h[2]] and p[2] <= h[2] <= p[3] for p in hits)]
+    out = []
+    for kind, p, a, b in hits:
+        if kind == "target":
+            same = [h for h in live if at[h[2]] == at[a]]
+            neg = any(h[0] == "preceding" and h[2] < a or h[0] == "following" and h[3] > b for h in same)
+            base = next(i for i, s in enumerate(raw) if s == at[a])
+            out.append((p, at[a], a - base, b - base, neg))
+    return out
+
+
+def test_negation_equals_the_rules_pair_by_pair(spark):
+    import random
+
+    rng = random.Random(11)
+    targets = ["st. john's wort", "colitis", "grade 1.5", "a; b", "b", "wort"]
+    cues = [("pseudo", "no a"), ("pseudo", "no"), ("preceding", "not"), ("preceding", "no sign"), ("following", "no. of"), ("following", "out")]
+    words = ["St.", "St. John's", "wort", "colitis", "grade", "1.5", "2.", "1.5.3", ".5", "a;", "a", "b", "no", "not", "no.", "of", "out", "sign", ".", "!", "x?", "é."]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    texts += [".colitis not", "not 3.5 colitis", "not 3. 5 colitis", "not St. John's wort", None, "", " .. ", "a; b; not b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    ph = spark.createDataFrame([("A", p) for p in targets], "category string, phrase string")
+    got = MT.negated_match(df, ["id"], "t", ph, spark.createDataFrame(cues, "kind string, phrase string")).collect()
+    want = [(i, *h) for i, t in enumerate(texts) for h in _negated_by_hand(t or "", targets, cues)]
+    assert sorted((r.id, r.phrase, r.seg, r.start, r.end, r.negated) for r in got) == sorted(want)
+    assert any(h[1] == "st. john's wort" and h[5] for h in want) and any(h[1] == "st. john's wort" and not h[5] for h in want)
+    by = {(r.id, r.phrase): r.negated for r in got}
+    assert (by[151, "colitis"], by[152, "colitis"], by[153, "st. john's wort"]) == (True, False, True)
+
+
+def test_negation_is_one_shuffle(spark):
+    df = spark.createDataFrame([(1, "no colitis")], "id int, t string")
+    ph = spark.createDataFrame([("A", "colitis")], "category string, phrase string")
+    m = MT.negated_match(df, ["id"], "t", ph, defaults.negation_terms_df(spark))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "InMemory" not in plan
