@@ -183,7 +183,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         out: list = []
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, max_bytes=1 << 20):  # the words of a slice are all held
             keys = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(keys, encode(texts)):
