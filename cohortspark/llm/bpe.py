@@ -169,6 +169,12 @@ class BytePairCodec:
         source += np.arange(len(source))
         return self.pool[source], ends
 
+    def decode_lists(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of each list of ids; list i lies from offsets[i] to offsets[i + 1]."""
+        raw, ends = self.decode(ids)
+        edges = np.concatenate([[0], ends])[offsets].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(edges), pa.py_buffer(raw)])
+
 
 _CODECS: dict = {}
 
@@ -184,8 +190,10 @@ def codec(vocabulary: str) -> BytePairCodec:
     return _CODECS[vocabulary]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """doc_id and the ids of the whole text."""
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", with_decoded: bool = False
+) -> DataFrame:
+    """doc_id and the ids of the whole text; with ``with_decoded`` also the bytes that ``decode`` gives for them, in the same pass."""
 
     def run(batches: Iterator) -> Iterator:
         c = codec(vocabulary)
@@ -193,11 +201,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             ids = c.encode([t or "" for t in batch.column(1).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["doc_id", "ids"]
-            )
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+            if with_decoded:
+                columns.append(c.decode_lists(flat, offsets))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    schema = "doc_id bigint, ids array<int>" + (", decoded binary" if with_decoded else "")
+    names = ["doc_id", "ids", "decoded"][: 3 if with_decoded else 2]
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
@@ -209,10 +220,8 @@ def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_mu
         c = codec(vocabulary)
         for batch in in_slices(batches, max_bytes=2 << 20, column=place):
             ids = batch.column(place)
-            raw, ends = c.decode(ids.flatten().to_numpy(zero_copy_only=False))  # null lists hold no ids
             last = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
-            edges = np.concatenate([[0], np.concatenate([[0], ends])[last]]).astype(np.int32)
-            out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edges), pa.py_buffer(raw)])
+            out = c.decode_lists(ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], last]))  # null lists hold no ids
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*keep, "decoded"])
 
     kept = rows.select(*[F.col(f"`{c}`") for c in keep])

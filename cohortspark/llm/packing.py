@@ -17,6 +17,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,6 +136,39 @@ class _Packer:
         self.held, self.size = rest, sum(len(h[1]) for h in rest)
 
 
+#: Chunks without white space or controls, in scripts whose letters all Unicode tables since 7.0 agree on.
+USUAL = re.compile("[!-~\u00a1-\u052f]+")
+
+
+def ranked(t):
+    """The tokenizer's own vocabulary as a rank encoder, for ``USUAL`` chunks; None if it has another form.
+
+    Merging by the rank of the merged bytes gives the ids of merging by the pair's rank where ids
+    ascend with the merges and every token is what its own bytes merge to (checked by the tests):
+    then no other pair of tokens with the same bytes ever stands side by side.
+    """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    form = json.loads(t.to_str())
+    model, cut = form["model"], form["pre_tokenizer"] or {}
+    usual = model["type"] == "BPE" and cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and cut["use_regex"] and not form["normalizer"]
+    merged = ["".join(m) for m in model["merges"]] if usual else []
+    vocabulary = model["vocab"]
+    if not usual or [vocabulary[m] for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    # Letters of the byte alphabet: printable bytes stand for themselves, the others follow from 256 on, ascending.
+    letters = sorted(ByteLevel.alphabet())
+    own = [c for c in letters if ord(c) < 256]
+    byte = {c: ord(c) for c in own}
+    byte.update(zip((c for c in letters if ord(c) >= 256), sorted(set(range(256)) - set(byte.values()))))
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merged)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 _TOKENIZERS: dict = {}
 
 
@@ -153,9 +187,20 @@ def tokenizer(path: str):
         opens = np.zeros(max(vocabulary.values()) + 1, bool)
         opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
 
+        plain, usual = ranked(t), USUAL.fullmatch
+
         def encode_chunks(words: list[str]) -> list[bytes]:
             # As one text: a chunk's first token, and no other, starts with a space.
-            ids = np.asarray(encode([" " + " ".join(words)])[0], np.uint16)
+            if plain is None:
+                return cut_chunks(words, np.asarray(encode([" " + " ".join(words)])[0], np.uint16))
+            easy = [w for w in words if usual(w)]
+            hard = [w for w in words if not usual(w)]
+            out = dict(zip(easy, cut_chunks(easy, plain.encode_to_numpy(" " + " ".join(easy)).astype(np.uint16)))) if easy else {}
+            if hard:
+                out.update(zip(hard, cut_chunks(hard, np.asarray(encode([" " + " ".join(hard)])[0], np.uint16))))
+            return [out[w] for w in words]
+
+        def cut_chunks(words: list[str], ids: np.ndarray) -> list[bytes]:
             edges = [*(2 * np.flatnonzero(opens[ids])).tolist(), 2 * len(ids)]
             if len(edges) - 1 != len(words):
                 raise ValueError("the vocabulary's tokens do not end before a space")

@@ -31,9 +31,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cohortspark.llm.bpe import decode, encode
+    from cohortspark.llm.bpe import encode
 
-    rows = decode(encode(table(spark, sf_dir, "documents")))
+    rows = encode(table(spark, sf_dir, "documents"), with_decoded=True)
     return rows.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -209,3 +209,29 @@ def test_pieces_share_no_window(monkeypatch):
     for x in lots:
         for d, s, n, a in zip(x.doc.tolist(), x.start.tolist(), x.windows.tolist(), x.at.tolist()):
             assert x.raw[a : a + n + 39] == docs[d][1][s : s + n + 39]
+
+
+def test_rank_encoder_equals_the_tokenizer():
+    """The condition of ``packing.ranked``: every token is what its own bytes merge to, and the ids of words agree."""
+    import json
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cohortspark.llm.packing import ranked, tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    plain = ranked(t)
+    by_id = {i: token for token, i in json.loads(t.to_str())["model"]["vocab"].items()}
+    for i in range(256, 50_256):
+        assert [x.id for x in t.model.tokenize(by_id[i])] == [i]
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdluETA,.'-0123<|>\"éüßøłžαβγдёж²¼ª\u00ad\u0300") for _ in range(rng.randint(1, 30))) for _ in range(20_000)]
+    text = " " + " ".join(words)
+    assert plain.encode_to_numpy(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    encode, _ = tokenizer(path)
+    texts = ["", " a", "café naïve\nline 中文 x\x1cy", "two  spaces", "a\tb <|endoftext|> c ", *words[:50]]
+    assert [a.tolist() for a in encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
