@@ -31,6 +31,8 @@ from cohortspark.llm.components import components
 
 #: A pair at similarity 0.8 shares no band with a chance of (1 - 0.8^4)^32, below 1e-7.
 BANDS, ROWS, BATCH = 32, 4, 32
+#: Bits of the filter of ids with candidates: one for about every document up to 67 million.
+FILTER_BITS = 1 << 26
 _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -98,6 +100,22 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, k: int, with_set: bool
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
+def likely(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be one of ``ids`` (doc_id), by one bit of a hash: every row of theirs, and few others.
+
+    The bitmap has ``FILTER_BITS`` bits, 8 MB whatever the number of ids, so it is broadcast; the
+    more ids, the more other rows stay, which a join after it drops.
+    """
+    page = 32_768  # bits of one bitmap of bitmap_construct_agg
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    pages = ids.select(place(F.col("doc_id")).alias("x_at")).groupBy(F.floor(F.col("x_at") / page).alias("x_page"))
+    pages = pages.agg(F.bitmap_construct_agg(F.col("x_at") % page).alias("x_bits"))
+    at = place(F.col(id_col)) % page
+    byte = F.conv(F.hex(F.substring("x_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(pages), F.floor(place(F.col(id_col)) / page) == F.col("x_page"))
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
     least = least_matches(percent / 100, miss)
@@ -174,10 +192,8 @@ def near_duplicates(
     sound = rows.filter("doc_id IS NOT NULL")
     # Equal sets: the smallest id stands for all (combined before the shuffle).
     groups = saved(sound.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "mh-groups")
-    reps = saved(
-        sound.filter("n > 0").join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "signature", "bands"),
-        "mh-reps",
-    )
+    standing = groups.select(F.col("rep").alias("doc_id")).distinct()
+    reps = saved(sound.filter("n > 0").select("doc_id", "n", "bands").join(standing, "doc_id", "left_semi"), "mh-reps")
     members = reps.select(F.explode("bands").alias("key"), "doc_id", "n")
     many = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high"), "mh-buckets")
     members = saved(members.join(many.select("key", "size"), "key"), "mh-members")
@@ -185,8 +201,13 @@ def near_duplicates(
     degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     members = saved(members.join(degree, "doc_id"), "mh-members")
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    wanted = members.select("doc_id").distinct()
-    sets = saved(shingled(docs.join(wanted.withColumnRenamed("doc_id", id_col), id_col, "left_semi"), id_col, text_col, shingle, with_set=True), "mh-sets")
+    # Signatures and texts of documents without a candidate are mostly left out before the shuffle.
+    wanted = saved(members.select("doc_id").distinct(), "mh-wanted")
+    signatures = likely(sound.filter("n > 0").select("doc_id", "signature"), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+    signatures = saved(signatures, "mh-signatures")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = likely(texts, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+    sets = saved(shingled(texts, "doc_id", "text", shingle, with_set=True), "mh-sets")
 
     def star(of: DataFrame) -> DataFrame:
         """Each member with its bucket's hub."""
@@ -195,7 +216,7 @@ def near_duplicates(
         pairs = of.join(hubs, "key").filter((F.col("doc_id") != F.col("hub")) & close(F.col("n"), F.col("hub_n")))
         return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
-    links = verified(star(members), reps, sets, percent, miss)
+    links = verified(star(members), signatures, sets, percent, miss)
     labels = components(links)
     # Buckets of two are settled by their one pair; of the others, those with several components are not.
     named = members.filter("size > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -203,7 +224,7 @@ def near_duplicates(
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     apart = saved(named.join(mixed, "key").select("doc_id", "component").distinct(), "mh-apart")
     rest = across(apart.join(reps.select("doc_id", "n", "bands"), "doc_id"), sets, percent)
-    labels = components(links.union(verified(rest, reps, sets, percent, miss)))
+    labels = components(links.union(verified(rest, signatures, sets, percent, miss)))
     of_group = saved(
         groups.join(labels, groups["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")), "mh-classes"
     )

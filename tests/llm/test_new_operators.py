@@ -235,3 +235,14 @@ def test_rank_encoder_equals_the_tokenizer():
     encode, _ = tokenizer(path)
     texts = ["", " a", "café naïve\nline 中文 x\x1cy", "two  spaces", "a\tb <|endoftext|> c ", *words[:50]]
     assert [a.tolist() for a in encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_likely_keeps_every_wanted_row(spark):
+    from cohortspark.llm.minhash import likely
+
+    ids = spark.range(-500, 2000).withColumnRenamed("id", "doc_id").filter("doc_id % 3 = 0")
+    rows = spark.range(-1000, 50_000).selectExpr("id AS own", "cast(id AS string) AS text")
+    got = {r.own for r in likely(rows, "own", ids).collect()}
+    want = {r.doc_id for r in ids.collect()}
+    assert want <= got and len(got - want) < 50
+    assert likely(rows, "own", ids.filter("false")).count() == 0
