@@ -8,10 +8,11 @@ broadcast only behind a row-count check.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortspark.operators.joins import bounded_broadcast
+from cohortspark.session import saved_table
 
 PREFERRED_KINDS = ("PT", "PN", "BN", "IN")
 FILTER_KINDS = ("PT", "SY")
@@ -57,6 +58,31 @@ def relevant_concepts(
     return rows, counts
 
 
+def relevant_concepts_observed(
+    concepts: DataFrame, patterns: list[str], kinds=FILTER_KINDS, english_only: bool = True,
+) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of ``relevant_concepts``, written once, and the counts that this very run observed.
+
+    Counts: rows_in, dropped_language, dropped_kind, dropped_concept (kept rows of no matching concept).
+    No second scan counts them.  A stage that runs again after a lost executor may be observed twice;
+    where that matters, count with ``relevant_concepts``.
+    """
+    lang_ok = F.coalesce(F.col("LAT") == "ENG", F.lit(False)) if english_only else F.lit(True)
+    kind_ok = F.coalesce(F.col("TTY").isin(*kinds), F.lit(False))
+    before, after = Observation(), Observation()
+    seen = concepts.observe(
+        before, F.count(F.lit(1)).alias("rows_in"), F.count_if(~lang_ok).alias("dropped_language"),
+        F.count_if(lang_ok & ~kind_ok).alias("dropped_kind"),
+    )
+    rx = "(?iu)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
+    ids = concepts.filter(lang_ok & kind_ok & F.col("STR").rlike(rx)).select("CUI").distinct()
+    rows = seen.filter(lang_ok & kind_ok).join(ids, on="CUI", how="left_semi")
+    rows = saved_table(rows.observe(after, F.count(F.lit(1)).alias("rows_out")), "concepts")
+    counts = dict(before.get)
+    counts["dropped_concept"] = counts["rows_in"] - counts["dropped_language"] - counts["dropped_kind"] - after.get["rows_out"]
+    return rows, counts
+
+
 # op 33
 def preferred_terms(concepts: DataFrame, kinds=PREFERRED_KINDS) -> tuple[DataFrame, DataFrame]:
     """(concept -> first preferred string) and (alias -> preferred string of the alias's LAST concept, else alias).

@@ -8,6 +8,8 @@ the driver, so the vocabulary size is not bounded by driver memory.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,16 +101,25 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, par
 def mean_word_vectors(
     df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, dim: int, word_col: str = "word", vec_col: str = "vector",
 ) -> DataFrame:
-    """Long (id, dim, value): mean over ALL tokens of the word vectors, unknown tokens as zeros.
+    """Long (id, dim, value): ``mean_vectors`` by dimension."""
+    rows = mean_vectors(df, id_col, text_col, vectors, dim, word_col, vec_col)
+    return rows.select(id_col, F.posexplode("vector").alias("dim", "value"))
 
-    A document without known tokens gets zeros.  Word vectors are joined by
-    token (equi-join); the mean divides by the document's token count.
+
+def mean_vectors(
+    df: DataFrame, id_col: str, text_col: str, vectors: DataFrame, dim: int, word_col: str = "word", vec_col: str = "vector",
+) -> DataFrame:
+    """(id, vector): mean over ALL tokens of the word vectors, unknown tokens as zeros.
+
+    A document without known tokens gets zeros.  A document's tokens are counted per word before they
+    meet the word vectors (equi-join; AQE splits the commonest words), and whole vectors are summed
+    with the counts as weights, partially before the shuffle; the mean divides by the document's token count.
     """
     toks = df.select(id_col, tx.tokens(text_col, tx.TOKEN_ANY).alias("_t"))
     ntok = toks.select(id_col, F.size("_t").alias("_ntok"))
-    known = toks.select(id_col, F.explode("_t").alias(word_col)).join(vectors.select(word_col, vec_col), on=word_col, how="inner")
-    sums = known.select(id_col, F.posexplode(vec_col).alias("dim", "_v")).groupBy(id_col, "dim").agg(F.sum("_v").alias("_s"))
-    grid = ntok.select(id_col, "_ntok", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dim"))
-    out = grid.join(sums, on=[id_col, "dim"], how="left")
-    val = F.when(F.col("_ntok") > 0, F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("_ntok")).otherwise(F.lit(0.0))
-    return out.select(id_col, "dim", val.cast("double").alias("value"))
+    words = toks.select(id_col, F.explode("_t").alias(word_col)).groupBy(id_col, word_col).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    known = words.join(vectors.select(word_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v")), on=word_col, how="inner")
+    sums = known.groupBy(id_col).agg(Summarizer.sum(F.col("_v"), F.col("_n")).alias("_s"))
+    out = ntok.join(sums.select(id_col, vector_to_array("_s").alias("_s")), on=id_col, how="left")
+    mean = F.transform("_s", lambda v: v / F.col("_ntok"))
+    return out.select(id_col, F.coalesce(mean, F.array_repeat(F.lit(0.0), dim)).alias("vector"))

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from cohortspark.functions import stats
 
 CALIBRATION_BINS = 10
-AP_BUCKETS = 1024
+#: Ranges of distinct scores per key, precision of their bounds, tasks that a key's scores are spread over.
+AP_BUCKETS, AP_ACCURACY, AP_SALTS = 128, 10_000, 16
 
 METRIC_COLUMNS = [
     "n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "specificity", "npv", "f1", "mcc",
@@ -114,16 +115,20 @@ def wilson_ci(df: DataFrame, k: str, n: str, alpha: float = 0.05, prefix: str =
 def average_precision_from_hist(hist: DataFrame, keys: list[str], buckets: int = AP_BUCKETS) -> DataFrame:
     """AP = sum over distinct scores (descending) of (pos_i / P) * precision at that score.
 
-    Null unless the key has both classes.  Scores are bucketed by value
-    (``floor(s * (buckets - 1))`` clamped to the bucket range: monotone in s, so
-    any real score keeps its order; probabilities spread evenly).  Bucket totals
-    give running offsets and the class totals through windows over the small
-    bucket table; running sums inside a bucket use a window per (key, bucket).
+    Null unless the key has both classes.  Distinct scores are dealt to ranges of about equal
+    numbers, whatever their scale: the bounds are quantiles per key from a mergeable sketch.  Range
+    totals give running offsets and the class totals through windows over the small
+    table of ranges; running sums inside a range use a window per (key, range).
     """
     y, cnt = F.col("y"), F.col("cnt")
     per_s = hist.groupBy(*keys, "s").agg(F.sum(y * cnt).alias("pos"), F.sum(cnt).alias("m"))
-    b = F.least(F.greatest(F.floor(F.col("s") * (buckets - 1)), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    ps = per_s.withColumn("_b", b)
+    # Bounds meet their scores by key and a small salt, so no task joins all scores of a key.
+    cuts = [i / buckets for i in range(1, buckets)]
+    bounds = per_s.groupBy(*keys).agg(F.percentile_approx("s", cuts, AP_ACCURACY).alias("_cuts"))
+    bounds = bounds.select(*keys, "_cuts", F.explode(F.sequence(F.lit(0), F.lit(AP_SALTS - 1))).alias("_salt"))
+    salted = per_s.filter("s IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("s"), F.lit(AP_SALTS)).cast("int"))
+    ps = salted.join(bounds, on=[*keys, "_salt"], how="inner")
+    ps = ps.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("s")))).drop("_cuts", "_salt")
     # level 1: bucket totals, running offset from higher buckets, class totals (tiny table).
     bt = ps.groupBy(*keys, "_b").agg(F.sum("pos").alias("_bpos"), F.sum("m").alias("_bm"))
     wb = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)

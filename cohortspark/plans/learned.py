@@ -174,12 +174,10 @@ def embedding_cohort(
 ) -> dict:
     """Embedding family (op 97): mean word vectors of a document; documents without a known word are the zero vector."""
     rows = saved_table(without_leaks(reports, digests), "rows")
-    long = FE.mean_word_vectors(texts.join(rows.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text", word_vectors, dim)
-    arrays = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("dim").cast("bigint").alias("f"), F.col("value").cast("double").alias("v")))).alias("_e"))
-    entries = F.coalesce("_e", F.array().cast("array<struct<f:bigint,v:double>>"))
-    features = rows.select("doc_id").join(arrays, "doc_id", "left").select(
-        "doc_id", F.transform(entries, lambda e: e["f"]).alias("ids"), F.transform(entries, lambda e: e["v"]).alias("vals")
-    )
+    means = FE.mean_vectors(texts.join(rows.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text", word_vectors, dim)
+    values = F.coalesce("vector", F.array().cast("array<double>"))
+    numbers = F.transform(values, lambda v, i: i.cast("bigint"))
+    features = rows.select("doc_id").join(means, "doc_id", "left").select("doc_id", numbers.alias("ids"), values.alias("vals"))
     return learned_cohort(rows, saved_table(features, "features"), dim + 1, report_cols, label, pred_type, settings=settings, **learn)
 
 

@@ -932,6 +932,22 @@ def q_relevant_concepts_counts(spark, sf):
     return counts
 
 
+@register(
+    "relevant_concepts_observed",
+    f"WITH {_CR_SQL}, kept AS (SELECT * FROM cr WHERE LAT = 'ENG' AND TTY IN ('PT', 'SY')), "
+    f"ids AS (SELECT DISTINCT CUI FROM kept WHERE regexp_matches(STR, {O.q(_CRX)})) "
+    "SELECT n, count FROM (SELECT COUNT(*) AS rows_in, COUNT(*) FILTER (WHERE LAT <> 'ENG') AS dropped_language, "
+    "COUNT(*) FILTER (WHERE LAT = 'ENG' AND TTY NOT IN ('PT', 'SY')) AS dropped_kind, "
+    "(SELECT COUNT(*) FROM kept WHERE CUI NOT IN (SELECT CUI FROM ids)) AS dropped_concept FROM cr) "
+    "UNPIVOT (count FOR n IN (rows_in, dropped_language, dropped_kind, dropped_concept))",
+)
+def q_relevant_concepts_observed(spark, sf):
+    from cohortspark.operators import concepts as CO
+
+    _, counts = CO.relevant_concepts_observed(TV.concept_rows(spark, sf), _CPAT)
+    return spark.createDataFrame(list(counts.items()), "n string, count bigint")
+
+
 @register(
     "preferred_terms",
     f"WITH {_CR_SQL}, cp AS (SELECT CUI, arg_min(STR, ord) AS preferred FROM cr WHERE (TS = 'P' OR ISPREF = 'Y') "
@@ -1251,6 +1267,21 @@ def q_table_cohort(spark, sf):
     return r6(L.table_cohort(reports(spark, sf, False), tf, coefs, FX.LABEL)["evaluation"])
 
 
+@register("stored_model_cohort", SQL["table_cohort"].replace("'Table'", "'Stored'"))
+def q_stored_model_cohort(spark, sf):
+    """The table cohort through the model store: coefficients saved as a version, loaded again, then scored."""
+    from cohortspark.operators import features as FE
+    from cohortspark.plans import learned as L
+    from cohortspark.session import new_folder
+    from cohortspark.sources import models as ST
+
+    tf = FE.bow_features(TV.text_view(spark, sf), "doc_id", "text")
+    path = new_folder(spark, "model")
+    ST.save_model(path, {"weights": _log_odds(spark, sf, tf).select(F.col("feature").alias("term"), "coefficient")})
+    weights = ST.load_model(spark, path, needs={"weights": ["term", "coefficient"]})["weights"]
+    return r6(L.table_cohort(reports(spark, sf, False), tf, weights, FX.LABEL, "Stored")["evaluation"])
+
+
 @register("train_text_classifier")
 def q_train_text_classifier(spark, sf):
     from cohortspark.plans import learned as L
@@ -1316,6 +1347,27 @@ def q_scored_cohort(spark, sf):
     return r6(C.scored_cohort(s, FX.LABEL, pred_type="Scored")["evaluation"])
 
 
+def _length_scorer():
+    """A user's scorer for the query: a logistic curve of the text's length."""
+    import numpy as np
+
+    return lambda texts: 1.0 / (1.0 + np.exp((1500.0 - np.array([len(t) for t in texts], float)) / 500.0))
+
+
+@register(
+    "user_scored_cohort",
+    f"{W}, scored AS (SELECT *, 1.0 / (1.0 + exp((1500.0 - length(coalesce(text, ''))) / 500.0)) AS score FROM prepared), "
+    "flagged AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS pred, score AS prob FROM scored), "
+    f"{O.levels_cte(pred_type='User')}, {O.evaluate_sql('alllevels', C.LEVEL_COLS)} "
+    f"SELECT {', '.join(C.LEVEL_COLS)}, {O.EVAL_OUT} FROM evaluation",
+)
+def q_user_scored_cohort(spark, sf):
+    from cohortspark.operators.scoring import score_with
+
+    scores = score_with(TV.text_view(spark, sf), _length_scorer, ["text"]).select("doc_id", "score")
+    return r6(C.scored_cohort(C.attach(reports(spark, sf, False), scores), FX.LABEL, pred_type="User")["evaluation"])
+
+
 @register("compare_variants")
 def q_compare_variants(spark, sf):
     from cohortspark.operators import concepts as CO
@@ -1346,20 +1398,20 @@ def q_calibration_summary(spark, sf):
 
 @register("write_eval", f"{_COHORT_EVAL_SQL} SELECT {', '.join(C.LEVEL_COLS)}, n, tp, fp, fn, tn FROM evaluation")
 def q_write_eval(spark, sf):
-    from cohortspark.session import scratch_path
+    from cohortspark.session import new_folder
     from cohortspark.sources import sinks as SK
 
-    path = scratch_path(spark, "eval_regex_cohort")
+    path = new_folder(spark, "eval_regex_cohort")
     SK.write_eval(q_regex_cohort(spark, sf), path)
     return spark.read.parquet(path).select(*C.LEVEL_COLS, "n", "tp", "fp", "fn", "tn")
 
 
 @register("write_fairness", f"{_FAIR_SRC} SELECT dataset, level, attribute, grp, n, tp FROM fairness")
 def q_write_fairness(spark, sf):
-    from cohortspark.session import scratch_path
+    from cohortspark.session import new_folder
     from cohortspark.sources import sinks as SK
 
-    path = scratch_path(spark, "fairness_regex_cohort")
+    path = new_folder(spark, "fairness_regex_cohort")
     SK.write_fairness(q_fairness_report(spark, sf), path, fmt="csv")
     return spark.read.option("header", True).option("inferSchema", False).csv(path).select(
         "dataset", "level", "attribute", "grp", F.col("n").cast("long").alias("n"), F.col("tp").cast("long").alias("tp")

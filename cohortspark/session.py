@@ -69,8 +69,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of the shared checkpoint folder that no other run uses."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def saved_table(df: DataFrame, name: str) -> DataFrame:
     """Write to a new folder of the shared checkpoint folder and read back: cuts the lineage."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
