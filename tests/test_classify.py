@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cohortspark.operators import classify as CL
 from cohortspark.operators import features as FE
@@ -72,3 +73,15 @@ def test_tfidf_stages_equal_the_long_form(spark):
     want = FE.tfidf_features(FE.bow_features(df, "id", "text"), "id", docs).groupBy("id").sum("weight").collect()
     for r in want:
         assert abs(sums[r.id] - r["sum(weight)"]) < 1e-9
+
+
+def test_models_score_after_the_session_has_observed_metrics(spark):
+    """A model's training summary holds the session, which cannot be sent to tasks after an observation."""
+    from pyspark.sql import Observation
+
+    spark.range(3).observe(Observation("rows"), F.count(F.lit(1)).alias("n")).collect()
+    rows = spark.createDataFrame([(i, float(i % 7), [float(i % 7), 1.0], "good word" if i % 2 else "bad thing", i % 2) for i in range(40)], "id int, x double, v array<double>, t string, y int")
+    assert CL.patient_meta_model(rows, rows, ["x"], "y").count() == 40
+    assert CL.predict_embedding(CL.embedding_classifier(rows, "v", "y"), rows, "v").count() == 40
+    found = CL.predict_text(CL.train_text_classifier(rows, "t", "y"), rows).select("y", "pred").collect()
+    assert all(r["y"] == r["pred"] for r in found)
