@@ -75,8 +75,8 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, k: int, with_set: bool
     def run(batches: Iterator) -> Iterator:
         import xxhash
 
-        known = WordHashes()
-        for batch in in_slices(batches):
+        known = WordHashes(limit=200_000)
+        for batch in in_slices(batches, max_bytes=2 << 20):  # the sets of a slice are all held
             ids, out = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1).to_pylist()):
                 s = shingle_set(known.of(words_of(text, lower=True)), k)
