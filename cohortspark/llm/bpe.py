@@ -32,9 +32,6 @@ def own_pattern(pattern: str) -> str:
     return out.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
-LOW = (1 << 32) - 1
-
-
 class PerfectHash:
     """Minimal perfect hash over distinct byte strings: n keys fill n slots.
 
@@ -102,12 +99,15 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     end = list(range(1, n + 1))  # where the part that begins at i ends; 0: swallowed by an earlier one
     before = list(range(-1, n - 1))
     get = ranks.get
-    # A heap entry is one integer: rank, place of the left part, end of the right part.
-    heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+    # A heap entry is one integer, small for a short piece: rank, place of the left part, end of the right part.
+    bits = n.bit_length()
+    low, two = (1 << bits) - 1, 2 * bits
+    heap = [r << two | i << bits | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapify(heap)
     while heap:
         entry = heappop(heap)
-        i, stop = entry >> 32 & LOW, entry & LOW
+        stop = entry & low
+        i = entry >> bits & low
         j = end[i]
         if not j or j >= n or end[j] != stop:  # stale: one of the two parts has changed
             continue
@@ -115,11 +115,12 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         end[i] = stop
         if stop < n:
             before[stop] = i
-            if (r := get(piece[i : end[stop]])) is not None:
-                heappush(heap, r << 64 | i << 32 | end[stop])
+            after = end[stop]
+            if (r := get(piece[i:after])) is not None:
+                heappush(heap, r << two | i << bits | after)
         k = before[i]
         if k >= 0 and (r := get(piece[k:stop])) is not None:
-            heappush(heap, r << 64 | k << 32 | stop)
+            heappush(heap, r << two | k << bits | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -145,7 +146,7 @@ class BytePairCodec:
         self.width = np.fromiter(map(len, by_id), np.int64, len(by_id))
         self.begin = np.cumsum(self.width) - self.width
         self.known: dict[str, list[int]] = {}
-        self.memo = ChunkMemo(self._encode, "i", limit=250_000)
+        self.memo = ChunkMemo(self._encode, "i", limit=400_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.cut(t) for t in texts]

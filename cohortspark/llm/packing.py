@@ -193,10 +193,10 @@ def tokenizer(path: str):
             # As one text: a chunk's first token, and no other, starts with a space.
             if plain is None:
                 return cut_chunks(words, np.asarray(encode([" " + " ".join(words)])[0], np.uint16))
-            easy = [w for w in words if usual(w)]
-            hard = [w for w in words if not usual(w)]
+            easy = list(filter(usual, words))
             out = dict(zip(easy, cut_chunks(easy, plain.encode_to_numpy(" " + " ".join(easy)).astype(np.uint16)))) if easy else {}
-            if hard:
+            if len(easy) < len(words):
+                hard = [w for w in words if w not in out]
                 out.update(zip(hard, cut_chunks(hard, np.asarray(encode([" " + " ".join(hard)])[0], np.uint16))))
             return [out[w] for w in words]
 
