@@ -8,7 +8,7 @@ from cohortspark.operators import features as FE
 def test_vectors_cross_no_shuffle(spark, capsys, monkeypatch):
     rows = [(1, "aa bb aa"), (1, "cc"), (2, None), (None, "aa"), (3, "zz aa"), (4, "")]
     df = spark.createDataFrame(rows, "id long, t string")
-    vectors = spark.createDataFrame([("aa", [1.0, 0.0]), ("bb", [0.0, 2.0]), ("bb", [0.0, 1.0])], "word string, vector array<float>")
+    vectors = spark.createDataFrame([("aa", [1.0, 0.0]), ("bb", [0.0, 2.0]), ("bb", [0.0, 1.0]), ("zz", None)], "word string, vector array<float>")
     out = FE.mean_vectors(df, "id", "t", vectors, 2)
     out.explain()
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", capsys.readouterr().out)
