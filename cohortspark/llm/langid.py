@@ -12,6 +12,7 @@ to the first language in alphabetical order; without training rows every text is
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,14 +65,19 @@ class Centroids:
         return best, np.clip(cosines[np.arange(len(best)), best], 0, 1)
 
     @classmethod
-    def fit(cls, counts: np.ndarray, langs: list[str], per_language: int, rounds: int, slack: float) -> "Centroids":
-        idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-        x = unit_rows(np.log1p(counts) * idf).astype(np.float32)
+    def fit(cls, counts: np.ndarray, langs: list[str], per_language: int, rounds: int, slack: float, spare: bool = False) -> "Centroids":
+        """``spare``: ``counts`` (32-bit floats) may be overwritten, so that one array of all rows is held, not two."""
+        spans = [slice(at, at + ROWS) for at in range(0, len(counts), ROWS)]  # temporaries stay of one size
+        idf = np.log((1 + len(counts)) / (1 + sum((counts[s] > 0).sum(axis=0) for s in spans))) + 1
+        x = counts if spare else np.empty(counts.shape, np.float32)
+        for s in spans:
+            x[s] = unit_rows(np.log1p(counts[s].astype(np.float32)) * idf)
         names, own = np.unique(np.array(langs), return_inverse=True)
         centres, of = [], []
         rng = np.random.default_rng(5)
         for k, name in enumerate(names):
-            rows = x[own == k]
+            at = np.flatnonzero(own == k)
+            rows = x[at[0] : at[-1] + 1] if at[-1] - at[0] + 1 == len(at) else x[at]  # languages in order need no copy
             c = rows[np.sort(rng.choice(len(rows), min(per_language, len(rows)), replace=False))]
             for _ in range(rounds):
                 near = np.argmax(rows @ c.T, axis=1)
@@ -79,7 +85,7 @@ class Centroids:
             centres.append(c)
             of += [str(name)] * len(c)
         centres = np.concatenate(centres)
-        return cls(idf, centres, of, slack * float((x @ centres.T).max(axis=1).min()))
+        return cls(idf, centres, of, slack * float(min((x[s] @ centres.T).max(axis=1).min() for s in spans)))
 
 
 def fit_centroids(
@@ -99,15 +105,22 @@ def fit_centroids(
 
     def run(batches: Iterator) -> Iterator:
         for batch in in_slices(batches):
-            vectors = [ngram_counts(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            vectors = [zlib.compress(ngram_counts(t).astype("<u4").tobytes(), 1) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["lang", "counts"])
 
     got = rows.filter(drawn).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, counts binary")
-    sample = sorted((r["lang"], bytes(r["counts"])) for r in got.toLocalIterator())
-    if not sample:
+    found = [(r["lang"], bytes(r["counts"])) for r in got.toLocalIterator()]
+    if not found:
         return None
-    matrix = np.stack([np.frombuffer(c, "<u4") for _, c in sample]).astype(np.float32)
-    return Centroids.fit(matrix, [lang for lang, _ in sample], clusters, rounds, slack)
+    matrix = np.empty((len(found), BUCKETS), np.float32)
+    langs = []
+    # Compressed until a language's turn, whose rows are ordered by their counts' bytes.
+    for name in sorted({lang for lang, _ in found}):
+        for c in sorted(zlib.decompress(c) for lang, c in found if lang == name):
+            matrix[len(langs)] = np.frombuffer(c, "<u4")
+            langs.append(name)
+    del found
+    return Centroids.fit(matrix, langs, clusters, rounds, slack, spare=True)
 
 
 def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text") -> DataFrame:
