@@ -14,6 +14,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.session import saved_table
+
 
 # op 59
 def sample_size_check(
@@ -72,11 +74,14 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def flag_patterns(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Collapse rows to distinct (features, label) patterns with a ``weight`` count (<= 2^(k+1) rows)."""
+    """Collapse rows to distinct (features, label) patterns with a ``weight`` count (<= 2^(k+1) rows).
+
+    The patterns are saved: fits pass over them many times, over the rows behind them once."""
     d = df.dropna(subset=[*features, label])
-    return d.groupBy(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("label")).agg(
+    patterns = d.groupBy(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("label")).agg(
         F.count(F.lit(1)).cast("double").alias("weight")
     )
+    return saved_table(patterns.coalesce(1), "patterns")  # some rows of flags
 
 
 # op 77
