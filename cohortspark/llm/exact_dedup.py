@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import saved, scratch
+from cohortspark.llm.common import forget, passing, saved, scratch
 
 #: Hits that one copy of a keeper's text meets.
 SALT_ROWS = 1024
@@ -76,25 +76,28 @@ def run_state(
 
 
 def _judge(spark: SparkSession, path: str, id_col: str, text_col: str, bits: int, max_files: int | None, whole: bool):
-    """(rows with their group and, for hits or if ``whole``, their text; checked hits)."""
-    groups = saved(run_state(spark, path, scratch(spark, "xd-state"), id_col, text_col, bits, max_files), "xd-groups")
-    source = spark.read.parquet(path)
-    text = F.coalesce(source[text_col].cast("string"), F.lit(""))
-    rows = source.select(
-        source[id_col].alias("x_id"), *_locator(), digest_of(text, bits).alias("x_digest"), text.alias("x_text"),
-        *([F.struct(*[source[f"`{c}`"] for c in source.columns]).alias("x_source")] if whole else []),
-    )
-    # Narrow state rows against all rows: AQE splits the partition of a hot digest.
-    rows = rows.join(groups, "x_digest")
-    is_keeper = (F.col("x_file") == F.col("x_keep.file")) & (F.col("x_row") == F.col("x_keep.row"))
-    rows = saved(
-        rows.select(
-            "x_id", "x_file", "x_row", "x_digest", "x_n", F.col("x_keep.id").alias("x_keep_id"), is_keeper.alias("x_is_keeper"),
-            F.when(F.col("x_n") > 1, F.col("x_text")).alias("x_text"), *(["x_source"] if whole else []),
-        ),
-        "xd-rows",
-    )
-    hits = rows.filter("x_n > 1").select("x_digest", "x_n", "x_file", "x_row", "x_id", "x_keep_id", "x_is_keeper", "x_text")
+    """(rows with their group and, for hits, their text, or if ``whole``, all their columns; checked hits)."""
+    with passing(spark):
+        state = scratch(spark, "xd-state")
+        groups = saved(run_state(spark, path, state, id_col, text_col, bits, max_files), "xd-groups")
+        forget(spark, state)
+        source = spark.read.parquet(path)
+        text = F.coalesce(source[text_col].cast("string"), F.lit(""))
+        # A whole row holds its text: it crosses the shuffle once.
+        carried = F.struct(*[source[f"`{c}`"] for c in source.columns]).alias("x_source") if whole else text.alias("x_text")
+        rows = source.select(source[id_col].alias("x_id"), *_locator(), digest_of(text, bits).alias("x_digest"), carried)
+        # Narrow state rows against all rows: AQE splits the partition of a hot digest.
+        rows = rows.join(groups, "x_digest")
+        is_keeper = (F.col("x_file") == F.col("x_keep.file")) & (F.col("x_row") == F.col("x_keep.row"))
+        rows = saved(
+            rows.select(
+                "x_id", "x_file", "x_row", "x_digest", "x_n", F.col("x_keep.id").alias("x_keep_id"), is_keeper.alias("x_is_keeper"),
+                "x_source" if whole else F.when(F.col("x_n") > 1, F.col("x_text")).alias("x_text"),
+            ),
+            "xd-rows", keep=True,
+        )
+    text = F.coalesce(F.col("x_source").getField(text_col).cast("string"), F.lit("")) if whole else F.col("x_text")
+    hits = rows.filter("x_n > 1").select("x_digest", "x_n", "x_file", "x_row", "x_id", "x_keep_id", "x_is_keeper", text.alias("x_text"))
     salts = F.floor((F.col("x_n") - 1) / SALT_ROWS)
     keepers = hits.filter("x_is_keeper").select(
         "x_digest", F.col("x_text").alias("x_kept_text"), F.explode(F.sequence(F.lit(0).cast("bigint"), salts)).alias("x_salt")
@@ -153,7 +156,9 @@ def exact_dedup(
     path = scratch(spark, "xd-docs")
     docs.write.parquet(path)
     rows, checked = _judge(spark, path, id_col, text_col, bits, max_files, whole=True)
+    forget(spark, path)
     strays, _ = _strays(checked)
     own = strays.filter("x_own.x_file = x_file AND x_own.x_row = x_row").select("x_file", "x_row")
-    stay = rows.filter("x_n = 1 OR x_is_keeper").unionByName(rows.join(own, ["x_file", "x_row"], "left_semi").select(*rows.columns))
+    hits = rows.filter("x_n > 1")  # strays share their digest with another row
+    stay = rows.filter("x_n = 1 OR x_is_keeper").unionByName(hits.join(own, ["x_file", "x_row"], "left_semi").select(*rows.columns))
     return stay.select("x_source.*")

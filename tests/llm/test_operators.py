@@ -241,6 +241,40 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_stages_leave_only_the_tables_that_their_result_reads(spark, docs):
+    """Every table of a stage stayed on disk through the stages after it."""
+    import os
+    import re
+
+    import corpus_pipeline
+    from cohortspark.session import checkpoint_dir
+
+    folder = re.sub("^file:/*", "/", checkpoint_dir(spark))
+    left = {"exact_dedup": {"xd-checked", "xd-rows"}, "near_dedup": {"mh-dropped"}, "substring_dedup": {"ss-cut"}}
+    rows = docs.union(docs.limit(4))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = set(os.listdir(folder))
+        rows = stage(spark, rows, "")
+        new = {at[:-33] for at in set(os.listdir(folder)) - before}
+        assert {at for at in new if "-" in at} == left.get(name, set()), name
+        assert rows.count() > 0
+
+
+def test_blocks_hand_kept_tables_to_the_block_around(spark):
+    from cohortspark.llm.common import passing, saved
+
+    rows = spark.range(5)
+    with passing(spark):
+        with passing(spark):
+            gone, kept = saved(rows, "a"), saved(rows, "b", keep=True)
+            assert gone.count() == 5
+        assert kept.count() == 5 and saved(kept, "c").count() == 5
+        with pytest.raises(Exception, match="does not exist|not found|FAILED_READ"):
+            gone.count()
+    with pytest.raises(Exception, match="does not exist|not found|FAILED_READ"):
+        kept.count()
+
+
 def test_page_slots_decide_inside_and_outside_articles(spark):
     from cohortspark.llm.wrapper import extract
 
