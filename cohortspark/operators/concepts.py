@@ -115,6 +115,7 @@ def standardise_terms(
     the sorted candidates are folded (``aggregate``) into non-overlapping
     replacements; pieces are rebuilt with ``transform`` + map lookup.
     """
+    from cohortspark.functions.text import holds, one_by_one
     from cohortspark.operators.match import normalise_text
 
     out = out or text_col
@@ -123,7 +124,8 @@ def standardise_terms(
         txt = normalise_text(txt, nfkc=True)
     else:
         txt = F.translate(txt, "’", "'")
-    base = df.withColumn("_txt", txt).withColumn("_pc", F.regexp_extract_all(F.col("_txt"), F.lit(PIECE), 0))
+    base = df.withColumn("_txt", txt)
+    pieces = F.regexp_extract_all(F.col("_txt"), F.lit(PIECE), 0)
 
     t = terms.select(
         F.lower(F.col("alias")).alias("_key"),
@@ -164,7 +166,9 @@ def standardise_terms(
         return F.filter(g, lambda x: x["key"].isin(*keys)) if keys is not None else g
 
     allg = F.flatten(F.array(*[grams(L) for L in lens])) if len(lens) > 1 else grams(lens[0])
-    cand = base.select(id_col, F.explode(allg).alias("g")).select(id_col, "g.start", "g.len", F.col("g.key").alias("_key"))
+    # Texts without an alias stay as they are.
+    may = base.filter(holds(F.col("_txt"), keys, whole=False)) if one_by_one(keys or []) else base
+    cand = may.select(id_col, pieces.alias("_pc")).select(id_col, F.explode(allg).alias("g")).select(id_col, "g.start", "g.len", F.col("g.key").alias("_key"))
     cand = cand.join(bounded_broadcast(t), on="_key", how="inner").filter(F.col("len") == F.col("_len"))
     # sequential leftmost-first resolution inside one document
     per_doc = cand.groupBy(id_col).agg(
@@ -189,7 +193,7 @@ def standardise_terms(
     per_doc = per_doc.select(id_col, F.map_from_entries(cover).alias("_rep"))
     j = base.join(per_doc, on=id_col, how="left")
     rebuilt = F.array_join(
-        F.transform("_pc", lambda p, i: F.coalesce(F.try_element_at(F.col("_rep"), i), p)), ""
+        F.transform(pieces, lambda p, i: F.coalesce(F.try_element_at(F.col("_rep"), i), p)), ""
     )
     res = F.when(F.col("_rep").isNull(), F.col("_txt")).otherwise(rebuilt)
-    return j.withColumn(out, F.replace(res, F.lit("?s"), F.lit("'s"))).drop("_txt", "_pc", "_rep")
+    return j.withColumn(out, F.replace(res, F.lit("?s"), F.lit("'s"))).drop("_txt", "_rep")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from cohortspark import defaults
 from cohortspark.operators import match as MT
 
@@ -125,3 +127,31 @@ def test_negation_is_one_shuffle(spark):
     m = MT.negated_match(df, ["id"], "t", ph, defaults.negation_terms_df(spark))
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(id") == 1 and "InMemory" not in plan
+
+
+def test_literals_one_by_one_are_the_alternation(spark):
+    """Slow alternations behind a boundary are looked for literal by literal, with the same hits."""
+    import re
+
+    from cohortspark.functions import text as tx
+
+    words = ["mask", "is", "mit license", "x_1"]
+    parts = ["mask", "MAS\u212a", "ma\u017fk", "\u0130s", "\u0131S", "is", "x_1", "mit  license", "MIT License", "\u00e9", "_", "-", ".", "\n", " ", "\U0001d400", "7"]
+    rows = [a + b + c for a in parts for b in parts for c in parts] + ["", None, "mask\n", "\nmask"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    for whole in (True, False):
+        plain = tx.whole_word(words) if whole else tx.any_of(words)
+        got = df.select("i", F.coalesce(tx.holds(F.col("t"), words, whole), F.lit(False)).alias("a"), F.coalesce(F.col("t").rlike(plain), F.lit(False)).alias("b"))
+        assert got.filter("a <> b").collect() == [] and got.filter("a").count() > 0
+        plan = df.select(tx.holds(F.col("t"), words, whole))._jdf.queryExecution().optimizedPlan().toString()
+        assert "(^|" not in plan and "|" not in re.sub(r"\[[^]]*\]", "", plan.split("RLIKE")[1])
+
+
+def test_texts_without_a_target_are_not_cut_into_tokens(spark):
+    df = spark.createDataFrame([(1, "the mask or"), (2, "the or and"), (3, "MAS\u212a x"), (4, None), (5, "unmasked")], "doc_id long, text string")
+    targets = spark.createDataFrame([("A", "mask")], "category string, phrase string")
+    cues = spark.createDataFrame([("preceding", "the")], "kind string, phrase string")
+    got = MT.negated_match(df, ["doc_id"], "text", targets, cues)
+    assert sorted((r["doc_id"], r["negated"]) for r in got.collect()) == [(1, True), (3, False)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RLIKE")
