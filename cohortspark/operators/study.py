@@ -36,12 +36,18 @@ def required_sample_size(r2: float, predictors: int, shrinkage: float, prevalenc
     return predictors / (shrinkage * -math.log(1.0 - r2)) / (prevalence * (1.0 - prevalence))
 
 
+def _corr(a: str, b: str):
+    """Pearson correlation of two columns; null where one of them does not vary."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 # op 55
 def label_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns over complete rows, long form (a, b, corr)."""
     d = df.dropna(subset=cols)
     pairs = list(itertools.combinations_with_replacement(cols, 2))
-    row = d.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    row = d.agg(*[_corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(entries).alias("e")).select("e.*")
 
@@ -57,7 +63,7 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
 
     d = df.dropna(subset=cols)
     k = len(cols)
-    aggs = [F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
+    aggs = [_corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
     r = d.agg(*aggs).collect()[0] if aggs else {}
     m = np.eye(k)
     for i in range(k):
@@ -94,8 +100,11 @@ def odds_ratios(df: DataFrame, features: list[str], label: str, c: float = 1.0)
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    schema = "penalty string, feature string, coefficient double, odds_ratio double"
     pats = flag_patterns(df, features, label)
-    n = pats.agg(F.sum("weight")).collect()[0][0] or 1.0
+    n = pats.agg(F.sum("weight")).collect()[0][0]
+    if not n:  # no complete row
+        return df.sparkSession.createDataFrame([], schema)
     data = VectorAssembler(inputCols=features, outputCol="features").transform(pats)
     rows = []
     for name, enet in (("l1", 1.0), ("l2", 0.0)):
@@ -107,7 +116,7 @@ def odds_ratios(df: DataFrame, features: list[str], label: str, c: float = 1.0)
         for f, w in zip(features, m.coefficients.toArray()):
             rows.append((name, f, float(w), float(math.exp(w))))
         rows.append((name, "intercept", float(m.intercept), float(math.exp(m.intercept))))
-    return df.sparkSession.createDataFrame(rows, "penalty string, feature string, coefficient double, odds_ratio double")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 # op 78
@@ -116,14 +125,32 @@ def label_tree(df: DataFrame, features: list[str], label: str, max_depth: int |
 
     Unless ``max_depth`` is given, the tree may ask for every flag on a path.
     """
+    return fit_label_tree(df, features, label, max_depth, seed)[0]
+
+
+def fit_label_tree(df: DataFrame, features: list[str], label: str, max_depth: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(the table of ``label_tree``, the tree's own counts n, tp, fp, fn, tn on the rows it was fitted on).
+
+    Rows of one class give a tree of one leaf; no rows give no counts and no table.
+    """
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     pats = flag_patterns(df, features, label)
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(pats)
-    m = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=max_depth or min(30, len(features)), seed=seed).fit(data)
-    pred = m.transform(data)
+    classes = sorted(r["label"] for r in pats.select("label").distinct().collect())  # a row per class
+    if len(classes) < 2:
+        pred, weights = pats.withColumn("prediction", F.col("label")), [0.0] * len(features)
+    else:
+        data = VectorAssembler(inputCols=features, outputCol="features").transform(pats)
+        m = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=max_depth or min(30, len(features)), seed=seed).fit(data)
+        pred, weights = m.transform(data), m.featureImportances.toArray()
+    hits = lambda y, p: F.sum(F.when((F.col("label") == y) & (F.col("prediction") == p), F.col("weight")).otherwise(0.0)).cast("long")
+    counts = pred.groupBy(F.lit("all").alias("k")).agg(
+        F.sum("weight").cast("long").alias("n"), hits(1, 1).alias("tp"), hits(0, 1).alias("fp"), hits(1, 0).alias("fn"), hits(0, 0).alias("tn")
+    ).drop("k")
+    if not classes:
+        return df.sparkSession.createDataFrame([], "kind string, feature string, value double"), counts
     acc = pred.agg((F.sum(F.when(F.col("prediction") == F.col("label"), F.col("weight")).otherwise(0.0)) / F.sum("weight"))).collect()[0][0]
-    imp = sorted(zip(features, m.featureImportances.toArray()), key=lambda t: -t[1])
+    imp = sorted(zip(features, weights), key=lambda t: -t[1])
     rows = [("importance", f, float(v)) for f, v in imp] + [("accuracy", None, float(acc or 0.0))]
-    return df.sparkSession.createDataFrame(rows, "kind string, feature string, value double")
+    return df.sparkSession.createDataFrame(rows, "kind string, feature string, value double"), counts
