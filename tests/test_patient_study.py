@@ -29,10 +29,10 @@ def test_one_class_and_no_rows(spark):
 def test_study_of_labels_and_flags(spark):
     out = registry.QUERIES["doc_to_patient_study"](spark, SF_SMALL).collect()
     parts = ["correlation", "vif", "odds_l1", "odds_l2", "tree_importance", "tree_accuracy", "per_class_f1"]
-    assert {r["section"] for r in out} == {*parts, *(f"flags_{p}" for p in parts), "flags_or_per_class_f1"}
+    assert {r["section"] for r in out} == {*parts, *(f"labels_{p}" for p in parts), "or_per_class_f1"}
     # the tree's accuracy is that of its report, and labels are not flags
     value = {(r["section"], r["name"]): r["value"] for r in out}
-    for kind in ("", "flags_"):
+    for kind in ("", "labels_"):
         assert value[f"{kind}per_class_f1", "accuracy"] == value[f"{kind}tree_accuracy", ""]
     docs = registry.reports(spark, SF_SMALL, False).select("study_id", "visit_id", "report_col", "gold_alt").collect()
     visits, gold = {}, {}
@@ -41,5 +41,5 @@ def test_study_of_labels_and_flags(spark):
         gold[r["study_id"]] = max(gold.get(r["study_id"], 0), r["gold_alt"])
     whole = [(v["pathology"], gold[k[0]]) for k, v in visits.items() if len(v) == 4]
     x, y = np.array(whole, float).T
-    got = value["correlation", "pathology~patient"]
+    got = value["labels_correlation", "pathology~patient"]
     assert got is None if not x.std() * y.std() else abs(got - np.corrcoef(x, y)[0, 1]) < 1e-6
